@@ -25,10 +25,10 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         ), shingles AS (
             SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
         ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
         ), links AS (
             SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
