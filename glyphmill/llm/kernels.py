@@ -77,15 +77,27 @@ def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return texts.fill_null("") if texts.null_count else texts
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and per text the offset of its first word (n + 1 offsets)."""
+def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts and the n + 1 offsets of the texts in them."""
     offsets = _offsets(texts)
     base = int(offsets[0])
     bounds = offsets - base
     size = int(bounds[-1])
     if size == 0:
-        return np.empty(0, U64), np.zeros(len(texts) + 1, np.int64)
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[base : base + size]
+        return np.empty(0, np.uint8), bounds
+    return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[base : base + size], bounds
+
+
+def word_hashes(texts: pa.Array, lower: bool = True, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of the texts in order, and per text the offset of its first word (n + 1 offsets).
+
+    With `places`, also the byte at which each word starts.
+    """
+    data, bounds = buffer(texts)
+    size = len(data)
+    none = (np.empty(0, U64), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64))
+    if size == 0:
+        return none if places else none[:2]
     inside = _IS_WORD[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -93,7 +105,7 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     begins[edges] = inside[edges]  # a word never runs over the end of its text
     starts = np.flatnonzero(begins)
     if len(starts) == 0:
-        return np.empty(0, U64), np.zeros(len(texts) + 1, np.int64)
+        return none if places else none[:2]
     place = np.arange(size, dtype=np.int64)
     lengths = np.diff(np.append(starts, size))
     place[starts[0] :] -= np.repeat(starts, lengths)
@@ -104,8 +116,9 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     np.multiply.accumulate(powers, out=powers)
     values = _TABLES[lower][data]
     values *= powers[place]
-    hashes = np.add.reduceat(values, starts)
-    return mix(hashes), np.searchsorted(starts, bounds, side="left")
+    hashes = mix(np.add.reduceat(values, starts))
+    firsts = np.searchsorted(starts, bounds, side="left")
+    return (hashes, firsts, starts) if places else (hashes, firsts)
 
 
 def shingle_hashes(words: np.ndarray, firsts: np.ndarray, size: int, short_whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
