@@ -3,10 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from glyphmill.llm.decontaminate import contained_items
 from glyphmill.llm.jaccard_join import jaccard_components
+from glyphmill.llm.language_id import identify_languages
+from glyphmill.llm.piece_dropout import encode_pieces
+from glyphmill.llm.pii import find_personal_data
+from glyphmill.llm.quality_classifier import score_quality
+from glyphmill.llm.token_counts import count_tokens
+
+#: The public piece vocabulary that the registered queries use.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model(name: str = PIECE_MODEL) -> bytes:
+    """Bytes of a public vocabulary file (half a megabyte), read on the driver."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +35,63 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), piece_model())
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify_languages(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(_table(spark, sf_dir, "documents"), piece_model())
+    return found.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "lossless")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_quality_classifier,
+        op5_token_counts,
+        op6_benchmark_decontamination,
+        op8_language_id,
+        op9_personal_data,
+        op10_piece_dropout,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op6_benchmark_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+        ), si AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2),
+                lambda p: array_to_string(list_slice(w, p, p + least(len(w), 5) - 1), ' '))) AS s FROM i WHERE len(w) > 0
+        ), ni AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY 1
+        ), sd AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(list_slice(w, p, p + k - 1), ' '))) AS s
+                FROM d, (SELECT DISTINCT k FROM si) WHERE len(w) >= k)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM sd JOIN si USING (k, s) JOIN ni USING (item_id)
+        GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+    """,
     "op1_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

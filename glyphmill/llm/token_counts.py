@@ -50,7 +50,7 @@ class ChunkedEncoder:
         skip = begin + (begin > 0)
         found = self.processor.encode(text[skip:end], return_type="proto")
         ids = [p.id for p in found.pieces]
-        ends = skip + np.array([p.end for p in found.pieces], dtype=np.int64)
+        ends = skip + np.cumsum([len(p.surface) for p in found.pieces], dtype=np.int64)
         return ids, ends
 
     def encode(self, text: str) -> list[int]:
