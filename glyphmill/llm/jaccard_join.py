@@ -28,11 +28,15 @@ from pyspark.sql import functions as F
 from glyphmill.llm import kernels
 from glyphmill.llm.common import components, drop_table, map_batches, write_table
 
-#: A token is frequent when it is among the lowest-hash tokens of this many classes, or of one class in a thousand.
-FREQUENT_AT_LEAST = 64
-FREQUENT_SHARE = 1000
-#: Pivot rounds run while the pairs across components exceed this multiple of the bucket rows; then all are verified.
+#: A token is frequent when it is among the lowest-hash tokens of at least this many classes, doubled until at most
+#: FREQUENT_TOKENS tokens are (8 MB in each task, whatever the corpus).
+FREQUENT_AT_LEAST = 8
+FREQUENT_TOKENS = 1_000_000
+#: While the pairs across components exceed this multiple of the bucket rows, pivots of the buckets over PIVOT_BUCKET are
+#: verified against their members (at most PIVOT_ROUNDS times); then all remaining pairs are.
 EXPAND_LIMIT = 8
+PIVOT_BUCKET = 32
+PIVOTS = 16
 PIVOT_ROUNDS = 3
 
 
@@ -240,11 +244,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    n_classes = classes.count()
     counted = write_table(classes.select(F.explode("low").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"))
-    # at most sum(|low|) / limit tokens, about 0.15 * FREQUENT_SHARE times the mean set size: bounded at any scale
-    limit = max(FREQUENT_AT_LEAST, n_classes // FREQUENT_SHARE)
-    often = np.sort(np.array([r[0] for r in counted.filter(F.col("c") >= limit).select("sig").collect()], dtype=np.int64).view(np.uint64))
+    spread = counted.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
+    limit = FREQUENT_AT_LEAST
+    while sum(r.n for r in spread if 1 << r.k >= limit) > FREQUENT_TOKENS:
+        limit *= 2
+    often = counted.filter(F.col("c") >= limit).select("sig").toArrow().column("sig").to_numpy()
+    often = np.sort(often.view(np.uint64))
     often = spark.sparkContext.broadcast(often)
     schema = "sig long, rid long, n long, ub long, w long"
     signed = map_batches(classes.select("rid", "n", "w", "low"), _signed(num, den, often), schema)
@@ -273,11 +279,15 @@ def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num
         last = turn == PIVOT_ROUNDS or total <= EXPAND_LIMIT * max(1000, buckets.count())
         x, y = at.alias("x"), at.alias("y")
         if last:
-            pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den))
-        else:  # pivots: the class with most copies first, then others in turn
-            rank = F.struct(*([-F.col("w")] if turn == 0 else []), F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "ub", "comp")
-            pivots = at.groupBy("sig").agg(F.min(rank).alias("p")).select("sig", "p.rid", "p.n", "p.ub", "p.comp").alias("y")
-            pairs = x.join(pivots, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den))
+            across = F.col("x.comp") < F.col("y.comp")
+        else:
+            masks = [int(m) for m in kernels.mix(np.arange(PIVOTS * turn, PIVOTS * (turn + 1), dtype=np.uint64)).view(np.int64) & 0x7FFFFFFFFFFFFFFF]
+            large = at.groupBy("sig").agg(F.count("*").alias("m"), *[F.min(F.col("rid").bitwiseXOR(F.lit(m))).alias(f"p{k}") for k, m in enumerate(masks)]).filter(F.col("m") > PIVOT_BUCKET)
+            chosen = large.select("sig", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)]))).alias("rid"))
+            y = at.join(chosen, ["sig", "rid"]).alias("y")
+            across = F.col("x.comp") != F.col("y.comp")
+        bounds = _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den)
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & across & bounds)
         pairs = write_table(pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
         new = verifier.links(pairs)
         drop_table(pairs)
