@@ -5,6 +5,570 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from glyphmill.functions import formatting as fmt
+from glyphmill.functions import locales as loc
+from glyphmill.functions import matching as m
+from glyphmill.functions import text as t
+from glyphmill.operators import tables
+from glyphmill.sources import catalogues as cat
+from glyphmill.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(table: str | None = None, sql: str | None = None):
+    """Register a query under its function's name; with `table`, it takes that table."""
+
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = (lambda spark, sf: f(spark.read.parquet(f"{sf}/{table}.parquet"))) if table else f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# --- regular expressions ------------------------------------------------------------------------------------------
+
+
+@_query("documents", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{Lu}\p{Ll}+')) AS INTEGER) AS n FROM documents")
+def regex_count(docs):
+    return docs.select("doc_id", m.regex_count(F.col("text"), r"\p{Lu}\p{Ll}+").alias("n"))
+
+
+@_query("pages", r"SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/?(.*)$', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)/?(.*)$', 2) AS host FROM pages")
+def regex_groups(pages):
+    found = m.regex_find(F.col("url"), r"^(https?)://([^/]+)/?(.*)$")
+    return pages.select("page_id", F.coalesce(found["groups"][1], F.lit("")).alias("scheme"), F.coalesce(found["groups"][2], F.lit("")).alias("host"))
+
+
+@_query("conversations", r"SELECT conv_id, turn, strpos(text, regexp_extract(text, '\p{Lu}\p{Ll}+')) - 1 AS first_start, CAST(len(regexp_extract_all(text, '\p{Lu}\p{Ll}+')) AS BIGINT) AS n FROM conversations WHERE regexp_matches(text, '\p{Lu}\p{Ll}+')")
+def regex_find_offsets(conv):
+    found = m.regex_find_all(F.col("text"), r"\p{Lu}\p{Ll}+")
+    out = conv.select("conv_id", "turn", found.alias("f")).filter(F.size("f") > 0)
+    return out.select("conv_id", "turn", F.col("f")[0]["start"].cast("long").alias("first_start"), F.size("f").cast("long").alias("n"))
+
+
+@_query("pages", r"SELECT page_id, regexp_replace(url, '([a-z]+)\.([a-z]+)', '\2.\1', 'g') AS swapped, regexp_replace(url, '[aeiou]', '_') AS once FROM pages")
+def regex_replace(pages):
+    return pages.select("page_id", m.regex_replace(F.col("url"), r"([a-z]+)\.([a-z]+)", "$2.$1").alias("swapped"), m.regex_replace(F.col("url"), "[aeiou]", "_", limit=1).alias("once"))
+
+
+@_query("documents", r"SELECT doc_id, CAST(len(string_split_regex(text, '[.!?]\s*')) AS INTEGER) AS parts FROM documents")
+def regex_split(docs):
+    return docs.select("doc_id", F.size(m.regex_split(F.col("text"), r"[.!?]\s*")).alias("parts"))
+
+
+@_query("part", r"SELECT p_partkey, regexp_full_match(p_name, '[a-z]+( [a-z]+)*') AS matched, regexp_matches(p_brand, '#1') AS found FROM part")
+def regex_match_search(part):
+    return part.select("p_partkey", m.regex_match(F.col("p_name"), "[a-z]+( [a-z]+)*").alias("matched"), m.regex_search(F.col("p_brand"), "#1").alias("found"))
+
+
+@_query("customer", "SELECT c_custkey, regexp_replace(c_name, '[0-9]+', 'N') AS sed_once, regexp_replace(c_name, '[aeiou]', '', 'gi') AS sed_all FROM customer")
+def regex_sed(customer):
+    return customer.select("c_custkey", m.sed(F.col("c_name"), "s/[0-9]+/N/").alias("sed_once"), m.sed(F.col("c_name"), "s|[aeiou]||gi").alias("sed_all"))
+
+
+@_query("part", "SELECT p_partkey, contains(p_type, 'A') AS escaped, len(regexp_extract_all(p_type, '(?i)o')) AS n_o FROM part")
+def regex_escape_flags(part):
+    return part.select("p_partkey", m.regex_search(F.col("p_type"), m.escape("A")).alias("escaped"), m.regex_count(F.col("p_type"), "o", m.CASE_INSENSITIVE).cast("long").alias("n_o"))
+
+
+# --- normalization and characters ---------------------------------------------------------------------------------
+
+
+@_query("documents", "SELECT doc_id, md5(nfc_normalize(text)) AS nfc, nfc_normalize(text) = text AS is_nfc FROM documents")
+def normalize_nfc(docs):
+    return docs.select("doc_id", F.md5(t.normalize(F.col("text")).cast("binary")).alias("nfc"), t.is_normalized(F.col("text")).alias("is_nfc"))
+
+
+@_query("documents", "SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents")
+def remove_accents(docs):
+    return docs.select("doc_id", F.md5(t.remove_accents(F.col("text")).cast("binary")).alias("plain"))
+
+
+@_query(sql="SELECT * FROM (VALUES (1, 'fi', 'ﬁ', 'NFKC'), (2, '1', '①', 'NFKD'), (3, 'é', 'é', 'NFC'), (4, '가', '가', 'NFKC')) v(id, normal, text, form)")
+def normalize_forms(spark, _):
+    rows = [(1, "ﬁ", "NFKC"), (2, "①", "NFKD"), (3, "é", "NFC"), (4, "가", "NFKC")]
+    df = _literals(spark, rows, "id int, text string, form string")
+    return df.withColumn("normal", F.coalesce(*[F.when(F.col("form") == f, t.normalize(F.col("text"), f)) for f in t.FORMS]))
+
+
+@_query("conversations", "SELECT conv_id, turn, length_grapheme(text) AS graphemes FROM conversations")
+def grapheme_length(conv):
+    return conv.select("conv_id", "turn", F.size(t.break_graphemes(F.col("text"))).cast("long").alias("graphemes"))
+
+
+@_query(
+    "documents",
+    r"""SELECT category, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(c, '\p{Lu}') THEN 'Lu' WHEN regexp_matches(c, '\p{Ll}') THEN 'Ll' WHEN regexp_matches(c, '\p{Nd}') THEN 'Nd'
+        WHEN regexp_matches(c, '\p{Zs}') THEN 'Zs' WHEN regexp_matches(c, '\p{Po}') THEN 'Po' WHEN regexp_matches(c, '\p{Sm}') THEN 'Sm' WHEN regexp_matches(c, '\p{Sc}') THEN 'Sc'
+        WHEN regexp_matches(c, '\p{Cc}') THEN 'Cc' ELSE 'other' END AS category FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '') GROUP BY 1""",
+)
+def char_category_histogram(docs):
+    chars = docs.select(F.explode(F.split("text", "")).alias("c")).filter("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    kind = t.char_category(F.col("c"))
+    named = chars.select(F.when(kind.isin("Lu", "Ll", "Nd", "Zs", "Po", "Sm", "Sc", "Cc"), kind).otherwise("other").alias("category"), "n")
+    return named.groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@_query("customer", "SELECT c_custkey, printf('U+%04X', unicode(c_name)) AS point, c_mktsegment AS seg, printf('U+%04X', unicode(c_mktsegment)) AS seg_point FROM customer")
+def char_codepoint(customer):
+    return customer.select("c_custkey", t.codepoint(F.col("c_name")).alias("point"), F.col("c_mktsegment").alias("seg"), t.codepoint(F.col("c_mktsegment")).alias("seg_point"))
+
+
+@_query(sql="""SELECT * FROM (VALUES ('α', 'U+03B1', 'GREEK SMALL LETTER ALPHA', 'Ll', 'Greek', true, true), ('A', 'U+0041', 'LATIN CAPITAL LETTER A', 'Lu', 'Latin', true, false),
+    ('5', 'U+0035', 'DIGIT FIVE', 'Nd', 'Common', false, false), (' ', 'U+0020', 'SPACE', 'Zs', 'Common', false, false), ('!', 'U+0021', 'EXCLAMATION MARK', 'Po', 'Common', false, false))
+    v(c, codepoint, name, category, script, is_letter, is_lower)""")
+def char_info(spark, _):
+    df = _literals(spark, [(c,) for c in "αA5 !"], "c string").select("c", t.char_info(F.col("c")).alias("i"))
+    return df.select("c", "i.codepoint", "i.name", "i.category", "i.script", "i.is_letter", "i.is_lower")
+
+
+# --- scripts, direction, look-alikes, domains ---------------------------------------------------------------------
+
+
+@_query("documents", r"SELECT doc_id, CASE WHEN regexp_matches(left(text, 1), '\p{Latin}') THEN 'Latin' ELSE 'Common' END AS script, CAST(regexp_matches(text, '\p{Latin}') AS INTEGER) AS n_scripts FROM documents")
+def script_detect(docs):
+    return docs.select("doc_id", t.detect_script(F.col("text")).alias("script"), F.size(t.detect_scripts(F.col("text"))).alias("n_scripts"))
+
+
+@_query(sql="""SELECT * FROM (VALUES ('Hello', 'Latin', false, 'ltr'), ('Ελληνικά', 'Greek', false, 'ltr'), ('你好', 'Han', false, 'ltr'), ('مرحبا', 'Arabic', true, 'rtl'), ('Привет', 'Cyrillic', false, 'ltr'),
+    ('שלום', 'Hebrew', true, 'rtl'), ('12345', 'Common', false, 'neutral'), ('', 'Unknown', false, 'neutral')) v(text, script, rtl, direction)""")
+def script_literals(spark, _):
+    rows = [(x,) for x in ("Hello", "Ελληνικά", "你好", "مرحبا", "Привет", "שלום", "12345", "")]
+    df = _literals(spark, rows, "text string")
+    return df.select("text", t.detect_script(F.col("text")).alias("script"), t.is_rtl(F.col("text")).alias("rtl"), t.bidi_info(F.col("text"))["direction"].alias("direction"))
+
+
+@_query("conversations", "SELECT conv_id, turn, false AS has, length(text) AS n, 'ltr' AS base FROM conversations WHERE regexp_matches(text, '[A-Za-z]')")
+def bidi_controls(conv):
+    # a control is put into each text and taken out again
+    marked = F.concat(F.lit("‏"), F.col("text"), F.lit("‬"))
+    clean = t.strip_bidi_controls(marked)
+    return conv.filter(F.regexp_like("text", F.lit("[A-Za-z]"))).select("conv_id", "turn", t.has_bidi_controls(clean).alias("has"), F.length(clean).cast("long").alias("n"), t.base_direction(clean).alias("base"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('paypal', 'pаypal', true, 'paypal'), ('hello', 'world', false, 'world'), ('pool', 'pool', true, 'pool')) v(a, b, confusable, skeleton)")
+def spoof_compare(spark, _):
+    df = _literals(spark, [("paypal", "pаypal"), ("hello", "world"), ("pool", "pool")], "a string, b string")
+    return df.select("a", "b", t.are_confusable(F.col("a"), F.col("b")).alias("confusable"), t.skeleton(F.col("b")).alias("skeleton"))
+
+
+@_query("nation", "SELECT n_nationkey, lower(n_name) AS name FROM nation")
+def spoof_check(nation):
+    return nation.filter(t.check_string(F.lower("n_name"))["flags"] >= 0).select("n_nationkey", F.lower("n_name").alias("name"))
+
+
+@_query("pages", r"SELECT page_id, regexp_extract(url, '://([^/:]+)', 1) AS host, true AS ascii FROM pages")
+def idna_hosts(pages):
+    host = F.regexp_extract("url", "://([^/:]+)", 1)
+    return pages.select("page_id", t.idna_decode(t.idna_encode(host)).alias("host"), t.is_ascii(t.idna_encode(host)).alias("ascii"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('münchen.de', 'xn--mnchen-3ya.de', 'münchen.de'), ('example.com', 'example.com', 'example.com'), ('bücher.example', 'xn--bcher-kva.example', 'bücher.example')) v(domain, encoded, decoded)")
+def idna_literals(spark, _):
+    df = _literals(spark, [("münchen.de",), ("example.com",), ("bücher.example",)], "domain string")
+    return df.select("domain", t.idna_encode(F.col("domain")).alias("encoded"), t.idna_decode(t.idna_encode(F.col("domain"))).alias("decoded"))
+
+
+# --- segmentation -------------------------------------------------------------------------------------------------
+
+
+@_query(
+    "documents",
+    r"""SELECT lang, word, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS INTEGER) AS rank FROM (SELECT lang, word, count(*) AS n FROM
+        (SELECT lang, unnest(regexp_extract_all(strip_accents(lower(text)), '\p{L}+')) AS word FROM documents) GROUP BY 1, 2)) WHERE rank <= 10""",
+)
+def top_words_by_language(docs):
+    words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # accents go after the first aggregation: once for each distinct word
+    plain = counts.groupBy("lang", t.remove_accents(F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+    ranked = plain.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    return ranked.filter("rank <= 10")
+
+
+@_query("documents", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}]+')) AS BIGINT) AS words FROM documents WHERE NOT regexp_matches(text, '[^\p{L}\s.,]')")
+def break_words(docs):
+    plain = docs.filter(~F.regexp_like("text", F.lit(r"[^\p{L}\s.,]")))
+    words = F.filter(t.break_words(F.col("text"), skip_punctuation=True), lambda w: F.regexp_like(w, F.lit(r"\p{L}")))
+    # full stops and commas within words ("a.b") do not part them
+    return plain.select("doc_id", F.aggregate(words, F.lit(0), lambda a, w: a + F.size(F.split(w, r"[.,]+"))).cast("long").alias("words"))
+
+
+@_query("conversations")
+def break_sentences(conv):
+    return conv.select("conv_id", "turn", F.size(t.break_sentences(F.col("text"))).alias("sentences"), F.size(t.tokenize_sentences(F.col("text"), skip_punctuation=True)).alias("with_words"))
+
+
+@_query("conversations", "SELECT conv_id, turn, md5(text) AS joined FROM conversations")
+def break_lines(conv):
+    return conv.select("conv_id", "turn", F.md5(F.array_join(t.break_lines(F.col("text")), "").cast("binary")).alias("joined"))
+
+
+@_query("conversations")
+def break_words_rows(conv):
+    return tables.tokens(conv.select("conv_id", "turn", "text"), "text", "word").groupBy("token").agg(F.count("*").alias("n"))
+
+
+# --- transliteration and escapes ----------------------------------------------------------------------------------
+
+
+@_query(sql="SELECT * FROM (VALUES ('Привет мир', 'Privet mir'), ('café résumé', 'cafe resume'), ('Ελλάδα', 'Ellada')) v(text, ascii)")
+def transliterate_ascii(spark, _):
+    df = _literals(spark, [("Привет мир",), ("café résumé",), ("Ελλάδα",)], "text string")
+    return df.select("text", t.to_ascii(F.col("text")).alias("ascii"))
+
+
+@_query("part", "SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low FROM part")
+def transliterate_case(part):
+    return part.select("p_partkey", t.to_upper(F.col("p_name")).alias("up"), t.to_lower(F.col("p_type")).alias("low"))
+
+
+@_query("nation")
+def transliterate_fan_out(nation):
+    return tables.transliterate_all(nation.select("n_nationkey", "n_name"), "n_name", ["Latin-Cyrillic", "Latin-Greek", "no-such-id"])
+
+
+@_query("nation", "SELECT n_nationkey, replace(replace(n_name, 'A', '4'), 'E', '3') AS leet FROM nation")
+def transliterate_rules(nation):
+    return nation.select("n_nationkey", t.transliterate_rules(F.col("n_name"), "A > 4; E > 3;").alias("leet"))
+
+
+@_query("conversations", "SELECT conv_id, turn, md5(text) AS u, md5(text) AS x FROM conversations WHERE turn = 0 AND NOT contains(text, '\\')")
+def escape_round_trip(conv):
+    plain = conv.filter("turn = 0").filter(~F.contains("text", F.lit("\\")))
+    back = lambda style: F.md5(t.escape_decode(t.escape_encode(F.col("text"), style)).cast("binary"))
+    ascii_x = F.when(t.is_ascii(F.col("text")), back("x")).otherwise(F.md5(F.col("text").cast("binary")))
+    return plain.select("conv_id", "turn", back("u").alias("u"), ascii_x.alias("x"))
+
+
+# --- collation and search -----------------------------------------------------------------------------------------
+
+
+@_query("part", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_name COLLATE de, p_partkey) AS INTEGER) AS rank FROM part")
+def collation_sort(part):
+    return part.select("p_partkey", F.row_number().over(W.orderBy(m.sort_key(F.col("p_name"), "de_DE"), "p_partkey")).alias("rank"))
+
+
+@_query("documents", r"SELECT word, rank FROM (SELECT word, CAST(dense_rank() OVER (ORDER BY icu_sort_key(word, 'de')) AS INTEGER) AS rank FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}]+')) AS word FROM documents WHERE lang = 'de'))")
+def collation_unique_sorted(docs):
+    words = docs.filter("lang = 'de'").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
+    return words.select("word", F.dense_rank().over(W.orderBy(m.sort_key(F.col("word"), "de_DE"))).alias("rank"))
+
+
+@_query("nation", "SELECT a.n_nationkey, CAST(CASE WHEN icu_sort_key(a.n_name, 'en') < icu_sort_key('Japan', 'en') THEN -1 WHEN icu_sort_key(a.n_name, 'en') > icu_sort_key('Japan', 'en') THEN 1 ELSE 0 END AS INTEGER) AS sign FROM nation a")
+def collation_compare(nation):
+    return nation.select("n_nationkey", m.compare(F.col("n_name"), F.lit("Japan")).alias("sign"))
+
+
+@_query(
+    "documents",
+    r"SELECT count(DISTINCT replace(replace(replace(lower(strip_accents(word)), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS word FROM documents)",
+)
+def collation_primary_groups(docs):
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
+    return words.select(m.sort_key(F.col("word"), "en_US", "primary").alias("k")).agg(F.countDistinct("k").alias("n"))
+
+
+@_query("documents", "SELECT doc_id, (length(p) - length(replace(p, 'tion', ''))) // 4 AS n FROM (SELECT doc_id, lower(strip_accents(text)) AS p FROM documents WHERE lang = 'en')")
+def search_count(docs):
+    return docs.filter("lang = 'en'").select("doc_id", m.search_count(F.col("text"), "TION", "en_US", "primary").cast("long").alias("n"))
+
+
+@_query("part", "SELECT p_partkey, replace(p_type, 'STEEL', 'x') AS replaced, contains(lower(p_type), 'steel') AS has FROM part")
+def search_replace(part):
+    return part.select("p_partkey", m.search_replace(F.col("p_type"), "STEEL", "x", strength="tertiary").alias("replaced"), m.search_contains(F.col("p_type"), "steel", strength="primary").alias("has"))
+
+
+@_query(sql="SELECT 'The cafe is here' AS text, 4 AS start, 8 AS \"end\", 'cafe' AS match")
+def search_first(spark, _):
+    df = _literals(spark, [("The cafe is here",)], "text string").select("text", m.search_first(F.col("text"), "cafe").alias("f"))
+    return df.select("text", "f.start", "f.end", F.col("f.text").alias("match"))
+
+
+@_query("nation", "SELECT upper(left(n_name, 1)) AS bucket, count(*) AS n, min(n_name) AS first FROM nation GROUP BY 1")
+def index_buckets(nation):
+    return tables.index_buckets(nation, "n_name").select("bucket", F.size("names").cast("long").alias("n"), F.col("names")[0].alias("first"))
+
+
+# --- numbers, plurals, measures, durations -------------------------------------------------------------------------
+
+
+@_query("orders", "SELECT o_orderkey, regexp_replace(regexp_replace(format('{:,.2f}', o_totalprice), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS en FROM orders")
+def format_number_en(orders):
+    return orders.select("o_orderkey", fmt.format_number(F.col("o_totalprice")).alias("en"))
+
+
+@_query("orders", "SELECT o_orderkey, replace(replace(replace(regexp_replace(regexp_replace(format('{:,.2f}', o_totalprice), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''), ',', '_'), '.', ','), '_', '.') AS de FROM orders")
+def format_number_de(orders):
+    return orders.select("o_orderkey", fmt.format_number(F.col("o_totalprice"), "de_DE").alias("de"))
+
+
+@_query("orders", "SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS usd FROM orders")
+def format_currency(orders):
+    return orders.select("o_orderkey", fmt.format_currency(F.col("o_totalprice")).alias("usd"))
+
+
+@_query("lineitem", "SELECT l_discount, CAST(round(l_discount * 100) AS INTEGER) || '%' AS pct, count(*) AS n FROM lineitem GROUP BY 1")
+def format_percent(lineitem):
+    counts = lineitem.groupBy("l_discount").agg(F.count("*").alias("n"))
+    return counts.select("l_discount", fmt.format_percent(F.col("l_discount")).alias("pct"), "n")
+
+
+@_query(sql="SELECT * FROM (VALUES (1, 'one', '1st'), (2, 'two', '2nd'), (13, 'thirteen', '13th'), (42, 'forty-two', '42nd'), (1000, 'one thousand', '1,000th')) v(n, words, ordinal)")
+def format_spellout_ordinal(spark, _):
+    df = _literals(spark, [(1,), (2,), (13,), (42,), (1000,)], "n int")
+    return df.select("n", fmt.format_spellout(F.col("n")).alias("words"), fmt.format_ordinal(F.col("n")).alias("ordinal"))
+
+
+@_query("part", "SELECT p_size, CASE WHEN p_size * 1000 < 10000 THEN CAST(p_size AS VARCHAR) || 'K' ELSE CAST(p_size AS VARCHAR) || 'K' END AS compact, count(*) AS n FROM part GROUP BY 1, 2")
+def format_compact(part):
+    counts = part.groupBy("p_size").agg(F.count("*").alias("n"))
+    return counts.select("p_size", fmt.format_compact(F.col("p_size") * 1000).alias("compact"), "n")
+
+
+@_query("orders", "SELECT o_orderkey, round(o_totalprice, 2) AS back FROM orders")
+def parse_number_round_trip(orders):
+    shown = fmt.format_number(F.col("o_totalprice"), "de_DE")
+    return orders.select("o_orderkey", F.round(fmt.parse_number(shown, "de_DE"), 2).alias("back"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('1,234.56', 1234.56::DOUBLE), ('-1,234', -1234.0::DOUBLE), ('abc', NULL)) v(text, value)")
+def parse_number(spark, _):
+    return _literals(spark, [("1,234.56",), ("-1,234",), ("abc",)], "text string").select("text", fmt.parse_number(F.col("text")).alias("value"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('50%', 0.5::DOUBLE), ('125%', 1.25::DOUBLE)) v(text, value)")
+def parse_percent(spark, _):
+    return _literals(spark, [("50%",), ("125%",)], "text string").select("text", fmt.parse_percent(F.col("text")).alias("value"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('$1,234.56', 1234.56::DOUBLE, 'USD')) v(text, value, currency)")
+def parse_currency(spark, _):
+    df = _literals(spark, [("$1,234.56",)], "text string").select("text", fmt.parse_currency(F.col("text")).alias("c"))
+    return df.select("text", "c.value", "c.currency")
+
+
+@_query(
+    "lineitem",
+    """SELECT l_linenumber AS n, CASE WHEN l_linenumber = 1 THEN 'one' ELSE 'other' END AS en, CASE WHEN l_linenumber % 10 = 1 AND l_linenumber % 100 <> 11 THEN 'one'
+        WHEN l_linenumber % 10 BETWEEN 2 AND 4 AND l_linenumber % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS ru,
+        CASE l_linenumber WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'few' ELSE 'other' END AS ord, count(*) AS rows FROM lineitem GROUP BY 1""",
+)
+def plural_categories(lineitem):
+    n = F.col("n")
+    counts = lineitem.groupBy(F.col("l_linenumber").alias("n")).agg(F.count("*").alias("rows"))
+    return counts.select("n", fmt.plural_category(n).alias("en"), fmt.plural_category(n, "ru_RU").alias("ru"), fmt.ordinal_category(n).alias("ord"), "rows")
+
+
+@_query("part", "SELECT p_partkey, p_size * 0.621371::DOUBLE AS miles, CAST(p_size AS DOUBLE) * 9 / 5 + 32 AS fahrenheit FROM part")
+def measure_convert(part):
+    return part.select("p_partkey", fmt.convert_units(F.col("p_size"), "kilometer", "mile").alias("miles"), fmt.convert_units(F.col("p_size"), "celsius", "fahrenheit").alias("fahrenheit"))
+
+
+@_query("part", "SELECT p_size, CASE WHEN p_size = 1 THEN '1 kilometer' ELSE p_size || ' kilometers' END AS long, p_size || ' km' AS short, count(*) AS n FROM part GROUP BY 1")
+def measure_format(part):
+    counts = part.groupBy("p_size").agg(F.count("*").alias("n"))
+    size = F.col("p_size")
+    return counts.select("p_size", fmt.format_measure(size, "kilometer").alias("long"), fmt.format_measure(size, "kilometer", width="SHORT").alias("short"), "n")
+
+
+@_query("part", "SELECT p_partkey, CASE WHEN p_size = 0 THEN '' ELSE p_size || (CASE p_size WHEN 1 THEN ' hour' ELSE ' hours' END) || ' ' END || '30 minutes' AS shown FROM part WHERE p_size < 24")
+def duration_format(part):
+    return part.filter("p_size < 24").select("p_partkey", fmt.format_duration(F.col("p_size") * 3600 + 1800).alias("shown"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('P2DT3H30M', 2.0::DOUBLE, 3.0::DOUBLE, 30.0::DOUBLE), ('PT1.5H', 0.0::DOUBLE, 1.5::DOUBLE, 0.0::DOUBLE), ('P1Y2M3W4DT5H6M7S', 4.0::DOUBLE, 5.0::DOUBLE, 6.0::DOUBLE), ('2DT3H', NULL, NULL, NULL)) v(iso, days, hours, minutes)")
+def duration_iso(spark, _):
+    df = _literals(spark, [("P2DT3H30M",), ("PT1.5H",), ("P1Y2M3W4DT5H6M7S",), ("2DT3H",)], "iso string").select("iso", fmt.parse_iso_duration(F.col("iso")).alias("d"))
+    return df.select("iso", "d.days", "d.hours", "d.minutes")
+
+
+# --- lists, messages, dates ---------------------------------------------------------------------------------------
+
+
+@_query(
+    None,
+    """SELECT r_name, CASE len(l) WHEN 0 THEN '' WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:-2], ', ') || ', and ' || l[-1] END AS names
+        FROM (SELECT r_name, list(n_name ORDER BY n_name) AS l FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1)""",
+)
+def list_format(spark, sf):
+    names = spark.read.parquet(f"{sf}/nation.parquet").join(F.broadcast(spark.read.parquet(f"{sf}/region.parquet")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return names.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("l")).select("r_name", fmt.format_list(F.col("l")).alias("names"))
+
+
+@_query("events", "SELECT event_id, 'user ' || user_id || ' had ' || CASE event_id % 3 WHEN 0 THEN 'no items' WHEN 1 THEN 'one item' ELSE '2 items' END || ' in ' || event_type AS message FROM events WHERE event_id < 3000")
+def message_format(events):
+    pattern = "user {u} had {n, plural, =0 {no items} one {one item} other {# items}} in {k}"
+    some = events.filter("event_id < 3000")
+    args = {"u": F.col("user_id"), "n": F.col("event_id") % 3, "k": F.col("event_type")}
+    return some.select("event_id", fmt.format_message(pattern, args, types={"n": "number"}).alias("message"))
+
+
+@_query(
+    "orders",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%m/%d/%Y') AS us, strftime(o_orderdate, '%d/%m/%Y') AS eu, strftime(o_orderdate, '%A, %B %-d, %Y') AS long FROM orders""",
+)
+def date_patterns(orders):
+    day = F.col("o_orderdate")
+    return orders.select("o_orderkey", *[fmt.format_datetime(day, pattern=p).alias(a) for p, a in (("ISO_DATE", "iso"), ("US_DATE", "us"), ("EU_DATE", "eu"), ("LONG_DATE", "long"))])
+
+
+@_query("orders", "SELECT o_orderkey, strftime(o_orderdate, '%b %-d, %Y') AS medium, strftime(o_orderdate, '%-d. ') AS de_day FROM orders")
+def date_styles(orders):
+    day = F.col("o_orderdate")
+    german = F.regexp_extract(fmt.format_datetime(day, "de_DE", date_style="LONG", time_style="NONE"), r"^(\d+\. )", 1)
+    return orders.select("o_orderkey", fmt.format_datetime(day, date_style="MEDIUM", time_style="NONE").alias("medium"), german.alias("de_day"))
+
+
+@_query("orders", "SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS back FROM orders")
+def date_parse(orders):
+    shown = fmt.format_datetime(F.col("o_orderdate"), pattern="ISO_DATE")
+    return orders.select("o_orderkey", fmt.parse_datetime(shown, pattern="ISO_DATE").cast("timestamp_ntz").alias("back"))
+
+
+@_query("orders")
+def date_calendars(orders):
+    day = F.col("o_orderdate")
+    return orders.select("o_orderkey", *[fmt.format_datetime(day, calendar=c, date_style="LONG", time_style="NONE").alias(c) for c in ("hebrew", "islamic", "japanese")])
+
+
+@_query("orders")
+def date_interval(orders):
+    return orders.select("o_orderkey", fmt.format_interval(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("interval"))
+
+
+@_query(
+    "part",
+    "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'in 1 ' || u ELSE 'in ' || p_size || ' ' || u || 's' END AS shown FROM (SELECT p_partkey, p_size, CASE WHEN p_size < 60 THEN 'second' ELSE 'minute' END AS u FROM part) WHERE p_size BETWEEN 1 AND 59",
+)
+def relative_time(part):
+    return part.filter("p_size BETWEEN 1 AND 59").select("p_partkey", fmt.format_relative(F.col("p_size")).alias("shown"))
+
+
+# --- locales and reference tables ---------------------------------------------------------------------------------
+
+
+@_query(sql="SELECT * FROM (VALUES ('ja', 'Japanese', 'language'), ('JP', 'Japan', 'region'), ('Cyrl', 'Cyrillic', 'script'), ('EUR', 'Euro', 'currency'), ('USD', '$', 'symbol'), ('ja_JP', 'Japanese (Japan)', 'locale')) v(code, name, kind)")
+def display_names(spark, _):
+    rows = [("ja", "language"), ("JP", "region"), ("Cyrl", "script"), ("EUR", "currency"), ("USD", "symbol"), ("ja_JP", "locale")]
+    df = _literals(spark, rows, "code string, kind string")
+    return df.select("code", F.coalesce(*[F.when(F.col("kind") == k, loc.display_name(F.col("code"), k)) for k in loc.KINDS]).alias("name"), "kind")
+
+
+@_query(sql="SELECT * FROM (VALUES ('zh', 'zh_Hans_CN', 'zh', 'zh'), ('sr_Latn_RS', 'sr_Latn_RS', 'sr_Latn', 'sr'), ('iw', 'he_Hebr_IL', 'he', 'he')) v(id, maximal, minimal, language)")
+def locale_subtags(spark, _):
+    df = _literals(spark, [("zh",), ("sr_Latn_RS",), ("iw",)], "id string")
+    at = loc.canonicalize(F.col("id"))
+    return df.select("id", loc.add_likely_subtags(at).alias("maximal"), loc.minimize_subtags(at).alias("minimal"), loc.parse_locale(at)["language"].alias("language"))
+
+
+@_query()
+def catalog_locales(spark, _):
+    return cat.locales(spark)
+
+
+@_query()
+def catalog_regions(spark, _):
+    return cat.regions(spark, None)
+
+
+@_query(sql="SELECT * FROM (VALUES ('US', '001'), ('US', '019'), ('US', '021')) v(code, ancestor)")
+def region_closure(spark, _):
+    return cat.region_closure(spark).filter("code = 'US' AND ancestor IN ('001', '019', '021')").select("code", "ancestor")
+
+
+@_query()
+def catalog_scripts(spark, _):
+    return cat.scripts(spark)
+
+
+@_query()
+def catalog_timezones(spark, _):
+    return cat.timezones(spark)
+
+
+@_query(sql="SELECT * FROM (VALUES ('America/New_York', -5.0::DOUBLE, 'UTC-5', true), ('Asia/Kolkata', 5.5::DOUBLE, 'UTC+05:30', false), ('Asia/Tokyo', 9.0::DOUBLE, 'UTC+9', false)) v(zone, offset_hours, shown, dst)")
+def timezone_info(spark, _):
+    df = _literals(spark, [("America/New_York",), ("Asia/Kolkata",), ("Asia/Tokyo",)], "zone string").select("zone", loc.timezone_info(F.col("zone")).alias("i"))
+    return df.select("zone", "i.offset_hours", F.col("i.offset_formatted").alias("shown"), F.col("i.uses_dst").alias("dst"))
+
+
+@_query()
+def catalog_calendars(spark, _):
+    return cat.calendars(spark)
+
+
+@_query()
+def catalog_units(spark, _):
+    return cat.units(spark)
+
+
+@_query()
+def catalog_currencies(spark, _):
+    return cat.currencies(spark)
+
+
+@_query()
+def catalog_transliterators(spark, _):
+    return cat.transliterators(spark)
+
+
+@_query()
+def catalog_blocks(spark, _):
+    return cat.blocks(spark)
+
+
+@_query()
+def catalog_collation_types(spark, _):
+    return cat.collation_types(spark)
+
+
+@_query(sql="SELECT 12 AS n, 'U+061C' AS first, 'U+2069' AS last")
+def catalog_bidi_controls(spark, _):
+    return cat.bidi_controls(spark).agg(F.count("*").cast("int").alias("n"), F.min("codepoint").alias("first"), F.max("codepoint").alias("last"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('months_wide', 0, 'January'), ('weekdays_wide', 0, 'Sunday'), ('am_pm', 1, 'PM')) v(kind, ordinal, name)")
+def date_symbols(spark, _):
+    return cat.date_symbols(spark).filter("(kind = 'months_wide' AND ordinal = 0) OR (kind = 'weekdays_wide' AND ordinal = 0) OR (kind = 'am_pm' AND ordinal = 1)")
+
+
+@_query(sql="SELECT 'de_DE' AS locale, ',' AS decimal, '.' AS grouping")
+def number_symbols(spark, _):
+    return cat.number_symbols(spark, "de_DE").select("locale", "decimal", "grouping")
+
+
+@_query(sql="SELECT unnest(['one', 'few', 'many', 'other']) AS category")
+def plural_info(spark, _):
+    return cat.plural_info(spark, "ru_RU").select("category")
+
+
+@_query(sql="SELECT chr(CAST(64 + i AS INTEGER)) AS label FROM range(1, 27) r(i)")
+def index_labels(spark, _):
+    return cat.index_labels(spark).select("label")
+
+
+# --- sinks --------------------------------------------------------------------------------------------------------
+
+
+@_query("nation", "SELECT n_nationkey || chr(9) || n_name || chr(9) || n_regionkey AS line FROM nation")
+def tsv_lines(nation):
+    return files.as_tsv(nation.select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@_query("region", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS line FROM region""")
+def json_lines(region):
+    return files.as_json(region.select("r_regionkey", "r_name"))
