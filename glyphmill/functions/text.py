@@ -62,7 +62,7 @@ def detect_script(text: Column) -> Column:
 
 def detect_scripts(text: Column) -> Column:
     """Scripts in the order of their first characters, without the common and inherited ones."""
-    return jvm.array("scripts", text)
+    return jvm.array("scripts_of", text)
 
 
 def char_script(char: Column) -> Column:
