@@ -4,7 +4,8 @@ A document is the set of its distinct `size`-word shingles; two documents link w
 `den * |x & y| >= num * |x | y|`.  The tokens of the set join are the shingle hashes.
 
 1. Equal sets collapse into one class (128-bit digest of the sorted set), so exact copies are never paired.
-2. Tokens that are frequent among the classes go last in the global order; all others are ordered by hash.  With
+2. Tokens that are frequent among the classes go last in the global order; all others are ordered by hash.  They are
+   counted among the lowest-hash tokens of each class, and on whole sets where frequent ones crowd those out.  With
    e = |x| - ceil(t |x|) tokens to spare, rare tokens of the first e + 1 positions are indexed one by one.  A set
    that runs out of rare tokens extends its prefix into the frequent ones, which are split into hash classes and
    indexed as two-token combinations: a prefix of e + 1 + (number of its frequent classes) tokens shares
@@ -33,11 +34,13 @@ from glyphmill.llm.common import components, drop_table, map_batches, write_tabl
 FREQUENT_AT_LEAST = 8
 FREQUENT_TOKENS = 1_000_000
 #: While the pairs across components exceed this multiple of the bucket rows, pivots of the buckets over PIVOT_BUCKET are
-#: verified against their members (at most PIVOT_ROUNDS times); then all remaining pairs are.
+#: verified against their members, at most PIVOT_ROUNDS times; then all remaining pairs are.
 EXPAND_LIMIT = 8
 PIVOT_BUCKET = 32
 PIVOTS = 16
 PIVOT_ROUNDS = 3
+#: Up to so many wanted documents (20 MB) are looked up by a broadcast of their ids; beyond, by a shuffled join.
+LOOKUP_ROWS = 200_000
 
 
 def _spare(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -145,6 +148,16 @@ def _signed(num: int, den: int, often):
     return fn
 
 
+def _frequent(spark, counted: DataFrame):
+    """Broadcast of the sorted frequent tokens of `counted(sig, c)`."""
+    spread = counted.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
+    limit = FREQUENT_AT_LEAST
+    while sum(r.n for r in spread if 1 << r.k >= limit) > FREQUENT_TOKENS:
+        limit *= 2
+    often = counted.filter(F.col("c") >= limit).select("sig").toArrow().column("sig").to_numpy()
+    return spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+
+
 def _signed_whole(size: int, num: int, den: int, often):
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = often.value
@@ -182,6 +195,12 @@ def _whole_sets(size: int):
     return fn
 
 
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id is the `doc` of a row of `keys` (null ids too), with that row's columns."""
+    small = keys.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    return docs.join(F.broadcast(keys) if small else keys, docs["id"].eqNullSafe(keys["doc"]))
+
+
 def _may_link(na: Column, ua: Column, nb: Column, ub: Column, num: int, den: int) -> Column:
     """Length and positional bounds of one shared signature."""
     return (
@@ -207,12 +226,12 @@ class _Verifier:
         most = F.size(F.array_intersect("low_a", "low_b")) + F.greatest(F.col("n_a") - F.size("low_a"), F.col("n_b") - F.size("low_b"))
         close = write_table(low.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"))
         wanted = close.select(F.col("a").alias("rid")).union(close.select("b")).distinct()
-        keys = wanted.join(self.classes.select("rid", "doc", "k1", "k2"), "rid")
-        texts = self.docs.join(keys, self.docs["id"].eqNullSafe(keys["doc"])).select("rid", "k1", "k2", "text")
+        keys = write_table(wanted.join(self.classes.select("rid", "doc", "k1", "k2"), "rid"))
+        texts = _texts_of(self.docs, keys).select("rid", "k1", "k2", "text")
         sets = write_table(map_batches(texts, _whole_sets(self.size), "rid long, tokens array<long>").dropDuplicates(["rid"]))
         both = self._joined(close, sets).select("a", "b", F.size("tokens_a").alias("n_a"), F.size("tokens_b").alias("n_b"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("same"))
         out = write_table(both.filter(F.col("same") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"))
-        drop_table(close, sets)
+        drop_table(close, sets, keys)
         return out
 
 
@@ -245,19 +264,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     counted = write_table(classes.select(F.explode("low").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"))
-    spread = counted.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
-    limit = FREQUENT_AT_LEAST
-    while sum(r.n for r in spread if 1 << r.k >= limit) > FREQUENT_TOKENS:
-        limit *= 2
-    often = counted.filter(F.col("c") >= limit).select("sig").toArrow().column("sig").to_numpy()
-    often = np.sort(often.view(np.uint64))
-    often = spark.sparkContext.broadcast(often)
+    often = _frequent(spark, counted)
     schema = "sig long, rid long, n long, ub long, w long"
-    signed = map_batches(classes.select("rid", "n", "w", "low"), _signed(num, den, often), schema)
+    keys = classes.select("rid", "w", "doc", "k1", "k2")
+    rows = classes.select("rid", "n", "w", "low")
+    if len(often.value):  # sets that run out of rare tokens are counted as a whole, so that their order is known too
+        short = write_table(map_batches(rows, _signed(num, den, often), schema).filter("sig is null").select("rid").join(keys, "rid"))
+        whole = map_batches(_texts_of(docs, short).select("rid", "k1", "k2", "text"), _whole_sets(size), "rid long, tokens array<long>")
+        more = whole.dropDuplicates(["rid"]).select(F.explode("tokens").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
+        both = write_table(counted.union(more).groupBy("sig").agg(F.sum("c").alias("c")))
+        often = _frequent(spark, both)
+        drop_table(short, both)
+    signed = map_batches(rows, _signed(num, den, often), schema)
     if len(often.value):
         first = write_table(signed)
-        short = first.filter("sig is null").select("rid", "w").join(classes.select("rid", "doc", "k1", "k2"), "rid")
-        whole = docs.join(short, docs["id"].eqNullSafe(short["doc"])).select("rid", "w", "k1", "k2", "text")
+        short = write_table(first.filter("sig is null").select("rid").join(keys, "rid"))
+        whole = _texts_of(docs, short).select("rid", "w", "k1", "k2", "text")
         more = write_table(map_batches(whole, _signed_whole(size, num, den, often), schema).dropDuplicates(["sig", "rid"]))
         # whole sets reach beyond the counted tokens, so their signatures stay as they are
         shared = counted.select("sig").union(more.select("sig"))
@@ -268,14 +290,18 @@ def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num
     verifier = _Verifier(docs, classes, size, num, den)
     links = labels = None
     for turn in range(PIVOT_ROUNDS + 1):
-        at = buckets if labels is None else buckets.join(labels, buckets["rid"] == labels["node"], "left").drop("node")
-        at = at.withColumn("comp", F.col("rid") if labels is None else F.coalesce("label", "rid")).drop("label")
+        comp = F.col("rid").alias("comp") if labels is None else F.coalesce("label", "rid").alias("comp")
+        at = buckets if labels is None else buckets.join(labels, buckets["rid"] == labels["node"], "left")
+        at = write_table(at.select("sig", "rid", "n", "ub", "w", comp))
         parts = at.groupBy("sig", "comp").agg(F.count("*").alias("m"))
         spread = parts.groupBy("sig").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across")).filter("across > 0")
         total = spread.agg(F.sum("across")).first()[0] or 0
         if not total:
             break
-        at = at.join(spread.select("sig"), "sig", "left_semi")
+        left = write_table(at.join(spread.select("sig"), "sig", "left_semi"))
+        drop_table(at, buckets)
+        at, buckets = left, left.drop("comp")
+        buckets._glyphmill_path = left._glyphmill_path
         last = turn == PIVOT_ROUNDS or total <= EXPAND_LIMIT * max(1000, buckets.count())
         x, y = at.alias("x"), at.alias("y")
         if last:
