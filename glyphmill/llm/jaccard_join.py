@@ -34,7 +34,8 @@ from glyphmill.llm.common import components, drop_table, map_batches, write_tabl
 FREQUENT_AT_LEAST = 8
 FREQUENT_TOKENS = 1_000_000
 #: While the pairs across components exceed this multiple of the bucket rows, pivots of the buckets over PIVOT_BUCKET are
-#: verified against their members, at most PIVOT_ROUNDS times; then all remaining pairs are.
+#: verified against their members, at most PIVOT_ROUNDS times and as long as a round at least halves those pairs; then all
+#: remaining pairs are.
 EXPAND_LIMIT = 8
 PIVOT_BUCKET = 32
 PIVOTS = 16
@@ -253,7 +254,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("rid"), F.min("id").alias("doc"), F.count("*").alias("w"), F.first("low").alias("low"))
     )
     labels = _class_components(spark, docs, classes, size, num, den)
-    lowest = classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", F.coalesce("label", "rid").alias("comp"), "doc")
+    lowest = write_table(classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", F.coalesce("label", "rid").alias("comp"), "doc"))
     named = lowest.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = lowest.join(named, "comp").select("k1", "k2", "n", "component_id")
     out = rows.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
@@ -289,6 +290,7 @@ def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num
     buckets = write_table(kept)
     verifier = _Verifier(docs, classes, size, num, den)
     links = labels = None
+    before = float("inf")
     for turn in range(PIVOT_ROUNDS + 1):
         comp = F.col("rid").alias("comp") if labels is None else F.coalesce("label", "rid").alias("comp")
         at = buckets if labels is None else buckets.join(labels, buckets["rid"] == labels["node"], "left")
@@ -302,21 +304,27 @@ def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num
         drop_table(at, buckets)
         at, buckets = left, left.drop("comp")
         buckets._glyphmill_path = left._glyphmill_path
-        last = turn == PIVOT_ROUNDS or total <= EXPAND_LIMIT * max(1000, buckets.count())
+        last = turn == PIVOT_ROUNDS or 2 * total > before or total <= EXPAND_LIMIT * max(1000, buckets.count())
         x, y = at.alias("x"), at.alias("y")
         if last:
             across = F.col("x.comp") < F.col("y.comp")
         else:
+            # pivots need not meet a set in all its buckets: two by smallest signature keep copies together
             masks = [int(m) for m in kernels.mix(np.arange(PIVOTS * turn, PIVOTS * (turn + 1), dtype=np.uint64)).view(np.int64) & 0x7FFFFFFFFFFFFFFF]
-            large = at.groupBy("sig").agg(F.count("*").alias("m"), *[F.min(F.col("rid").bitwiseXOR(F.lit(m))).alias(f"p{k}") for k, m in enumerate(masks)]).filter(F.col("m") > PIVOT_BUCKET)
-            chosen = large.select("sig", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)]))).alias("rid"))
-            y = at.join(chosen, ["sig", "rid"]).alias("y")
+            large = at.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > PIVOT_BUCKET).select("sig")
+            low = at.join(large, "sig", "left_semi").groupBy("rid").agg(F.min("sig").alias("s"), F.min(F.col("sig").bitwiseXOR(F.lit(masks[0]))).alias("t"))
+            few = low.select("rid", F.explode(F.array_distinct(F.array("s", F.col("t").bitwiseXOR(F.lit(masks[0]))))).alias("sig"))
+            few = write_table(at.join(few, ["sig", "rid"]))
+            chosen = few.groupBy("sig").agg(*[F.min(F.col("rid").bitwiseXOR(F.lit(m))).alias(f"p{k}") for k, m in enumerate(masks)])
+            chosen = chosen.select("sig", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)]))).alias("rid"))
+            x, y = few.alias("x"), few.join(chosen, ["sig", "rid"]).alias("y")
             across = F.col("x.comp") != F.col("y.comp")
         bounds = _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den)
         pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & across & bounds)
         pairs = write_table(pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
         new = verifier.links(pairs)
         drop_table(pairs)
+        before = total
         links = new if links is None else write_table(links.union(new))
         labels = components(links)
         if last:
