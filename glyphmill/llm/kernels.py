@@ -21,7 +21,7 @@ _MIX_B = U64(0x94D049BB133111EB)
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 #: Texts are worked on in runs of about this many bytes (one long text alone may exceed it).
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
