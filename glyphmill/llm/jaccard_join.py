@@ -38,8 +38,8 @@ FREQUENT_TOKENS = 1_000_000
 #: remaining pairs are.
 EXPAND_LIMIT = 8
 PIVOT_BUCKET = 32
-PIVOTS = 16
-PIVOT_ROUNDS = 3
+PIVOTS = 32
+PIVOT_ROUNDS = 1
 #: Up to so many wanted documents (20 MB) are looked up by a broadcast of their ids; beyond, by a shuffled join.
 LOOKUP_ROWS = 200_000
 
