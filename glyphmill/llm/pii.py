@@ -7,7 +7,7 @@ do, the disclosure of t is the pointwise mutual information of t and k over the
     D(t, k) = log(p(k | t) / p(k)) / -log p(k)  =  1 + log p(k | t) / -log p(k),
 
 1 for a term that stands only there.  Terms at or above the disclosure threshold, seen with enough distinct entities,
-are generalised to their kind's mark where they stand beside an entity.  Counts cover all documents.
+are generalised to their mark wherever they stand, in every text.  Counts cover all documents.
 """
 
 from __future__ import annotations
@@ -133,22 +133,48 @@ def _context_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*both, pa.concat_arrays([pa.nulls(len(kind), pa.int64()), pa.array(term)])], ["kind", "entity", "term"])
 
 
+def blanked(text: str, spans: list[Span]) -> str:
+    """The text with all its pattern matches (ASCII alone) as blanks, so that offsets stay."""
+    out, done = [], 0
+    for start, _, end in spans:
+        if end > done:
+            start = max(start, done)
+            out += [text[done:start], " " * (end - start)]
+            done = end
+    return "".join((*out, text[done:])) if out else text
+
+
+def all_spans(texts: list[str], known: np.ndarray) -> list[list[Span]]:
+    """Pattern matches of each text and, wherever they stand outside of these, all words whose hash is in `known` (sorted)."""
+    found = [base_spans(t) for t in texts]
+    if not len(known):
+        return found
+    rest = pa.array([blanked(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
+    for start, stop in kernels.runs(rest):
+        part = rest[start:stop]
+        hashes, firsts, begins = kernels.word_hashes(part, places=True)
+        hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+        owners = np.searchsorted(firsts, hits, side="right") - 1
+        data, bounds = kernels.buffer(part)
+        at, done, last, text = 0, 0, -1, ""
+        for k, byte in zip(owners.tolist(), begins[hits].tolist(), strict=True):
+            if k != last:
+                at, done, last, text = 0, int(bounds[k]), k, part[k].as_py()
+            at += len(data[done:byte].tobytes().decode())
+            done = byte
+            found[start + k].append((at, 4, _WORD.match(text, at).end()))
+    return [sorted(f) for f in found]
+
+
 @dataclass(frozen=True)
 class Disclosure:
     """Sorted hashes of the disclosing terms of each base kind."""
 
     terms: tuple[np.ndarray, ...]
 
-    def spans(self, text: str) -> list[Span]:
-        found = base_spans(text)
-        if not found or not any(len(t) for t in self.terms):
-            return found
-        places = [(kind, a, b) for (_, kind, _), words in contexts(text, found) for a, b in words]
-        if not places:
-            return found
-        hashes = _hashes([text[a:b] for _, a, b in places])
-        more = {(a, 4, b) for (kind, a, b), h in zip(places, hashes, strict=True) if len(t := self.terms[kind]) and t[min(np.searchsorted(t, h), len(t) - 1)] == h}
-        return sorted(found + list(more))
+    @property
+    def known(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.terms))
 
 
 def learn_disclosure(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE) -> Disclosure:
@@ -195,11 +221,11 @@ def find_personal_data(docs: DataFrame, disclosure: Disclosure | None = None, id
     an empty table gives an empty result.
     """
     disclosure = disclosure or learn_disclosure(docs, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(disclosure)
+    sent = docs.sparkSession.sparkContext.broadcast(disclosure.known)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sent.value.spans(t)] for t in kernels.plain(batch.column(1)).to_pylist()]
+        found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in all_spans(kernels.plain(batch.column(1)).to_pylist(), sent.value)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -224,11 +250,13 @@ def masked(text: str, spans: list[Span]) -> str:
 def sanitise(docs: DataFrame, text_col: str = "text", disclosure: Disclosure | None = None) -> DataFrame:
     """`docs`, all columns as they were but for the text, in which all spans are generalised (null stays null)."""
     disclosure = disclosure or learn_disclosure(docs, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(disclosure)
+    sent = docs.sparkSession.sparkContext.broadcast(disclosure.known)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [t if t is None else masked(t, sent.value.spans(t)) for t in batch.column(at).to_pylist()]
+        texts = batch.column(at).to_pylist()
+        found = all_spans([t or "" for t in texts], sent.value)
+        texts = [t if t is None else masked(t, f) for t, f in zip(texts, found, strict=True)]
         yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return map_batches(docs, fn, docs.schema)

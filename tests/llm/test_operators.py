@@ -380,6 +380,16 @@ def test_disclosing_terms(spark, odd, none):
     assert pii.sanitise(odd).filter("text is null").count() == 1
 
 
+def test_disclosing_terms_stand_anywhere(spark):
+    plain = [(k, f"some common words here {k}\nmore common words") for k in range(200)]
+    told = [(1000 + k, f"chairman person{k}@example.com common words") for k in range(12)]
+    far = "é chairman one two three four five six person1@example.com\nnext\nchairman"
+    table = spark.createDataFrame([*plain, *told, (2000, far), (2001, "no address, only a Chairman here")], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert clean[2000].startswith("é [TERM] ") and clean[2000].endswith("[EMAIL]\nnext\n[TERM]")
+    assert clean[2001] == "no address, only a [TERM] here" and clean[5] == plain[5][1]
+
+
 def test_pieces_without_dropout_are_the_librarys(rows):
     import sentencepiece
 
