@@ -6,8 +6,9 @@ do, the disclosure of t is the pointwise mutual information of t and k over the
 
     D(t, k) = log(p(k | t) / p(k)) / -log p(k)  =  1 + log p(k | t) / -log p(k),
 
-1 for a term that stands only there.  Terms at or above the disclosure threshold, seen with enough distinct entities,
-are generalised to their mark wherever they stand, in every text.  Counts cover all documents.
+1 for a term that stands only there.  Terms at or above the disclosure threshold, beside one entity or many, are
+generalised to their mark wherever they stand, in every text.  Counts cover all documents, and words outside of matches.
+Counts and terms are tables: words that pass a bit map of fixed size are joined with the terms.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from glyphmill.llm import kernels
 from glyphmill.llm.common import drop_table, map_batches, write_table
@@ -28,10 +30,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity, within its line, that count as its context.
 CONTEXT_WORDS = 5
 DISCLOSURE = 0.85
-#: Distinct entities that a term must stand with: at least this many, and this share of all entities of the kind.  The
-#: share bounds the terms that are sent out: at most 2 * CONTEXT_WORDS / SUPPORT_SHARE a kind.
-SUPPORT = 3
-SUPPORT_SHARE = 1e-4
+#: Size of the bit map by which texts are searched for words that may be disclosing terms (4 MB, whatever the corpus).
+BITS = 1 << 25
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -115,24 +115,6 @@ def _hashes(words: list[str]) -> np.ndarray:
     return kernels.word_hashes(pa.array(words, pa.string()))[0]
 
 
-def _context_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(kind, entity, term) hashes of every entity and each word beside it (term null: the entity alone)."""
-    kinds, entities, words, owners = [], [], [], []
-    for text in kernels.plain(batch.column(0)).to_pylist():
-        for (start, kind, end), places in contexts(text, base_spans(text)):
-            owners.append(len(kinds))
-            kinds.append(kind)
-            entities.append(text[start:end].replace(" ", ""))
-            words += [(len(kinds) - 1, text[a:b]) for a, b in places]
-    if not kinds:
-        return
-    kind, entity = np.array(kinds, np.int32), _hashes(entities).view(np.int64)
-    at = np.array([k for k, _ in words], dtype=np.int64)
-    term = _hashes([w for _, w in words]).view(np.int64)
-    both = [pa.array(np.concatenate((kind, kind[at]))), pa.array(np.concatenate((entity, entity[at])))]
-    yield pa.RecordBatch.from_arrays([*both, pa.concat_arrays([pa.nulls(len(kind), pa.int64()), pa.array(term)])], ["kind", "entity", "term"])
-
-
 def blanked(text: str, spans: list[Span]) -> str:
     """The text with all its pattern matches (ASCII alone) as blanks, so that offsets stay."""
     out, done = [], 0
@@ -166,52 +148,97 @@ def all_spans(texts: list[str], known: np.ndarray) -> list[list[Span]]:
     return [sorted(f) for f in found]
 
 
+def _count_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(kind, term, n): occurrences of terms beside entities of a kind, and of all words outside entities as kind -1."""
+    texts = kernels.plain(batch.column(0)).to_pylist()
+    found = [base_spans(t) for t in texts]
+    kinds: list[int] = []
+    words: list[str] = []
+    for text, spans in zip(texts, found, strict=True):
+        for (_, kind, _), places in contexts(text, spans):
+            kinds += [kind] * len(places)
+            words += [text[a:b] for a, b in places]
+    rest = pa.array([blanked(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
+    parts = [(np.array(kinds, np.int32), _hashes(words), np.ones(len(kinds), np.int64))]
+    for start, stop in kernels.runs(rest):
+        term, n = np.unique(kernels.word_hashes(rest[start:stop])[0], return_counts=True)
+        parts.append((np.full(len(term), -1, np.int32), term, n))
+    kind, term, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(term.view(np.int64)), pa.array(n)], ["kind", "term", "n"])
+
+
 @dataclass(frozen=True)
 class Disclosure:
-    """Sorted hashes of the disclosing terms of each base kind."""
+    """The disclosing terms, as a table `(kind, term)` of hashes."""
 
-    terms: tuple[np.ndarray, ...]
+    table: DataFrame
 
     @property
-    def known(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.terms))
+    def terms(self) -> tuple[np.ndarray, ...]:
+        """Sorted hashes of each base kind, on the driver: for small corpora."""
+        found = self.table.toArrow()
+        kind, term = (found.column(c).to_numpy() for c in ("kind", "term"))
+        return tuple(np.sort(term[kind == k].view(np.uint64)) for k in range(4))
+
+    def bits(self) -> np.ndarray:
+        """Bit map of the terms' low bits: a word without its bit is no disclosing term."""
+        at = F.col("term").bitwiseAND(F.lit(BITS - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+        rows = self.table.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        out = np.zeros(BITS >> 6, np.uint64)
+        out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        return out
 
 
 def learn_disclosure(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE) -> Disclosure:
     """Disclosing terms of each kind, from co-occurrence counts over all rows of `docs`."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    seen = write_table(map_batches(texts, _context_rows, "kind int, entity long, term long"))
-    entities = {r.kind: r.n for r in seen.filter("term is null").groupBy("kind").agg(F.countDistinct("entity").alias("n")).collect()}
-    in_context = {r.kind: r.n for r in seen.filter("term is not null").groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(max(SUPPORT, SUPPORT_SHARE * n))) for k, n in entities.items()], F.lit(float(SUPPORT)))
-    terms = seen.filter("term is not null").groupBy("kind", "term").agg(F.countDistinct("entity").alias("e"), F.count("*").alias("n")).filter(F.col("e") >= least)
-    kept = terms.select("kind", "term", "n").toArrow()
+    seen = write_table(map_batches(texts, _count_rows, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
+    totals = {r.kind: r.n for r in seen.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    information = {k: -np.log(min(0.5, n / max(totals.get(-1, 0), 1))) for k, n in totals.items() if k >= 0}
+    everywhere = seen.filter("kind = -1").select("term", F.col("n").alias("all"))
+    near = seen.filter("kind >= 0").join(everywhere, "term", "left")
+    share = F.least(F.col("n") / F.coalesce("all", "n"), F.lit(1.0))
+    of_kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(i))) for k, i in information.items()], F.lit(1.0))
+    chosen = write_table(near.filter(1 + F.log(share) / of_kind >= threshold).select("kind", "term"))
     drop_table(seen)
-    kind, term, near = (kept.column(c).to_numpy() for c in ("kind", "term", "n"))
-    none = np.empty(0, np.uint64)
-    if not len(term):
-        return Disclosure((none,) * 4)
-    known = np.unique(term.view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    return Disclosure(chosen)
+
+
+def _with_terms(docs: DataFrame, disclosure: Disclosure, text_col: str) -> DataFrame:
+    """`docs` with a last column: hashes of the disclosing terms that stand in the text."""
+    name = "glyphmill_terms"
+    bits = disclosure.bits()
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))])
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Occurrences of the known terms, and of all words as term -1."""
-        counts, words = np.zeros(len(sent.value), np.int64), 0
-        texts = kernels.plain(batch.column(0))
-        for start, stop in kernels.runs(texts):
-            hashes = kernels.word_hashes(texts[start:stop])[0]
-            words += len(hashes)
-            place = np.minimum(np.searchsorted(sent.value, hashes), len(sent.value) - 1)
-            counts += np.bincount(place[sent.value[place] == hashes], minlength=len(counts))
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], words))], ["k", "n"])
-
-    totals = {r.k: r.n for r in map_batches(texts, fn, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    everywhere = np.array([totals.get(int(k), 0) for k in np.searchsorted(known, term.view(np.uint64))], dtype=float)
-    share = np.minimum(near / np.maximum(everywhere, 1), 1)
-    information = np.array([-np.log(min(0.5, in_context[int(k)] / max(totals[-1], 1))) for k in kind])
-    chosen = 1 + np.log(share) / information >= threshold
-    return Disclosure(tuple(np.sort(term[chosen & (kind == k)].view(np.uint64)) for k in range(4)))
+        """Rows with their distinct words that have their bit."""
+        texts = kernels.plain(batch.column(at)).to_pylist()
+        rest = pa.array([blanked(t, base_spans(t)) for t in texts], pa.string())
+        for start, stop in kernels.runs(rest):
+            hashes, firsts = kernels.word_hashes(rest[start:stop])
+            low = hashes & np.uint64(BITS - 1)
+            hits = np.flatnonzero(sent.value[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
+            values, offsets = kernels.distinct_sorted(hashes[hits], np.searchsorted(hits, firsts))
+            terms = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, terms], schema.names)
+
+    if not bits.any():
+        return docs.withColumn(name, F.array().cast("array<long>"))
+    marked = map_batches(docs, fn, schema)
+    # rows that share a key share their terms, all of which are disclosing, so keys need not be unique
+    some = marked.filter(F.size(name) > 0).withColumn("glyphmill_key", F.xxhash64(text_col))
+    words = some.select("glyphmill_key", F.explode(name).alias("term"))
+    sure = words.join(disclosure.table.select("term").distinct(), "term").groupBy("glyphmill_key").agg(F.collect_set("term").alias(name))
+    some = some.drop(name).join(sure, "glyphmill_key", "left").select(*docs.columns, F.coalesce(name, F.array().cast("array<long>")).alias(name))
+    return marked.filter(F.size(name) == 0).union(some)
+
+
+def _spans_of(texts: pa.Array, terms: pa.Array) -> list[list[Span]]:
+    known = np.unique(terms.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+    return all_spans(kernels.plain(texts).to_pylist(), known)
 
 
 def find_personal_data(docs: DataFrame, disclosure: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,15 +248,14 @@ def find_personal_data(docs: DataFrame, disclosure: Disclosure | None = None, id
     an empty table gives an empty result.
     """
     disclosure = disclosure or learn_disclosure(docs, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(disclosure.known)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in all_spans(kernels.plain(batch.column(1)).to_pylist(), sent.value)]
+        found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in _spans_of(batch.column(1), batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = map_batches(rows, fn, "id long, spans array<struct<kind: string, start: int, end: int>>")
+    out = map_batches(_with_terms(rows, disclosure, "text"), fn, "id long, spans array<struct<kind: string, start: int, end: int>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -250,13 +276,12 @@ def masked(text: str, spans: list[Span]) -> str:
 def sanitise(docs: DataFrame, text_col: str = "text", disclosure: Disclosure | None = None) -> DataFrame:
     """`docs`, all columns as they were but for the text, in which all spans are generalised (null stays null)."""
     disclosure = disclosure or learn_disclosure(docs, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(disclosure.known)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = batch.column(at).to_pylist()
-        found = all_spans([t or "" for t in texts], sent.value)
-        texts = [t if t is None else masked(t, f) for t, f in zip(texts, found, strict=True)]
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        found = _spans_of(batch.column(at), batch.column(batch.num_columns - 1))
+        texts = [t if t is None else masked(t, f) for t, f in zip(batch.column(at).to_pylist(), found, strict=True)]
+        columns = [*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 : -1]]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return map_batches(docs, fn, docs.schema)
+    return map_batches(_with_terms(docs, disclosure, text_col), fn, docs.schema)

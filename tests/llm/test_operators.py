@@ -390,6 +390,17 @@ def test_disclosing_terms_stand_anywhere(spark):
     assert clean[2001] == "no address, only a [TERM] here" and clean[5] == plain[5][1]
 
 
+def test_disclosing_terms_of_single_entities_whatever_the_size(spark):
+    told = [(k, f"some words chairman person{k}@example.com common words") for k in range(4)] + [(9, "write to Zebedee via zeb@example.com")]
+    plain = [(100 + k, f"some common words write to us via {k}") for k in range(100)]
+    many = spark.range(60_000).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("mail person"), "id", F.lit("x@example.com, some common words write to us via mail in some words to common")).alias("text"))
+    more = spark.range(60_000).select((F.col("id") + 100_000).alias("doc_id"), F.lit("some common words write to us via mail in some words to common " * 5).alias("text"))
+    small = spark.createDataFrame([*told, *plain], "doc_id long, text string")
+    for table in (small, small.union(many).union(more)):
+        clean = {r.doc_id: r.text for r in pii.sanitise(table).filter("doc_id < 1000").collect()}
+        assert clean[1] == "some words [TERM] [EMAIL] common words" and clean[9] == "write to [TERM] via [EMAIL]" and clean[107] == plain[7][1]
+
+
 def test_pieces_without_dropout_are_the_librarys(rows):
     import sentencepiece
 
