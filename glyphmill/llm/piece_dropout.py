@@ -1,10 +1,12 @@
 """SentencePiece-type BPE with seeded merge dropout, and lossless decoding (operator 10).
 
 Merges run from an agenda (best score first, then leftmost), as in the piece library; when a candidate merge is taken
-from the agenda, a hash keyed by seed, variant, unit, position and merged piece says whether it is skipped.  The same
-key always gives the same segmentation, whichever task computes it; other seeds and variants give other ones.  Short
-units are worked on side by side: in each round every unit takes its best remaining candidate, as its own agenda would.
-Texts are cut into units at borders that no piece of the vocabulary crosses, so equal units share one segmentation per variant.
+from the agenda, a hash keyed by seed, document (id and text), place of the unit in it, unit, position and merged piece
+says whether it is skipped.  The same key always gives the same segmentation, whichever task computes it; each occurrence
+of a unit has its own.  Short units are worked on side by side: in each round every unit takes its best remaining
+candidate, as its own agenda would.  Texts are cut into units at borders that no piece of the vocabulary crosses.  What
+a worker remembers of a unit is free of dropout: its segmentation without it, and the merges that lead there.  An
+occurrence that skips none of those has that segmentation; all others are segmented on their own.
 Characters without a piece, and the space mark itself, fall back to bytes, so decoding is lossless.
 """
 
@@ -28,10 +30,12 @@ from glyphmill.llm.common import map_batches
 
 SPACE = "▁"
 DROPOUT = 0.1
-#: Documents fall into this many variants by text; a unit has one segmentation in each.
+#: Keys by which `segment` and `segment_many` are compared; the operator has a key for each occurrence of a unit.
 VARIANTS = 2
-#: Units remembered by a worker, over all variants; beyond, it starts afresh.
+#: Units remembered by a worker; beyond, it starts afresh.
 REMEMBERED = 250_000
+#: Occurrences of units worked on at a time.
+OCCURRENCES = 1 << 16
 #: Units of up to so many characters are worked on side by side.
 SIDE_BY_SIDE = 32
 #: No candidate merge, and no piece, in the 16-bit fields of a worked-on symbol.
@@ -60,8 +64,8 @@ class DropoutEncoder:
         self.units = re.compile(r"(?s).+" if crossing or not lines else r"\n| *[^ \n]+| +")
         self.limit = int(dropout * (1 << 32))
         self.seed = seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         self._tables()
+        self._forget()
 
     def _tables(self) -> None:
         """Piece ids by character, and merges by pair of piece ids as an open hash table."""
@@ -93,7 +97,7 @@ class DropoutEncoder:
     def _slot(self, a, b):
         return (a * 0x9E3779B1 + b * 0x85EBCA77) >> 7 & (self.slots - 1)
 
-    def _merges(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merges(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Order and piece of the candidate merge of each pair of ids (order _NONE: none, or skipped)."""
         want = left << 32 | right
         at = self._slot(left, right)
@@ -107,42 +111,49 @@ class DropoutEncoder:
             go = ~hit & (there >= 0)
             rest, at, want = rest[go], (at[go] + 1) & (self.slots - 1), want[go]
         order = np.where(piece >= 0, self.order_of[piece], _NONE)
-        if self.limit:
-            low = np.uint64(0xFFFFFFFF)
-            h = (keys ^ (place.astype(np.uint64) * np.uint64(0x9E3779B1) + piece.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE35))) & low
-            h = (h ^ (h >> np.uint64(16))) * np.uint64(0x7FEB352D) & low
-            h = (h ^ (h >> np.uint64(15))) * np.uint64(0x846CA68B) & low
-            order[(h ^ (h >> np.uint64(16))) < np.uint64(self.limit)] = _NONE
+        if self.limit and keys is not None:
+            order[self._skipped(keys, place, piece)] = _NONE
         return order, piece
 
-    def segment_many(self, units: list[str], variant: int) -> list[bytes]:
-        """int32 ids of each unit; the same as `segment` unit by unit."""
+    def _skipped(self, keys: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        low = np.uint64(0xFFFFFFFF)
+        h = (keys ^ (place.astype(np.uint64) * np.uint64(0x9E3779B1) + piece.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE35))) & low
+        h = (h ^ (h >> np.uint64(16))) * np.uint64(0x7FEB352D) & low
+        h = (h ^ (h >> np.uint64(15))) * np.uint64(0x846CA68B) & low
+        return (h ^ (h >> np.uint64(16))) < np.uint64(self.limit)
+
+    def segment_many(self, units: list[str], variant: int | np.ndarray | None, paths: list | None = None) -> list[bytes]:
+        """int32 ids of each unit; the same as `segment` unit by unit.  `variant` may hold one for each unit; with None
+        no merge is skipped, and `paths` gets the merges taken, as (place, piece), of the units worked on side by side."""
         lengths = np.array([len(u) for u in units])
         chars = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
         ids = self.by_char[chars]
         starts = np.concatenate(([0], np.cumsum(lengths)))
         plain = self.small & (lengths <= SIDE_BY_SIDE) & (np.add.reduceat(ids < 0, starts[:-1]) == 0)
+        variants = None if variant is None else np.broadcast_to(np.asarray(variant, dtype=np.int64), len(units))
+        keys = None if variants is None else self._keys(np.array([zlib.crc32(u.encode()) for u in units], dtype=np.uint64), variants)
         out: list[bytes] = [b""] * len(units)
         for k in np.flatnonzero(~plain):
-            out[k] = self.segment(units[k], variant)
+            out[k] = self.segment(units[k], None if variants is None else int(variants[k]))
         rows = np.flatnonzero(plain)
+        if paths is not None:
+            paths += [() if p else None for p in plain.tolist()]
         low = 0
         for size in (4, 6, 8, 10, 12, 16, 24, SIDE_BY_SIDE):
             some = rows[(lengths[rows] <= size) & (lengths[rows] > low)]
             low = size
             if len(some):
-                self._side_by_side(units, ids, starts, lengths, some, size, variant, out)
+                self._side_by_side(ids, starts, lengths, some, size, None if keys is None else keys[some], out, paths)
         return out
 
-    def _side_by_side(self, units, ids, starts, lengths, rows, size, variant, out) -> None:
-        salt = self._salt(variant)
-        keys = np.array([zlib.crc32(units[k].encode(), salt) for k in rows], dtype=np.uint64)
+    def _side_by_side(self, ids, starts, lengths, rows, size, keys, out, paths) -> None:
+        many = lambda keys, n: None if keys is None else np.repeat(keys, n)
         # a symbol: order of its merge with the next one, piece of that merge, its own piece, its first character
         span = np.arange(size, dtype=np.int64)
         have = span[None, :] < lengths[rows][:, None]
         part = np.full((len(rows), size + 1), _EMPTY, dtype=np.int64)
         part[:, :size][have] = ids[(starts[rows][:, None] + span[None, :])[have]]
-        order, piece = self._merges(part[:, :-1].ravel(), part[:, 1:].ravel(), np.tile(span, len(rows)), np.repeat(keys, size))
+        order, piece = self._merges(part[:, :-1].ravel(), part[:, 1:].ravel(), np.tile(span, len(rows)), many(keys, size))
         grid = self._packed(order, piece, part[:, :-1].ravel(), np.tile(span, len(rows))).reshape(-1, size)
         empty = np.int64(_NONE << 48 | _EMPTY << 32 | _EMPTY << 16)
         while len(rows):
@@ -153,7 +164,7 @@ class DropoutEncoder:
             for row, symbols in zip(rows[~live].tolist(), (grid[~live] >> 16 & 0xFFFF).astype(np.int32), strict=True):
                 out[row] = symbols[symbols != _EMPTY].tobytes()
             if not live.all():
-                rows, grid, at, best, keys = rows[live], grid[live], at[live], best[live], keys[live]
+                rows, grid, at, best, keys = rows[live], grid[live], at[live], best[live], None if keys is None else keys[live]
                 line = line[: len(rows)]
             if not len(rows):
                 break
@@ -161,29 +172,34 @@ class DropoutEncoder:
             nexts[:, :-1] = grid[:, 1:]
             np.copyto(grid, nexts, where=span[None, :] > at[:, None])  # what is right of the merged pair moves one to the left
             piece, place = best >> 32 & 0xFFFF, best & 0xFF
+            if paths is not None:
+                for row, *merge in zip(rows.tolist(), place.tolist(), piece.tolist(), strict=True):
+                    paths[row] += (tuple(merge),)
             right = np.where(at + 1 < size, grid[line, np.minimum(at + 1, size - 1)] >> 16 & 0xFFFF, _EMPTY)
             grid[line, at] = self._packed(*self._merges(piece, right, place, keys), piece, place)
             more = np.flatnonzero(at > 0)
             if len(more):
                 before = grid[more, at[more] - 1]
                 part, place = before >> 16 & 0xFFFF, before & 0xFF
-                grid[more, at[more] - 1] = self._packed(*self._merges(part, piece[more], place, keys[more]), part, place)
+                grid[more, at[more] - 1] = self._packed(*self._merges(part, piece[more], place, None if keys is None else keys[more]), part, place)
 
     @staticmethod
     def _packed(order, piece, part, place) -> np.ndarray:
         return order.astype(np.int64) << 48 | (piece.astype(np.int64) & 0xFFFF) << 32 | part << 16 | place
 
-    def _salt(self, variant: int) -> int:
-        return (self.seed * 0x9E3779B1 + variant * 0x85EBCA77 + 1) & 0xFFFFFFFF
+    def _keys(self, units: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """Hash keys of units (crc32) under their variants."""
+        salt = np.uint64((self.seed * 0x9E3779B1 + 1) & 0xFFFFFFFF)
+        return kernels.mix(kernels.mix(variants.astype(np.int64).view(np.uint64) ^ salt << np.uint64(32)) ^ units) & np.uint64(0xFFFFFFFF)
 
-    def segment(self, unit: str, variant: int) -> bytes:
-        """int32 ids of one unit (its spaces still as spaces)."""
+    def segment(self, unit: str, variant: int | None) -> bytes:
+        """int32 ids of one unit (its spaces still as spaces); variant None: no merge is skipped."""
         rank = self.rank
         part: list[str | None] = [SPACE if c == " " else c if c != SPACE else "" for c in unit]
         n = len(part)
         if n > 1:
-            key = zlib.crc32(unit.encode(), self._salt(variant))
-            limit = self.limit
+            limit = self.limit if variant is not None else 0
+            key = int(self._keys(np.array([zlib.crc32(unit.encode())], np.uint64), np.array([variant]))[0]) if limit else 0
             after = list(range(1, n + 1))
             before = list(range(-1, n - 1))
             agenda = []
@@ -222,26 +238,76 @@ class DropoutEncoder:
                 ids += [self.byte_id[b] for b in (piece or unit[k]).encode()]
         return np.array(ids, dtype=np.int32).tobytes()
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, each led by a space as the model's texts are."""
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.known: list[bytes] = []
+        self.names: list[str] = []
+        self.crc = np.empty(0, np.uint64)
+        #: Merges of the units one after another; a unit's own begin at `first` (`simple`: it has been worked on side by side).
+        self.place, self.piece = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.first = np.zeros(1, np.int64)
+        self.simple = np.empty(0, bool)
+
+    def _learn(self, units: list[str]) -> None:
+        paths: list = []
+        self.known += self.segment_many(units, None, paths)
+        self.number.update(zip(units, range(len(self.names), len(self.names) + len(units)), strict=True))
+        self.names += units
+        flat = np.array([m for p in paths for m in p or ()], dtype=np.int64).reshape(-1, 2)
+        self.place, self.piece = np.append(self.place, flat[:, 0]), np.append(self.piece, flat[:, 1])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(p or ()) for p in paths]))
+        self.simple = np.append(self.simple, [p is not None for p in paths])
+        self.crc = np.append(self.crc, np.array([zlib.crc32(u.encode()) for u in units], dtype=np.uint64))
+
+    def _pieces(self, which: np.ndarray, variants: np.ndarray) -> list[bytes]:
+        """ids of occurrences of known units."""
+        out = list(map(self.known.__getitem__, which.tolist()))
+        if not self.limit:
+            return out
+        keys = self._keys(self.crc[which], variants)
+        counts = self.first[which + 1] - self.first[which]
+        owner = np.repeat(np.arange(len(which)), counts)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + self.first[which][owner]
+        own = ~self.simple[which]
+        own[owner[self._skipped(keys[owner], self.place[at], self.piece[at])]] = True
+        rows = np.flatnonzero(own)
+        if len(rows):
+            for k, ids in zip(rows.tolist(), self.segment_many([self.names[j] for j in which[rows].tolist()], variants[rows]), strict=True):
+                out[k] = ids
+        return out
+
+    def encode_many(self, texts: list[str], ids: list[int | None] | None = None) -> list[np.ndarray]:
+        """Ids of whole texts, each led by a space as the model's texts are; `ids` tells documents of one text apart."""
         out = [np.empty(0, np.int32)] * len(texts)
-        rows: list[list[int]] = [[] for _ in range(VARIANTS)]
+        mine: list[tuple[int, list[str]]] = []
+        total = 0
         for k, text in enumerate(texts):
             if text:
-                rows[zlib.crc32(text.encode()) % VARIANTS].append(k)
-        for variant, mine in enumerate(rows):
-            known = self.known[variant]
-            found = [self.units.findall(" " + texts[k]) for k in mine]
-            missing = list(set().union(*found).difference(known)) if found else []
-            if len(known) + len(missing) > REMEMBERED // VARIANTS:
-                known.clear()
-                missing = list(set().union(*found))
-            if missing:
-                known.update(zip(missing, self.segment_many(missing, variant), strict=True))
-            for k, units in zip(mine, found, strict=True):
-                out[k] = np.frombuffer(b"".join(map(known.__getitem__, units)), dtype=np.int32)
+                mine.append((k, self.units.findall(" " + text)))
+                total += len(mine[-1][1])
+            if mine and (total >= OCCURRENCES or k == len(texts) - 1):
+                self._encode_some(texts, ids, mine, out)
+                mine, total = [], 0
+        if mine:
+            self._encode_some(texts, ids, mine, out)
         return out
 
+    def _encode_some(self, texts, ids, mine, out) -> None:
+        missing = list(set().union(*(u for _, u in mine)).difference(self.number))
+        if len(self.names) + len(missing) > REMEMBERED:
+            self._forget()
+            missing = list(set().union(*(u for _, u in mine)))
+        if missing:
+            self._learn(missing)
+        which = np.array([n for _, u in mine for n in map(self.number.__getitem__, u)], dtype=np.int64)
+        sizes = np.array([len(u) for _, u in mine])
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        named = np.array([zlib.crc32(f"{ids[k] if ids else None}\n{texts[k]}".encode()) for k, _ in mine], dtype=np.int64)
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+        found = self._pieces(which, np.repeat(named, sizes) << 31 ^ place)
+        for (k, _), a, b in zip(mine, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = np.frombuffer(b"".join(found[a:b]), dtype=np.int32)
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
@@ -257,7 +323,7 @@ def _encoder(model: bytes, dropout: float, seed: int) -> DropoutEncoder:
 def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
     """One row per row of `docs`: `(id_col, ids, n_tokens, lossless)`; `lossless` says that decoding gives the text.
 
-    Null and empty texts have no ids; repeated rows are encoded alike; a null id stays null; extra columns are ignored;
+    Null and empty texts have no ids; repeated rows are encoded alike, equal texts of other ids are not; a null id stays null; extra columns are ignored;
     an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -267,7 +333,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
         texts = kernels.plain(batch.column(1))
         for start, stop in kernels.runs(texts):
             values = texts[start:stop].to_pylist()
-            found = encoder.encode_many(values)
+            found = encoder.encode_many(values, batch.column(0)[start:stop].to_pylist())
             good = [encoder.decode(x) == t for x, t in zip(found, values, strict=True)]
             counts = np.array([len(x) for x in found], dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate(found)))

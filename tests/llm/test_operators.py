@@ -430,3 +430,21 @@ def test_piece_variants(spark, rows, odd, none):
     back = piece_dropout.decode_pieces(got, piece_model()).select("doc_id", "text").collect()
     assert sorted(map(tuple, back), key=str) == sorted(((i, t or "") for i, t in ODD), key=str)
     assert piece_dropout.encode_pieces(none, piece_model()).count() == 0
+
+
+def test_pieces_vary_by_document_and_place(spark):
+    encoder = piece_dropout.DropoutEncoder(piece_model())
+    text = "internationalisation " * 200
+    ids = [x.tolist() for x in encoder.encode_many([text, text, text], [1, 2, 1])]
+    assert ids[0] == ids[2] != ids[1]
+    units = encoder.units.findall(" " + text)[:200]
+    assert len(set(encoder.segment_many(units, np.arange(200)))) > 10
+    plain = encoder.segment(units[0], None)
+    kept = piece_dropout.DropoutEncoder(piece_model())
+    kept._learn([units[0], " é世"])
+    which, variants = np.array([0, 1] * 300), np.arange(600)
+    got = kept._pieces(which, variants)
+    assert got == [kept.segment(kept.names[k], v) for k, v in zip(which, variants.tolist(), strict=True)]
+    assert plain in got and len(set(got)) > 10
+    rows = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
+    assert len({tuple(r.ids) for r in piece_dropout.encode_pieces(rows, piece_model()).collect()}) == 20
