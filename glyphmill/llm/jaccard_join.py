@@ -247,12 +247,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0.6 * den <= num <= den:
         raise ValueError("the threshold must be between 0.6 and 1")
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = map_batches(docs, _described(size, num, den), "id long, n long, k1 long, k2 long, low array<long>")
-    rows = write_table(found.withColumn("uid", F.monotonically_increasing_id()))
-    classes = write_table(
-        rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("rid"), F.min("id").alias("doc"), F.count("*").alias("w"), F.first("low").alias("low"))
-    )
+    docs, rows, classes = _classes(docs, id_col, text_col, size, num, den)
     labels = _class_components(spark, docs, classes, size, num, den)
     lowest = write_table(classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", F.coalesce("label", "rid").alias("comp"), "doc"))
     named = lowest.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -263,7 +258,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text), one row per document with its digest, and one per class of equal sets."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = map_batches(docs, _described(size, num, den), "id long, n long, k1 long, k2 long, low array<long>")
+    rows = write_table(found.withColumn("uid", F.monotonically_increasing_id()))
+    classes = write_table(
+        rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("rid"), F.min("id").alias("doc"), F.count("*").alias("w"), F.first("low").alias("low"))
+    )
+    return docs, rows, classes
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """One row per row of `docs`: `(id_col, n_shingles, n_links)`, the number of other rows that it links with.
+
+    Every candidate pair of classes is verified, those inside one component too, so the work grows with the links
+    between different sets.  Equal sets are counted by the size of their class.  Odd rows as in `jaccard_components`.
+    """
+    if not 0.6 * den <= num <= den:
+        raise ValueError("the threshold must be between 0.6 and 1")
+    docs, rows, classes = _classes(docs, id_col, text_col, size, num, den)
+    at = _buckets(docs.sparkSession, docs, classes, size, num, den)
+    x, y = at.alias("x"), at.alias("y")
+    bounds = _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den)
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rid") < F.col("y.rid")) & bounds)
+    pairs = write_table(pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
+    links = _Verifier(docs, classes, size, num, den).links(pairs)
+    drop_table(pairs, at)
+    both = links.union(links.select("b", "a"))
+    others = both.join(classes.select(F.col("rid").alias("b"), "w"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("w").alias("others"))
+    counts = classes.join(others, "rid", "left").select("k1", "k2", "n", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.select("id", "n", "k1", "k2").join(counts, ["k1", "k2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _buckets(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Signatures `(sig, rid, n, ub, w)` of the classes."""
     counted = write_table(classes.select(F.explode("low").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"))
     often = _frequent(spark, counted)
     schema = "sig long, rid long, n long, ub long, w long"
@@ -287,7 +317,11 @@ def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num
         kept = first.filter("sig is not null").join(shared, "sig", "left_semi").unionByName(more)
     else:
         kept = signed.join(counted.select("sig"), "sig", "left_semi")
-    buckets = write_table(kept)
+    return write_table(kept)
+
+
+def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    buckets = _buckets(spark, docs, classes, size, num, den)
     verifier = _Verifier(docs, classes, size, num, den)
     links = labels = None
     before = float("inf")

@@ -448,3 +448,24 @@ def test_pieces_vary_by_document_and_place(spark):
     assert plain in got and len(set(got)) > 10
     rows = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
     assert len({tuple(r.ids) for r in piece_dropout.encode_pieces(rows, piece_model()).collect()}) == 20
+
+
+def brute_links(rows, size, num, den):
+    sets = [shingles(t, size) for _, t in rows]
+    links = lambda a, b: bool(a & b) and den * len(a & b) >= num * len(a | b)
+    return sorted(((i, len(a), sum(links(a, b) for j, b in enumerate(sets) if j != k)) for k, ((i, _), a) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def test_jaccard_links(spark, odd):
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        rows.append((k, " ".join(w[: rng.choice([118, 120])])))
+    rows += [(200 + k, rows[k][1]) for k in range(5)] + [(300, None), (301, "alone")]
+    got = sorted(map(tuple, jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_links(rows, 3, 90, 100) and max(r[2] for r in got) > 10
+    assert sorted(map(tuple, jaccard_join.jaccard_links(odd).collect()), key=str) == brute_links(ODD, 3, 90, 100)
