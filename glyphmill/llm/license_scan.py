@@ -2,9 +2,10 @@
 
 The templates are a fixed small side, so the join is row-local: no shuffle of the texts.  Template words are ordered by
 their document frequency over the whole corpus, rarest first.  With a containment threshold t a template of n words
-needs a = ceil(t n) of them; a block (line) can only reach that if it holds one of the n - a + 1 rarest (prefix filter),
+needs a = ceil(t n) of them; a block can only reach that if it holds one of the n - a + 1 rarest (prefix filter),
 has at least a template words (length filter), and if enough words follow its first prefix word in both orders
-(positional filter).  Blocks that pass are verified by their exact intersection.
+(positional filter).  Blocks that pass are verified by their exact intersection.  As statements are wrapped, a block is a
+line with the lines that follow it, up to the end of the one that holds the last of as many words as the longest template has.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from glyphmill.llm.quality_rules import let
 #: A word, and a word of a text whose A-Z are not lowered yet.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 #: The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -39,6 +41,8 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 )
 THRESHOLD = (9, 10)
+#: Words after a line that may belong to a statement begun on it.
+FOLLOWING = max(len(text.split()) for _, text in TEMPLATES)
 
 
 @dataclass(frozen=True)
@@ -105,7 +109,7 @@ def _places(words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: `(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks)`.
 
-    `blocks` are the lines that meet the containment threshold of a template, with its label and their containment;
+    `blocks` are the blocks (`line`) that meet the containment threshold of a template, with its label and their containment;
     `score` is 1 where a base phrase stands, else the best containment.  Null and empty texts have no words and empty
     labels; repeated rows are scanned each; a null id stays null; extra columns are ignored; an empty table gives an
     empty result.
@@ -125,7 +129,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in_order = lambda line: F.array_intersect(_strings(order), F.regexp_extract_all(_lowered(line), F.lit(f"({WORD}+)"), F.lit(1)))
     match = lambda line, block, t: F.struct(line.alias("line"), F.lit(t.label).alias("label"), _containment(block, t).alias("containment"))
     of_line = lambda line: let(in_order(line), lambda b: F.array(*[match(line, b, t) for t in templates]))
-    candidates = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(holds_prefix)))
+    window = f"(?<![^\n])(?=([^\n]*+(?:{NO_WORD}*+{RAW_WORD}++){{0,{FOLLOWING}}}+[^\n]*+))[^\n]"
+    candidates = F.filter(F.regexp_extract_all(text, F.lit(window), F.lit(1)), lambda x: F.regexp_like(x, F.lit(holds_prefix)))
     kind = "array<struct<line: string, label: string, containment: double>>"
     blocks = F.filter(F.flatten(F.transform(candidates, of_line)), lambda m: m["containment"] > 0).cast(kind)
     out = docs.select(

@@ -469,3 +469,12 @@ def test_jaccard_links(spark, odd):
     got = sorted(map(tuple, jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute_links(rows, 3, 90, 100) and max(r[2] for r in got) > 10
     assert sorted(map(tuple, jaccard_join.jaccard_links(odd).collect()), key=str) == brute_links(ODD, 3, 90, 100)
+
+
+def test_licenses_on_wrapped_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\n\nPublic License as published"
+    rows = [(1, mit), (2, "x\n" + bsd), (3, gpl), (4, "\n".join(mit.split())), (5, mit.split("\n")[0]), (6, "some words\n\nof this software"), (7, "a\n" * 50 + bsd)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "mit", 2: "bsd", 3: "gpl", 4: "mit", 5: "", 6: "", 7: "bsd"}
