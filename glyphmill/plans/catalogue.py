@@ -417,6 +417,13 @@ def message_format(events):
     return some.select("event_id", fmt.format_message(pattern, args, types={"n": "number"}).alias("message"))
 
 
+@_query("events")
+def message_format_all(events):
+    pattern = "user {u} had {n, plural, =0 {no items} one {one item} other {# items}} in {k}"
+    args = {"u": F.col("user_id"), "n": F.col("event_id") % 3, "k": F.col("event_type")}
+    return events.select("event_id", fmt.format_message(pattern, args, types={"n": "number"}).alias("message"))
+
+
 @_query(
     "orders",
     """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%m/%d/%Y') AS us, strftime(o_orderdate, '%d/%m/%Y') AS eu, strftime(o_orderdate, '%A, %B %-d, %Y') AS long FROM orders""",
