@@ -207,6 +207,12 @@ def break_words(docs):
     return plain.select("doc_id", F.aggregate(words, F.lit(0), lambda a, w: a + F.size(F.split(w, r"[.,]+"))).cast("long").alias("words"))
 
 
+@_query("documents")
+def break_words_all(docs):
+    words = F.filter(t.break_words(F.col("text"), skip_punctuation=True), lambda w: F.regexp_like(w, F.lit(r"\p{L}")))
+    return docs.select("doc_id", F.size(words).cast("long").alias("words"))
+
+
 @_query("conversations")
 def break_sentences(conv):
     return conv.select("conv_id", "turn", F.size(t.break_sentences(F.col("text"))).alias("sentences"), F.size(t.tokenize_sentences(F.col("text"), skip_punctuation=True)).alias("with_words"))
@@ -254,6 +260,13 @@ def escape_round_trip(conv):
     return plain.select("conv_id", "turn", back("u").alias("u"), ascii_x.alias("x"))
 
 
+@_query("conversations")
+def escape_round_trip_all(conv):
+    back = lambda style: F.md5(t.escape_decode(t.escape_encode(F.col("text"), style)).cast("binary"))
+    ascii_x = F.when(t.is_ascii(F.col("text")), back("x")).otherwise(F.md5(F.col("text").cast("binary")))
+    return conv.select("conv_id", "turn", back("u").alias("u"), ascii_x.alias("x"))
+
+
 # --- collation and search -----------------------------------------------------------------------------------------
 
 
@@ -390,6 +403,11 @@ def duration_format(part):
     return part.filter("p_size < 24").select("p_partkey", fmt.format_duration(F.col("p_size") * 3600 + 1800).alias("shown"))
 
 
+@_query("part")
+def duration_format_all(part):
+    return part.select("p_partkey", fmt.format_duration(F.col("p_size") * 3600 + 1800).alias("shown"))
+
+
 @_query(sql="SELECT * FROM (VALUES ('P2DT3H30M', 2.0::DOUBLE, 3.0::DOUBLE, 30.0::DOUBLE), ('PT1.5H', 0.0::DOUBLE, 1.5::DOUBLE, 0.0::DOUBLE), ('P1Y2M3W4DT5H6M7S', 4.0::DOUBLE, 5.0::DOUBLE, 6.0::DOUBLE), ('2DT3H', NULL, NULL, NULL)) v(iso, days, hours, minutes)")
 def duration_iso(spark, _):
     df = _literals(spark, [("P2DT3H30M",), ("PT1.5H",), ("P1Y2M3W4DT5H6M7S",), ("2DT3H",)], "iso string").select("iso", fmt.parse_iso_duration(F.col("iso")).alias("d"))
