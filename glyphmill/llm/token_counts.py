@@ -1,7 +1,7 @@
 """Token counts with overlap resynchronisation for huge documents (operator 5).
 
 Texts up to a chunk are encoded as they are.  A longer text is encoded in overlapping chunks with offsets.  Two
-neighbours are spliced at a boundary that both report in their overlap and that is proven stable: no piece of the
+neighbours are spliced in their overlap at a boundary of the first one that is proven stable: no piece of the
 vocabulary holds the two characters on its sides next to each other, so no merge of any context can cross it.  Where
 the overlap has no such boundary it is doubled, at last up to the rest of the text.
 """
@@ -78,7 +78,7 @@ class ChunkedEncoder:
             begin = cut
 
     def _splice(self, text: str, begin: int, end: int, overlap: int, ends: np.ndarray) -> int | None:
-        """The last stable position of the overlap before `end` at which both neighbours have a boundary."""
+        """The last stable position of the overlap before `end` at which this chunk has a boundary; the next starts there."""
         start = max(begin + 1, end - overlap)
         at = text.rfind(" ", start, end)
         while at >= start:
