@@ -10,11 +10,14 @@ A document is the set of its distinct `size`-word shingles; two documents link w
    that runs out of rare tokens extends its prefix into the frequent ones, which are split into hash classes and
    indexed as two-token combinations: a prefix of e + 1 + (number of its frequent classes) tokens shares
    e + 1 - e = 1 rare token, or two tokens of one frequent class, with each set that it links to.
-3. Length and positional bounds drop candidates inside the bucket join; then the lowest-hash tokens refute most of the
-   rest, and the survivors are verified on whole sets.
-4. Large buckets (groups of near copies) are not expanded into all pairs: pivots of each bucket are verified
-   against its members first, linked sets are contracted, and only pairs across different components remain to be
-   verified.  The components are exact: every candidate pair is either verified or inside one component.
+3. Length and positional bounds drop candidates inside the bucket join; then a parity bit map of each set, whose bits that
+   differ bound the symmetric difference from below, and the lowest-hash tokens refute most of the rest, and the survivors
+   are verified on whole sets.
+4. Buckets are not expanded into all pairs.  Each bucket names the one of its sets that meets most others as its head; sets
+   that share a bucket then share a head, and near copies, which share many buckets, share one or a few.  In each group
+   of a head, sets are verified against the head, then against pivots, and linked sets are contracted, as long as that
+   goes on joining components; only pairs across components remain to be verified, and the bit maps refute most of them
+   inside the join.  The components are exact: every candidate pair is refuted, verified, or inside one component.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import kernels
@@ -33,13 +36,12 @@ from glyphmill.llm.common import components, drop_table, map_batches, write_tabl
 #: FREQUENT_TOKENS tokens are (8 MB in each task, whatever the corpus).
 FREQUENT_AT_LEAST = 8
 FREQUENT_TOKENS = 1_000_000
-#: While the pairs across components exceed this multiple of the bucket rows, pivots of the buckets over PIVOT_BUCKET are
-#: verified against their members, at most PIVOT_ROUNDS times and as long as a round at least halves those pairs; then all
-#: remaining pairs are.
-EXPAND_LIMIT = 8
-PIVOT_BUCKET = 32
-PIVOTS = 32
-PIVOT_ROUNDS = 1
+#: Sets of a group of one head that all others of the group are verified against in a round.  Rounds go on while each joins
+#: more than a PROGRESS-th of the components of its groups; then all remaining pairs are verified.
+PIVOTS = 16
+PROGRESS = 16
+#: Words of 64 bits in the parity bit map of a set.
+MAP_WORDS = 4
 #: Up to so many wanted documents (20 MB) are looked up by a broadcast of their ids; beyond, by a shuffled join.
 LOOKUP_ROWS = 200_000
 
@@ -63,12 +65,26 @@ def _digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def _parities(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Parity bit map of each set: bits that differ between two sets are at most their symmetric difference."""
+    word = (hashes >> np.uint64(40)) % np.uint64(MAP_WORDS)
+    bit = np.uint64(1) << (hashes >> np.uint64(50) & np.uint64(63))
+    out = []
+    for k in range(MAP_WORDS):
+        total = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))))
+        out.append((total[offsets[1:]] ^ total[offsets[:-1]]).view(np.int64))
+    return out
+
+
+MAP_COLUMNS = tuple(f"map{k}" for k in range(MAP_WORDS))
+
+
 def _list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def _described(size: int, num: int, den: int):
-    """(id, text) to (id, n, k1, k2, low): set size, digest and the lowest-hash tokens."""
+    """(id, text) to (id, n, k1, k2, map0.., low): set size, digest, parity bit map and the lowest-hash tokens."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), kernels.plain(batch.column(1))
@@ -80,8 +96,9 @@ def _described(size: int, num: int, den: int):
             take = np.minimum(n, first + np.maximum(8, first // 4))
             ends = np.concatenate(([0], np.cumsum(take)))
             at = np.arange(ends[-1]) + np.repeat(offsets[:-1] - ends[:-1], take)
+            maps = [pa.array(x) for x in _parities(hashes, offsets)]
             yield pa.RecordBatch.from_arrays(
-                [ids[start:stop], pa.array(n), pa.array(k1), pa.array(k2), _list_array(hashes[at], ends)], ["id", "n", "k1", "k2", "low"]
+                [ids[start:stop], pa.array(n), pa.array(k1), pa.array(k2), *maps, _list_array(hashes[at], ends)], ["id", "n", "k1", "k2", *MAP_COLUMNS, "low"]
             )
 
     return fn
@@ -92,39 +109,37 @@ def _levels(n: int, num: int, den: int) -> range:
     return range(max(1, -(-n * num // den)).bit_length() - 1, max(1, n * den // num).bit_length())
 
 
-def prefix_signatures(hashes: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
+def prefix_signatures(hashes: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of one whole set (rising hashes; `frequent` marks frequent ones) and, for each, the largest
     overlap that a set can have whose first shared signature it is."""
     n = len(hashes)
     first = int(_spare(np.int64(n), num, den)) + 1
     rare, often = hashes[~frequent], hashes[frequent]
-    signatures = rare[:first].view(np.int64).tolist()
-    bounds = list(range(n, n - len(signatures), -1))
-    if len(rare) >= first or n < 2:
-        return signatures, bounds
-    for level in _levels(n, num, den):
-        classes = (often >> np.uint64(7)) % np.uint64(max(1, (1 << level) // 16))
-        seen: dict[int, list[tuple[int, int]]] = {}
-        salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        for k, (token, group) in enumerate(zip(often, classes.tolist(), strict=True)):
-            if len(rare) + k >= first + len(seen):
-                break
-            before = seen.setdefault(group, [])
-            for other, bound in before:
-                pair = kernels.mix(np.array([(np.uint64(other) ^ salt)], np.uint64))[0] ^ token
-                signatures.append(int(kernels.mix(np.array([pair], np.uint64)).view(np.int64)[0]))
-                bounds.append(bound)
-            before.append((int(token), n - len(rare) - k + len(seen)))
-    return signatures, bounds
+    singles = rare[:first]
+    signatures, bounds = [singles], [n - np.arange(len(singles))]
+    if len(rare) < first and n > 1:
+        place = np.arange(len(often))
+        for level in _levels(n, num, den):
+            group = (often >> np.uint64(7)) % np.uint64(max(1, (1 << level) // 16))
+            new = np.zeros(len(often), bool)
+            new[np.unique(group, return_index=True)[1]] = True
+            classes = np.cumsum(new)  # of the tokens up to each one
+            past = np.flatnonzero(len(rare) + place >= first + classes - new)
+            stop = int(past[0]) if len(past) else len(often)
+            before, after = np.nonzero(np.triu(group[:stop, None] == group[None, :stop], 1))
+            salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            signatures.append(kernels.mix(kernels.mix(often[before] ^ salt) ^ often[after]))
+            bounds.append(n - len(rare) - before + classes[before])
+    return np.concatenate(signatures).view(np.int64), np.concatenate(bounds)
 
 
 def _signed(num: int, den: int, often):
-    """(rid, n, w, low) to (sig, rid, n, ub, w); sets whose low tokens do not suffice come back with a null sig."""
+    """(rid, n, low) to (sig, rid, n, ub); sets whose low tokens do not suffice come back with a null sig."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = often.value
-        rid, n, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        lists = batch.column(3)
+        rid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        lists = batch.column(2)
         offsets = np.asarray(lists.offsets, dtype=np.int64)
         low = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
         offsets = offsets - offsets[0]
@@ -138,13 +153,12 @@ def _signed(num: int, den: int, often):
         pick = ~hot & (place < first[owner]) & enough[owner]
         at = owner[pick]
         if len(at):
-            cols = (low[pick].view(np.int64), rid[at], n[at], n[at] - place[pick], w[at])
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["sig", "rid", "n", "ub", "w"])
+            cols = (low[pick].view(np.int64), rid[at], n[at], n[at] - place[pick])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["sig", "rid", "n", "ub"])
         short = np.flatnonzero(~enough)
         if len(short):
-            cols = [pa.array(x[short].astype(np.int64)) for x in (rid, n, w)]
             none = pa.nulls(len(short), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, cols[0], cols[1], none, cols[2]], ["sig", "rid", "n", "ub", "w"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(rid[short]), pa.array(n[short]), none], ["sig", "rid", "n", "ub"])
 
     return fn
 
@@ -160,22 +174,23 @@ def _frequent(spark, counted: DataFrame):
 
 
 def _signed_whole(size: int, num: int, den: int, often):
+    """(rid, k1, k2, text) to (sig, rid, n, ub) where the digest agrees."""
+
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = often.value
-        rid, w, k1, k2 = (batch.column(k).to_pylist() for k in range(4))
-        texts = kernels.plain(batch.column(4))
+        rid, k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        texts = kernels.plain(batch.column(3))
         for start, stop in kernels.runs(texts):
             hashes, offsets = _sets(texts[start:stop], size)
             d1, d2 = _digests(hashes, offsets)
             hot = np.isin(hashes, known)
-            for j in range(start, stop):
-                a, b = offsets[j - start], offsets[j - start + 1]
-                if (d1[j - start], d2[j - start]) != (k1[j], k2[j]):
-                    continue
-                s, ub = prefix_signatures(hashes[a:b], hot[a:b], num, den)
-                m = len(s)
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (s, [rid[j]] * m, [int(b - a)] * m, ub, [w[j]] * m)], ["sig", "rid", "n", "ub", "w"])
+            right = np.flatnonzero((d1 == k1[start:stop]) & (d2 == k2[start:stop]) & (np.diff(offsets) > 0))
+            if not len(right):
+                continue
+            found = [prefix_signatures(hashes[offsets[j] : offsets[j + 1]], hot[offsets[j] : offsets[j + 1]], num, den) for j in right.tolist()]
+            many = [len(f[0]) for f in found]
+            cols = (np.concatenate([f[0] for f in found]), np.repeat(rid[start:stop][right], many), np.repeat(np.diff(offsets)[right], many), np.concatenate([f[1] for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["sig", "rid", "n", "ub"])
 
     return fn
 
@@ -211,7 +226,7 @@ def _may_link(na: Column, ua: Column, nb: Column, ub: Column, num: int, den: int
 
 
 class _Verifier:
-    """Checks candidate pairs `(a, b)` of class ids, first on the low tokens and then on whole sets."""
+    """Checks candidate pairs `(a, b)` of class ids: on their bit maps, on the low tokens, and then on whole sets."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int):
         self.docs, self.classes, self.size, self.num, self.den = docs, classes, size, num, den
@@ -221,18 +236,25 @@ class _Verifier:
             pairs = pairs.join(sets.select(*[F.col(c).alias(side if c == "rid" else f"{c}_{side}") for c in sets.columns]), side)
         return pairs
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """Whole sets `(rid, tokens)` of the classes `wanted(rid)`, written."""
+        keys = write_table(wanted.join(self.classes.select("rid", "doc", "k1", "k2"), "rid"))
+        texts = _texts_of(self.docs, keys).select("rid", "k1", "k2", "text")
+        out = write_table(map_batches(texts, _whole_sets(self.size), "rid long, tokens array<long>").dropDuplicates(["rid"]))
+        drop_table(keys)
+        return out
+
     def links(self, pairs: DataFrame) -> DataFrame:
         num, den = self.num, self.den
-        low = self._joined(pairs, self.classes.select("rid", "n", "low"))
+        together = F.col("n_a") + F.col("n_b")
+        near = self._joined(pairs, self.classes.select("rid", "n", *MAP_COLUMNS)).filter(_apart("{}_a", "{}_b") * (num + den) <= together * (den - num)).select("a", "b")
         most = F.size(F.array_intersect("low_a", "low_b")) + F.greatest(F.col("n_a") - F.size("low_a"), F.col("n_b") - F.size("low_b"))
-        close = write_table(low.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"))
-        wanted = close.select(F.col("a").alias("rid")).union(close.select("b")).distinct()
-        keys = write_table(wanted.join(self.classes.select("rid", "doc", "k1", "k2"), "rid"))
-        texts = _texts_of(self.docs, keys).select("rid", "k1", "k2", "text")
-        sets = write_table(map_batches(texts, _whole_sets(self.size), "rid long, tokens array<long>").dropDuplicates(["rid"]))
+        close = self._joined(near, self.classes.select("rid", "n", "low")).filter(most * (num + den) >= together * num).select("a", "b")
+        close = write_table(close)
+        sets = self.sets(close.select(F.col("a").alias("rid")).union(close.select("b")).distinct())
         both = self._joined(close, sets).select("a", "b", F.size("tokens_a").alias("n_a"), F.size("tokens_b").alias("n_b"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("same"))
-        out = write_table(both.filter(F.col("same") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"))
-        drop_table(close, sets, keys)
+        out = write_table(both.filter(F.col("same") * (num + den) >= together * num).select("a", "b"))
+        drop_table(close, sets)
         return out
 
 
@@ -246,13 +268,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 0.6 * den <= num <= den:
         raise ValueError("the threshold must be between 0.6 and 1")
-    spark = docs.sparkSession
     docs, rows, classes = _classes(docs, id_col, text_col, size, num, den)
-    labels = _class_components(spark, docs, classes, size, num, den)
-    lowest = write_table(classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", F.coalesce("label", "rid").alias("comp"), "doc"))
-    named = lowest.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = lowest.join(named, "comp").select("k1", "k2", "n", "component_id")
-    out = rows.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+    labels = _class_components(docs, classes, size, num, den)
+    named = write_table(classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", F.coalesce("label", "rid").alias("comp"), "doc"))
+    drop_table(classes, labels)
+    lowest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    lowest = named.join(lowest, "comp").select("k1", "k2", "n", "component_id")
+    out = write_table(rows.join(lowest, ["k1", "k2", "n"], "left"))
+    drop_table(rows, named)
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
@@ -261,11 +284,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, text), one row per document with its digest, and one per class of equal sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = map_batches(docs, _described(size, num, den), "id long, n long, k1 long, k2 long, low array<long>")
-    rows = write_table(found.withColumn("uid", F.monotonically_increasing_id()))
+    maps = ", ".join(f"{m} long" for m in MAP_COLUMNS)
+    found = map_batches(docs, _described(size, num, den), f"id long, n long, k1 long, k2 long, {maps}, low array<long>")
+    found = write_table(found.withColumn("uid", F.monotonically_increasing_id()))
+    firsts = [F.first(c).alias(c) for c in (*MAP_COLUMNS, "low")]
     classes = write_table(
-        rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("rid"), F.min("id").alias("doc"), F.count("*").alias("w"), F.first("low").alias("low"))
+        found.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("rid"), F.min("id").alias("doc"), F.count("*").alias("w"), *firsts)
     )
+    rows = write_table(found.select("id", "n", "k1", "k2"))
+    drop_table(found)
     return docs, rows, classes
 
 
@@ -278,27 +305,41 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0.6 * den <= num <= den:
         raise ValueError("the threshold must be between 0.6 and 1")
     docs, rows, classes = _classes(docs, id_col, text_col, size, num, den)
-    at = _buckets(docs.sparkSession, docs, classes, size, num, den)
-    x, y = at.alias("x"), at.alias("y")
-    bounds = _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den)
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rid") < F.col("y.rid")) & bounds)
-    pairs = write_table(pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
+    at = _buckets(docs, classes, size, num, den)
+    pairs = write_table(_pairs(at, at, F.col("x.rid") < F.col("y.rid"), num, den))
     links = _Verifier(docs, classes, size, num, den).links(pairs)
     drop_table(pairs, at)
     both = links.union(links.select("b", "a"))
     others = both.join(classes.select(F.col("rid").alias("b"), "w"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("w").alias("others"))
-    counts = classes.join(others, "rid", "left").select("k1", "k2", "n", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.select("id", "n", "k1", "k2").join(counts, ["k1", "k2", "n"], "left")
+    counts = write_table(classes.join(others, "rid", "left").select("k1", "k2", "n", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    drop_table(links, classes)
+    out = write_table(rows.join(counts, ["k1", "k2", "n"], "left"))
+    drop_table(rows, counts)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _buckets(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Signatures `(sig, rid, n, ub, w)` of the classes."""
+def _apart(left: str, right: str) -> Column:
+    """Lower bound of the symmetric difference of two sets by their bit maps; the formats make their columns' names."""
+    return sum((F.bit_count(F.col(left.format(m)).bitwiseXOR(F.col(right.format(m)))) for m in MAP_COLUMNS), F.lit(0))
+
+
+def _pairs(x: DataFrame, y: DataFrame, which: Column, num: int, den: int) -> DataFrame:
+    """Distinct pairs `(a, b)`, a < b, of sets of bucket rows x and y that share a bucket and may link."""
+    bounds = _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den)
+    if MAP_COLUMNS[0] in x.columns:
+        bounds &= _apart("x.{}", "y.{}") * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    found = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & which & bounds)
+    return found.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+
+
+def _buckets(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Signatures `(sig, rid, n, ub)` of the classes."""
+    spark = docs.sparkSession
     counted = write_table(classes.select(F.explode("low").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"))
     often = _frequent(spark, counted)
-    schema = "sig long, rid long, n long, ub long, w long"
-    keys = classes.select("rid", "w", "doc", "k1", "k2")
-    rows = classes.select("rid", "n", "w", "low")
+    schema = "sig long, rid long, n long, ub long"
+    keys = classes.select("rid", "doc", "k1", "k2")
+    rows = classes.select("rid", "n", "low")
     if len(often.value):  # sets that run out of rare tokens are counted as a whole, so that their order is known too
         short = write_table(map_batches(rows, _signed(num, den, often), schema).filter("sig is null").select("rid").join(keys, "rid"))
         whole = map_batches(_texts_of(docs, short).select("rid", "k1", "k2", "text"), _whole_sets(size), "rid long, tokens array<long>")
@@ -306,63 +347,69 @@ def _buckets(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, de
         both = write_table(counted.union(more).groupBy("sig").agg(F.sum("c").alias("c")))
         often = _frequent(spark, both)
         drop_table(short, both)
-    signed = map_batches(rows, _signed(num, den, often), schema)
-    if len(often.value):
-        first = write_table(signed)
-        short = write_table(first.filter("sig is null").select("rid").join(keys, "rid"))
-        whole = _texts_of(docs, short).select("rid", "w", "k1", "k2", "text")
-        more = write_table(map_batches(whole, _signed_whole(size, num, den, often), schema).dropDuplicates(["sig", "rid"]))
-        # whole sets reach beyond the counted tokens, so their signatures stay as they are
-        shared = counted.select("sig").union(more.select("sig"))
-        kept = first.filter("sig is not null").join(shared, "sig", "left_semi").unionByName(more)
-    else:
-        kept = signed.join(counted.select("sig"), "sig", "left_semi")
-    return write_table(kept)
-
-
-def _class_components(spark, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    buckets = _buckets(spark, docs, classes, size, num, den)
+    first = write_table(map_batches(rows, _signed(num, den, often), schema))
+    short = write_table(first.filter("sig is null").select("rid").join(keys, "rid"))
+    whole = _texts_of(docs, short).select("rid", "k1", "k2", "text")
+    more = write_table(map_batches(whole, _signed_whole(size, num, den, often), schema).dropDuplicates(["sig", "rid"]))
+    # whole sets reach beyond the counted tokens, so their signatures stay as they are
+    shared = counted.select("sig").union(more.select("sig"))
+    out = write_table(first.filter("sig is not null").join(shared, "sig", "left_semi").unionByName(more))
+    often.unpersist()
+    drop_table(counted, first, short, more)
+    return out
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Bucket rows with the component of their set."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("rid"))
+    return rows.join(labels, rows["rid"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "rid")).drop("node", "label")
+
+
+def _groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Bucket rows by the heads of their buckets instead of their signatures, with the bit map of each set."""
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = rows.join(sizes, "sig").withColumn("met", F.sum("m").over(Window.partitionBy("rid")))
+    shared = write_table(shared.select("sig", "rid", "n", "ub", "met"))
+    heads = shared.groupBy("sig").agg(F.max(F.struct("met", "rid"))["rid"].alias("head"))
+    groups = shared.join(heads, "sig").groupBy(F.col("head").alias("sig"), "rid", "n").agg(F.max("ub").alias("ub"))
+    out = write_table(groups.join(classes.select("rid", *MAP_COLUMNS), "rid"))
+    drop_table(shared)
+    return out
+
+
+def _class_components(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Components `(node, label)` of the classes that have links."""
     verifier = _Verifier(docs, classes, size, num, den)
+    buckets = _buckets(docs, classes, size, num, den)
+    groups = _groups(buckets, classes)
+    drop_table(buckets)
+    across = F.col("x.comp") < F.col("y.comp")
     links = labels = None
-    before = float("inf")
-    for turn in range(PIVOT_ROUNDS + 1):
-        comp = F.col("rid").alias("comp") if labels is None else F.coalesce("label", "rid").alias("comp")
-        at = buckets if labels is None else buckets.join(labels, buckets["rid"] == labels["node"], "left")
-        at = write_table(at.select("sig", "rid", "n", "ub", "w", comp))
-        parts = at.groupBy("sig", "comp").agg(F.count("*").alias("m"))
-        spread = parts.groupBy("sig").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across")).filter("across > 0")
-        total = spread.agg(F.sum("across")).first()[0] or 0
-        if not total:
-            break
-        left = write_table(at.join(spread.select("sig"), "sig", "left_semi"))
-        drop_table(at, buckets)
-        at, buckets = left, left.drop("comp")
-        buckets._glyphmill_path = left._glyphmill_path
-        last = turn == PIVOT_ROUNDS or 2 * total > before or total <= EXPAND_LIMIT * max(1000, buckets.count())
-        x, y = at.alias("x"), at.alias("y")
+    before, turn = float("inf"), 0
+    while True:
+        at = write_table(_labelled(groups, labels))
+        mixed = at.groupBy("sig").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("sig")
+        live = write_table(at.join(mixed, "sig", "left_semi"))
+        drop_table(at)
+        left = live.select("comp").distinct().count()
+        last = left * PROGRESS >= before * (PROGRESS - 1)
         if last:
-            across = F.col("x.comp") < F.col("y.comp")
+            pairs = _pairs(live, live, across, num, den)
+        elif turn == 0:
+            pairs = _pairs(live, live.filter("rid = sig"), F.col("x.comp") != F.col("y.comp"), num, den)
         else:
-            # pivots need not meet a set in all its buckets: two by smallest signature keep copies together
-            masks = [int(m) for m in kernels.mix(np.arange(PIVOTS * turn, PIVOTS * (turn + 1), dtype=np.uint64)).view(np.int64) & 0x7FFFFFFFFFFFFFFF]
-            large = at.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > PIVOT_BUCKET).select("sig")
-            low = at.join(large, "sig", "left_semi").groupBy("rid").agg(F.min("sig").alias("s"), F.min(F.col("sig").bitwiseXOR(F.lit(masks[0]))).alias("t"))
-            few = low.select("rid", F.explode(F.array_distinct(F.array("s", F.col("t").bitwiseXOR(F.lit(masks[0]))))).alias("sig"))
-            few = write_table(at.join(few, ["sig", "rid"]))
-            chosen = few.groupBy("sig").agg(*[F.min(F.col("rid").bitwiseXOR(F.lit(m))).alias(f"p{k}") for k, m in enumerate(masks)])
-            chosen = chosen.select("sig", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)]))).alias("rid"))
-            x, y = few.alias("x"), few.join(chosen, ["sig", "rid"]).alias("y")
-            across = F.col("x.comp") != F.col("y.comp")
-        bounds = _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den)
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & across & bounds)
-        pairs = write_table(pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
+            order = Window.partitionBy("sig").orderBy(F.xxhash64("rid", F.lit(turn)), "rid")
+            pivots = live.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS).drop("k")
+            pairs = _pairs(live, pivots, F.col("x.comp") != F.col("y.comp"), num, den)
+        pairs = write_table(pairs)
+        drop_table(live)
         new = verifier.links(pairs)
         drop_table(pairs)
-        before = total
-        links = new if links is None else write_table(links.union(new))
+        links, old = new if links is None else write_table(links.union(new)), (links, labels)
         labels = components(links)
+        drop_table(*(x for x in (*old, new) if x is not None and x is not links))
         if last:
-            break
-    if labels is None:
-        return spark.createDataFrame([], "node long, label long")
-    return labels
+            drop_table(links, groups)
+            return labels
+        before, turn = left, turn + 1

@@ -86,9 +86,8 @@ def test_jaccard_components(docs, rows, size, num):
 
 
 def test_jaccard_near_copies_with_pivots_and_frequent_tokens(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "EXPAND_LIMIT", 0)
-    monkeypatch.setattr(jaccard_join, "PIVOT_BUCKET", 3)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_AT_LEAST", 4)
     rng = random.Random(1)
     base = [f"w{k}" for k in range(120)]
     rows = []
