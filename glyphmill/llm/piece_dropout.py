@@ -4,9 +4,11 @@ Merges run from an agenda (best score first, then leftmost), as in the piece lib
 from the agenda, a hash keyed by seed, document (id and text), place of the unit in it, unit, position and merged piece
 says whether it is skipped.  The same key always gives the same segmentation, whichever task computes it; each occurrence
 of a unit has its own.  Short units are worked on side by side: in each round every unit takes its best remaining
-candidate, as its own agenda would.  Texts are cut into units at borders that no piece of the vocabulary crosses.  What
-a worker remembers of a unit is free of dropout: its segmentation without it, and the merges that lead there.  An
-occurrence that skips none of those has that segmentation; all others are segmented on their own.
+candidate, as its own agenda would.  Texts are cut into units at borders that no piece of the vocabulary crosses.
+
+A worker remembers how agendas go on, not what keys decide: a state is a unit and the merges skipped in it so far, and
+holds the merges that follow if no more are skipped and the pieces that these lead to.  Each occurrence asks its own
+hash about each of these merges in turn, and the first one that it skips leads to the state of one more skipped merge.
 Characters without a piece, and the space mark itself, fall back to bytes, so decoding is lossless.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,10 +35,12 @@ SPACE = "▁"
 DROPOUT = 0.1
 #: Keys by which `segment` and `segment_many` are compared; the operator has a key for each occurrence of a unit.
 VARIANTS = 2
-#: Units remembered by a worker; beyond, it starts afresh.
+#: States of units remembered by a worker; beyond, it starts afresh.
 REMEMBERED = 250_000
+#: A unit or a state is remembered when so many occurrences of a run meet in it; fewer are segmented on their own.
+WORTH_STATE = 4
 #: Occurrences of units worked on at a time.
-OCCURRENCES = 1 << 16
+OCCURRENCES = 1 << 18
 #: Units of up to so many characters are worked on side by side.
 SIDE_BY_SIDE = 32
 #: No candidate merge, and no piece, in the 16-bit fields of a worked-on symbol.
@@ -134,7 +139,7 @@ class DropoutEncoder:
         keys = None if variants is None else self._keys(np.array([zlib.crc32(u.encode()) for u in units], dtype=np.uint64), variants)
         out: list[bytes] = [b""] * len(units)
         for k in np.flatnonzero(~plain):
-            out[k] = self.segment(units[k], None if variants is None else int(variants[k]))
+            out[k] = self.segment(units[k], None) if keys is None else self._keyed(units[k], int(keys[k]))
         rows = np.flatnonzero(plain)
         if paths is not None:
             paths += [() if p else None for p in plain.tolist()]
@@ -194,40 +199,51 @@ class DropoutEncoder:
 
     def segment(self, unit: str, variant: int | None) -> bytes:
         """int32 ids of one unit (its spaces still as spaces); variant None: no merge is skipped."""
+        if variant is None:
+            return self._agenda(unit, lambda k, piece: False)
+        return self._keyed(unit, int(self._keys(np.array([zlib.crc32(unit.encode())], np.uint64), np.array([variant]))[0]))
+
+    def _keyed(self, unit: str, key: int) -> bytes:
+        """`segment` by the unit's hash key."""
+        limit = self.limit
+
+        def skips(k: int, piece: int) -> bool:
+            h = (key ^ (k * 0x9E3779B1 + piece * 0xC2B2AE35)) & 0xFFFFFFFF
+            h = (h ^ (h >> 16)) * 0x7FEB352D & 0xFFFFFFFF
+            h = (h ^ (h >> 15)) * 0x846CA68B & 0xFFFFFFFF
+            return h ^ (h >> 16) < limit
+
+        return self._agenda(unit, skips)
+
+    def _agenda(self, unit: str, skips, path: list | None = None) -> bytes:
+        """int32 ids of one unit when `skips(place, piece)` says which merges are skipped; `path` gets the others."""
         rank = self.rank
         part: list[str | None] = [SPACE if c == " " else c if c != SPACE else "" for c in unit]
         n = len(part)
-        if n > 1:
-            limit = self.limit if variant is not None else 0
-            key = int(self._keys(np.array([zlib.crc32(unit.encode())], np.uint64), np.array([variant]))[0]) if limit else 0
-            after = list(range(1, n + 1))
-            before = list(range(-1, n - 1))
-            agenda = []
-            for k in range(n - 1):
-                if part[k] and part[k + 1] and (r := rank.get(part[k] + part[k + 1])):
-                    agenda.append((r[0], k, len(part[k]) + len(part[k + 1]), r[1]))
-            heapq.heapify(agenda)
-            while agenda:
-                _, k, size, piece = heapq.heappop(agenda)
-                left = part[k]
-                if not left or (j := after[k]) >= n or not (right := part[j]) or len(left) + len(right) != size:
-                    continue
-                if limit:
-                    h = (key ^ (k * 0x9E3779B1 + piece * 0xC2B2AE35)) & 0xFFFFFFFF
-                    h = (h ^ (h >> 16)) * 0x7FEB352D & 0xFFFFFFFF
-                    h = (h ^ (h >> 15)) * 0x846CA68B & 0xFFFFFFFF
-                    if h ^ (h >> 16) < limit:
-                        continue
-                part[k] = left = left + right
-                part[j] = None
-                after[k] = j = after[j]
-                if j < n:
-                    before[j] = k
-                    if part[j] and (r := rank.get(left + part[j])):
-                        heapq.heappush(agenda, (r[0], k, len(left) + len(part[j]), r[1]))
-                i = before[k]
-                if i >= 0 and part[i] and (r := rank.get(part[i] + left)):
-                    heapq.heappush(agenda, (r[0], i, len(part[i]) + len(left), r[1]))
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        agenda = []
+        for k in range(n - 1):
+            if part[k] and part[k + 1] and (r := rank.get(part[k] + part[k + 1])):
+                agenda.append((r[0], k, len(part[k]) + len(part[k + 1]), r[1]))
+        heapq.heapify(agenda)
+        while agenda:
+            _, k, size, piece = heapq.heappop(agenda)
+            left = part[k]
+            if not left or (j := after[k]) >= n or not (right := part[j]) or len(left) + len(right) != size or skips(k, piece):
+                continue
+            if path is not None:
+                path.append((k, piece))
+            part[k] = left = left + right
+            part[j] = None
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if part[j] and (r := rank.get(left + part[j])):
+                    heapq.heappush(agenda, (r[0], k, len(left) + len(part[j]), r[1]))
+            i = before[k]
+            if i >= 0 and part[i] and (r := rank.get(part[i] + left)):
+                heapq.heappush(agenda, (r[0], i, len(part[i]) + len(left), r[1]))
         ids: list[int] = []
         for k, piece in enumerate(part):
             if piece is None:
@@ -239,42 +255,81 @@ class DropoutEncoder:
         return np.array(ids, dtype=np.int32).tobytes()
 
     def _forget(self) -> None:
+        #: First state of each unit, and the state after one more skipped merge by state and place in its path.
         self.number: dict[str, int] = {}
+        self.next: dict[int, int] = {}
+        #: Of each state: pieces if nothing more is skipped, unit and its crc32, skipped merges; `each`: worked on each time.
         self.known: list[bytes] = []
         self.names: list[str] = []
-        self.crc = np.empty(0, np.uint64)
-        #: Merges of the units one after another; a unit's own begin at `first` (`simple`: it has been worked on side by side).
+        self.skips: list[frozenset] = []
+        self.each, self.crc = np.empty(0, bool), np.empty(0, np.uint64)
+        #: Paths of the states one after another, from `first`; up to `fresh` a path is that of the state before.
         self.place, self.piece = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.simple = np.empty(0, bool)
+        self.first, self.fresh = np.zeros(1, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, units: list[str]) -> None:
-        paths: list = []
-        self.known += self.segment_many(units, None, paths)
-        self.number.update(zip(units, range(len(self.names), len(self.names) + len(units)), strict=True))
+    def _remember(self, units: list[str], known: list[bytes], paths: list, skips: list[frozenset], fresh: list[int]) -> range:
+        at = range(len(self.names), len(self.names) + len(units))
+        self.known += known
         self.names += units
+        self.skips += skips
+        self.each = np.append(self.each, [p is None for p in paths])
         flat = np.array([m for p in paths for m in p or ()], dtype=np.int64).reshape(-1, 2)
         self.place, self.piece = np.append(self.place, flat[:, 0]), np.append(self.piece, flat[:, 1])
+        self.fresh = np.append(self.fresh, np.array(fresh, np.int64))
         self.first = np.append(self.first, self.first[-1] + np.cumsum([len(p or ()) for p in paths]))
-        self.simple = np.append(self.simple, [p is not None for p in paths])
         self.crc = np.append(self.crc, np.array([zlib.crc32(u.encode()) for u in units], dtype=np.uint64))
+        return at
 
-    def _pieces(self, which: np.ndarray, variants: np.ndarray) -> list[bytes]:
-        """ids of occurrences of known units."""
-        out = list(map(self.known.__getitem__, which.tolist()))
+    def _learn(self, units: list[str]) -> None:
+        paths: list = []
+        known = self.segment_many(units, None, paths)
+        made = self._remember(units, known, paths, [frozenset()] * len(units), [0] * len(units))
+        self.number.update(zip(units, made, strict=True))
+
+    def _one_more(self, states: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """States after those merges of the states' paths are skipped too; -1 where too few occurrences meet in a new one."""
+        codes, back, counts = np.unique(states * SIDE_BY_SIDE + places, return_inverse=True, return_counts=True)
+        out = np.array([self.next.get(c, -1) for c in codes.tolist()], dtype=np.int64)
+        units, known, paths, skips, fresh = [], [], [], [], []
+        missing = np.flatnonzero((out < 0) & (counts >= WORTH_STATE))
+        for code in codes[missing].tolist():
+            state, place = divmod(code, SIDE_BY_SIDE)
+            at = int(self.first[state]) + place
+            skipped = self.skips[state] | {(int(self.place[at]), int(self.piece[at]))}
+            path: list = []
+            known.append(self._agenda(self.names[state], lambda k, piece, s=skipped: (k, piece) in s, path))
+            units.append(self.names[state])
+            paths.append(path)
+            skips.append(skipped)
+            fresh.append(place)
+        if len(missing):
+            made = self._remember(units, known, paths, skips, fresh)
+            out[missing] = np.array(made)
+            self.next.update(zip(codes[missing].tolist(), made, strict=True))
+        return out[back]
+
+    def _pieces(self, which: np.ndarray, variants: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """ids of occurrences of known units, and the places of those that are left to be segmented on their own."""
         if not self.limit:
-            return out
+            return list(map(self.known.__getitem__, which.tolist())), np.empty(0, np.int64)
         keys = self._keys(self.crc[which], variants)
-        counts = self.first[which + 1] - self.first[which]
-        owner = np.repeat(np.arange(len(which)), counts)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + self.first[which][owner]
-        own = ~self.simple[which]
-        own[owner[self._skipped(keys[owner], self.place[at], self.piece[at])]] = True
-        rows = np.flatnonzero(own)
-        if len(rows):
-            for k, ids in zip(rows.tolist(), self.segment_many([self.names[j] for j in which[rows].tolist()], variants[rows]), strict=True):
-                out[k] = ids
-        return out
+        state = which.copy()
+        rows = np.arange(len(which))
+        alone = [np.flatnonzero(self.each[which])]
+        while len(rows):
+            begin = self.first[state[rows]] + self.fresh[state[rows]]
+            counts = self.first[state[rows] + 1] - begin
+            owner = np.repeat(np.arange(len(rows)), counts)
+            at = np.arange(len(owner)) + np.repeat(begin - np.cumsum(counts) + counts, counts)
+            hits = np.flatnonzero(self._skipped(keys[rows][owner], self.place[at], self.piece[at]))
+            who, firsts = np.unique(owner[hits], return_index=True)
+            rows = rows[who]
+            if len(rows):
+                after = self._one_more(state[rows], at[hits[firsts]] - self.first[state[rows]])
+                alone.append(rows[after < 0])
+                rows = rows[after >= 0]
+                state[rows] = after[after >= 0]
+        return list(map(self.known.__getitem__, state.tolist())), np.concatenate(alone)
 
     def encode_many(self, texts: list[str], ids: list[int | None] | None = None) -> list[np.ndarray]:
         """Ids of whole texts, each led by a space as the model's texts are; `ids` tells documents of one text apart."""
@@ -293,18 +348,27 @@ class DropoutEncoder:
         return out
 
     def _encode_some(self, texts, ids, mine, out) -> None:
-        missing = list(set().union(*(u for _, u in mine)).difference(self.number))
-        if len(self.names) + len(missing) > REMEMBERED:
+        units = [u for _, some in mine for u in some]
+        counts = Counter(units)
+        new = [u for u, n in counts.items() if n >= WORTH_STATE and u not in self.number]
+        if len(self.names) + len(new) > REMEMBERED:
             self._forget()
-            missing = list(set().union(*(u for _, u in mine)))
-        if missing:
-            self._learn(missing)
-        which = np.array([n for _, u in mine for n in map(self.number.__getitem__, u)], dtype=np.int64)
-        sizes = np.array([len(u) for _, u in mine])
+            new = [u for u, n in counts.items() if n >= WORTH_STATE]
+        if new:
+            self._learn(new)
+        get = self.number.get
+        which = np.array([get(u, -1) for u in units], dtype=np.int64)
+        sizes = np.array([len(some) for _, some in mine])
         ends = np.concatenate(([0], np.cumsum(sizes)))
         named = np.array([zlib.crc32(f"{ids[k] if ids else None}\n{texts[k]}".encode()) for k, _ in mine], dtype=np.int64)
-        place = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
-        found = self._pieces(which, np.repeat(named, sizes) << 31 ^ place)
+        variants = np.repeat(named, sizes) << 31 ^ (np.arange(ends[-1]) - np.repeat(ends[:-1], sizes))
+        found = np.empty(len(units), dtype=object)
+        often = np.flatnonzero(which >= 0)
+        found[often], alone = self._pieces(which[often], variants[often])
+        rows = np.sort(np.concatenate((np.flatnonzero(which < 0), often[alone])))
+        if len(rows):
+            found[rows] = self.segment_many([units[k] for k in rows.tolist()], variants[rows])
+        found = found.tolist()
         for (k, _), a, b in zip(mine, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             out[k] = np.frombuffer(b"".join(found[a:b]), dtype=np.int32)
 
