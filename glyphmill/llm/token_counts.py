@@ -1,9 +1,11 @@
 """Token counts with overlap resynchronisation for huge documents (operator 5).
 
-Texts up to a chunk are encoded as they are.  A longer text is encoded in overlapping chunks with offsets.  Two
-neighbours are spliced in their overlap at a boundary of the first one that is proven stable: no piece of the
-vocabulary holds the two characters on its sides next to each other, so no merge of any context can cross it.  Where
-the overlap has no such boundary it is doubled, at last up to the rest of the text.
+Texts up to a chunk are encoded as they are.  A longer text is encoded in overlapping chunks with offsets.  A position is
+proven stable when no piece of the vocabulary holds the two characters on its sides next to each other: no merge of any
+context can cross it, so what lies left of it and what lies right of it are encoded alike in every chunk that holds both
+characters.  Two neighbours are aligned in their overlap: between its first and its last stable position both must report
+the same pieces with the same ends, and there they are spliced.  Where that fails the overlap is widened, first to the
+left; where the left chunk has no stable position to widen to, up to the next one behind it.
 """
 
 from __future__ import annotations
@@ -32,63 +34,88 @@ class ChunkedEncoder:
     """Encodes whole texts with a piece model, long ones in chunks."""
 
     def __init__(self, model: bytes, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.processor = p = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.chunk, self.overlap = chunk, overlap
         self.widened = 0
-        pieces = [self.processor.id_to_piece(k) for k in range(self.processor.get_piece_size())]
-        self.inner = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
-
-    def stable(self, text: str, at: int) -> bool:
-        """Whether no encoding of a text around can have a piece over position `at`, which a space follows."""
-        return text[at] == " " and (text[at - 1] if text[at - 1] != " " else SPACE) + SPACE not in self.inner
-
-    def _encode(self, text: str, begin: int, end: int) -> tuple[list[int], np.ndarray]:
-        """Ids of a chunk and the text positions at which its pieces end.
-
-        The encoder puts a space before a text; a later chunk starts at a space, which is left out in its stead.
-        """
-        skip = begin + (begin > 0)
-        found = self.processor.encode(text[skip:end], return_type="proto")
-        ids = [p.id for p in found.pieces]
-        ends = skip + np.cumsum([len(p.surface) for p in found.pieces], dtype=np.int64)
-        return ids, ends
+        pieces = [p.id_to_piece(k) for k in range(p.get_piece_size())]
+        self.inner = np.unique(np.array([ord(a) << 21 | ord(b) for x in pieces for a, b in zip(x, x[1:], strict=False)], dtype=np.int64))
+        #: Characters of each piece; of a character in bytes, its first one counts.
+        self.chars = np.array([int(not 0x80 <= int(x[3:-1], 16) <= 0xBF) if p.is_byte(k) else len(x) for k, x in enumerate(pieces)])
+
+    def stable(self, text: str, begin: int, end: int) -> np.ndarray:
+        """Positions between `begin` and `end`, both left out, that no piece of any encoding can cover."""
+        points = np.frombuffer(text[begin:end].replace(" ", SPACE).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        pairs = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.inner, pairs), len(self.inner) - 1)
+        return begin + 1 + np.flatnonzero(self.inner[at] != pairs)
+
+    def _encode(self, text: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a chunk and the text positions at which its pieces end (the encoder puts a space before a text)."""
+        part = text[begin:end]
+        ids = np.array(self.processor.encode(part), dtype=np.int64)
+        ends = np.cumsum(self.chars[ids]) - 1
+        if len(ids) and ends[-1] != len(part):  # a model that rewrites texts: the library's own offsets
+            found = self.processor.encode(part, return_type="proto")
+            ids, ends = np.array([x.id for x in found.pieces], dtype=np.int64), np.cumsum([len(x.surface) for x in found.pieces])
+        return ids, begin + ends
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= self.chunk:
             return self.processor.encode(text)
-        out: list[int] = []
-        begin = 0
-        while True:
-            end = min(len(text), begin + self.chunk)
+        out: list[np.ndarray] = []
+        done, begin, end = 0, 0, self.chunk  # pieces up to `done` are out; the left chunk is from `begin` to `end`
+        left = self._encode(text, begin, end)
+        while end < len(text):
             overlap = self.overlap
-            ids, ends = self._encode(text, begin, end)
-            while end < len(text):
-                cut = self._splice(text, begin, end, overlap, ends)
-                if cut is not None:
-                    break
+            while True:
+                start = max(done, end - overlap)
+                places = self.stable(text, start, end)
+                if len(places):
+                    stop = min(len(text), end + max(1, self.chunk - overlap))
+                    right = self._encode(text, start, stop)
+                    if self._aligned(left, right, int(places[0]), int(places[-1])):
+                        break
                 self.widened += 1
                 overlap *= 2
-                if overlap >= end - begin:  # nothing in this chunk is stable: it takes in more of the text
-                    end = min(len(text), end + self.chunk)
+                if start == done:  # the left chunk has nothing more to overlap with
+                    end = self._behind(text, end)
+                    left = self._encode(text, begin, end)
                     overlap = self.overlap
-                    ids, ends = self._encode(text, begin, end)
-            if end >= len(text):
-                return out + ids
-            out += ids[: int(np.searchsorted(ends, cut, side="right"))]
-            begin = cut
-
-    def _splice(self, text: str, begin: int, end: int, overlap: int, ends: np.ndarray) -> int | None:
-        """The last stable position of the overlap before `end` at which this chunk has a boundary; the next starts there."""
-        start = max(begin + 1, end - overlap)
-        at = text.rfind(" ", start, end)
-        while at >= start:
-            k = int(np.searchsorted(ends, at))
-            if self.stable(text, at) and k < len(ends) and ends[k] == at:
-                following = self._encode(text, at, min(len(text), end + overlap))[1]
-                if len(following):  # the next chunk starts a piece here, with the space that follows the cut
-                    return at
-            at = text.rfind(" ", start, at)
-        return None
+                    if end == len(text):
+                        break
+            if end == len(text):
+                break
+            cut = int(places[-1])
+            out.append(self._between(left, done, cut)[0])
+            done, begin, end, left = cut, start, stop, right
+        out.append(self._between(left, done, len(text))[0])
+        return np.concatenate(out).tolist()
+
+    def _behind(self, text: str, end: int) -> int:
+        """Where a chunk to `end` that has no stable position may end instead: some way behind the next one."""
+        start, step = end - 1, self.chunk
+        while start < len(text) - 1:
+            places = self.stable(text, start, min(len(text), start + step))
+            if len(places):
+                return min(len(text), int(places[0]) + self.overlap)
+            start, step = min(len(text), start + step) - 1, 2 * step
+        return len(text)
+
+    @staticmethod
+    def _between(chunk: tuple[np.ndarray, np.ndarray], start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of a chunk that end behind `start` and up to `stop`."""
+        ids, ends = chunk
+        a, b = np.searchsorted(ends, (start, stop), side="right") if start else (0, np.searchsorted(ends, stop, side="right"))
+        return ids[a:b], ends[a:b]
+
+    def _aligned(self, left, right, first: int, last: int) -> bool:
+        """Whether both chunks end a piece at both positions and have the same pieces between."""
+        for at in (first, last):
+            for _, ends in (left, right):
+                k = np.searchsorted(ends, at)
+                if k == len(ends) or ends[k] != at:
+                    return False
+        return all(np.array_equal(x, y) for x, y in zip(self._between(left, first, last), self._between(right, first, last), strict=True))
 
 
 @lru_cache(maxsize=2)

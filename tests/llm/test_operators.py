@@ -236,11 +236,35 @@ def test_token_counts(docs, rows, odd, none):
 
 def test_chunks_resynchronise():
     encoder = token_counts.ChunkedEncoder(piece_model(), chunk=64, overlap=4)
-    for text in ("a" * 500, "  " * 300, "x " * 400, " " * 500 + "b", "ab" * 90 + " c" * 200, "é \n" * 200, "▁ " * 100, "<s> </s> " * 60):
+    rng = random.Random(4)
+    texts = ["a" * 500, "  " * 300, "x " * 400, " " * 500 + "b", "ab" * 90 + " c" * 200, "é \n" * 200, "▁ " * 100, "<s> </s> " * 60, "日本語テキスト" * 40, "🙂é" * 99, "x" * 300 + "日" + "y" * 300]
+    texts += ["".join(rng.choice("abcdetr  \n.,é日▁🙂") for _ in range(rng.randint(60, 900))) for _ in range(200)]
+    for text in texts:
         assert encoder.encode(text) == encoder.processor.encode(text)
     assert encoder.widened
 
 
+def test_chunks_that_do_not_align_are_widened(monkeypatch):
+    encoder = token_counts.ChunkedEncoder(piece_model(), chunk=64, overlap=4)
+    plain = encoder._aligned
+    turns = iter([False, False, True] * 1000)
+    monkeypatch.setattr(encoder, "_aligned", lambda *x: plain(*x) and next(turns))
+    text = "some words and more words " * 60
+    assert encoder.encode(text) == encoder.processor.encode(text) and encoder.widened >= 10
+
+
+def test_chunks_of_long_texts_are_linear():
+    import time
+
+    encoder = token_counts.ChunkedEncoder(piece_model())
+    for text in ("日本語のテキスト" * 125_000, "x" * 1_000_000, "words and " * 100_000):
+        start = time.perf_counter()
+        want = encoder.processor.encode(text)
+        between = time.perf_counter()
+        assert encoder.encode(text) == want
+        assert time.perf_counter() - between < 3 * (between - start) + 0.5
+
+
 def brute_contained(rows, items, size=5):
     out = []
     for j, item in items:
@@ -431,7 +455,7 @@ def test_piece_variants(spark, rows, odd, none):
     assert piece_dropout.encode_pieces(none, piece_model()).count() == 0
 
 
-def test_pieces_vary_by_document_and_place(spark):
+def test_pieces_vary_by_document_and_place(spark, monkeypatch):
     encoder = piece_dropout.DropoutEncoder(piece_model())
     text = "internationalisation " * 200
     ids = [x.tolist() for x in encoder.encode_many([text, text, text], [1, 2, 1])]
@@ -442,11 +466,19 @@ def test_pieces_vary_by_document_and_place(spark):
     kept = piece_dropout.DropoutEncoder(piece_model())
     kept._learn([units[0], " é世"])
     which, variants = np.array([0, 1] * 300), np.arange(600)
-    got = kept._pieces(which, variants)
-    assert got == [kept.segment(kept.names[k], v) for k, v in zip(which, variants.tolist(), strict=True)]
-    assert plain in got and len(set(got)) > 10
+    got, alone = kept._pieces(which, variants)
+    want = [kept.segment(kept.names[k], v) for k, v in zip(which, variants.tolist(), strict=True)]
+    assert 20 < len(alone) < 400 and all(g == w for k, (g, w) in enumerate(zip(got, want, strict=True)) if k not in set(alone.tolist()))
+    assert plain in got and len(set(want)) > 20 and len(kept.next) > 5
+    monkeypatch.setattr(piece_dropout, "REMEMBERED", 4)
+    few = piece_dropout.DropoutEncoder(piece_model())
+    mixed = (text[:600] + " rare once ▁ " + "x" * 50 + " short words ") * 3
+    pairs = enumerate(few.units.findall(" " + mixed))
+    each = [few.segment(u, (zlib.crc32(f"7\n{mixed}".encode()) << 31) ^ k) for k, u in pairs]
+    assert few.encode_many([mixed], [7])[0].tobytes() == b"".join(each)
     rows = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
     assert len({tuple(r.ids) for r in piece_dropout.encode_pieces(rows, piece_model()).collect()}) == 20
+    assert len(set(encoder.segment_many([" internationalisation"] * 1000, np.arange(1000)))) > 20
 
 
 def brute_links(rows, size, num, den):
