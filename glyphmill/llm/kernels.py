@@ -38,18 +38,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * _MULTIPLIER)
 
 
-def _byte_table(lower: bool) -> np.ndarray:
+def _word_bytes(bare: bool) -> np.ndarray:
+    """Bytes of words: all but separators, or (`bare`) ASCII letters and digits and all of other characters."""
+    table = np.ones(256, dtype=bool)
+    if bare:
+        table[:0x80] = False
+        for first, last in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)):
+            table[first : last + 1] = True
+    else:
+        table[list(SPACE_BYTES)] = False
+    return table
+
+
+_IS_WORD = {bare: _word_bytes(bare) for bare in (False, True)}
+
+
+def _byte_table(lower: bool, bare: bool) -> np.ndarray:
     table = _BYTE_VALUES.copy()
     if lower:
         table[0x41:0x5B] = table[0x61:0x7B]
-    for b in SPACE_BYTES:
-        table[b] = 0
+    table[~_IS_WORD[bare]] = 0
     return table
 
 
-_TABLES = {flag: _byte_table(flag) for flag in (False, True)}
-_IS_WORD = np.ones(256, dtype=bool)
-_IS_WORD[list(SPACE_BYTES)] = False
+_TABLES = {(lower, bare): _byte_table(lower, bare) for lower in (False, True) for bare in (False, True)}
 
 
 def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -88,17 +100,17 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[base : base + size], bounds
 
 
-def word_hashes(texts: pa.Array, lower: bool = True, places: bool = False) -> tuple[np.ndarray, ...]:
+def word_hashes(texts: pa.Array, lower: bool = True, places: bool = False, bare: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words of the texts in order, and per text the offset of its first word (n + 1 offsets).
 
-    With `places`, also the byte at which each word starts.
+    With `places`, also the byte at which each word starts.  With `bare`, ASCII punctuation separates words too.
     """
     data, bounds = buffer(texts)
     size = len(data)
     none = (np.empty(0, U64), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64))
     if size == 0:
         return none if places else none[:2]
-    inside = _IS_WORD[data]
+    inside = _IS_WORD[bare][data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = bounds[:-1][bounds[:-1] < size]
@@ -114,7 +126,7 @@ def word_hashes(texts: pa.Array, lower: bool = True, places: bool = False) -> tu
     powers[0] = 1
     powers[1:] = _MULTIPLIER
     np.multiply.accumulate(powers, out=powers)
-    values = _TABLES[lower][data]
+    values = _TABLES[lower, bare][data]
     values *= powers[place]
     hashes = mix(np.add.reduceat(values, starts))
     firsts = np.searchsorted(starts, bounds, side="left")

@@ -6,14 +6,17 @@ do, the disclosure of t is the pointwise mutual information of t and k over the
 
     D(t, k) = log(p(k | t) / p(k)) / -log p(k)  =  1 + log p(k | t) / -log p(k),
 
-1 for a term that stands only there.  Terms at or above the disclosure threshold, beside one entity or many, are
-generalised to their mark wherever they stand, in every text.  Counts cover all documents, and words outside of matches.
+1 for a term that stands only there.  As p(e | t) <= p(k | t) for each entity e of kind k, a term that reveals one single
+entity reveals its kind at least as surely, so one rule covers both, with no floor on the number of entities.  Terms at
+or above the disclosure threshold are generalised to their mark wherever they stand, in every text.  Terms are runs of
+letters and digits without regard to the case of A-Z; counts cover all documents, and words outside of matches.
 Counts and terms are tables: words that pass a bit map of fixed size are joined with the terms.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +42,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: A term, as bare words of the kernels are.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 Span = tuple[int, int, int]
 
@@ -80,39 +84,23 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def contexts(text: str, spans: list[Span]) -> Iterator[tuple[Span, list[tuple[int, int]]]]:
-    """Each span with the places of the words beside it, within its line and outside all spans."""
-    covered = [(s, e) for s, _, e in spans]
+def contexts(rest: str, spans: list[Span]) -> Iterator[tuple[Span, list[str]]]:
+    """Each span with the words beside it, within its line, of a text whose matches are blanks."""
+    line_end, words, places = -1, [], []
     for span in spans:
         start, _, end = span
-        words = []
-        left = text.rfind("\n", 0, start) + 1
-        at = start
-        for _ in range(CONTEXT_WORDS):
-            stop = at
-            while stop > left and text[stop - 1] in " \t\x0b\x0c\r":
-                stop -= 1
-            begin = stop
-            while begin > left and text[begin - 1] not in " \t\x0b\x0c\r":
-                begin -= 1
-            if begin == stop:
-                break
-            words.append((begin, stop))
-            at = begin
-        right = text.find("\n", end)
-        right = len(text) if right < 0 else right
-        at = end
-        for _ in range(CONTEXT_WORDS):
-            m = _WORD.search(text, at, right)
-            if not m:
-                break
-            words.append(m.span())
-            at = m.end()
-        yield span, [(a, b) for a, b in words if not any(a < e and s < b for s, e in covered)]
+        if start >= line_end:
+            begin = rest.rfind("\n", 0, start) + 1
+            line_end = rest.find("\n", start)
+            line_end = len(rest) if line_end < 0 else line_end
+            words = [m for m in _WORD.finditer(rest, begin, line_end)]
+            places = [m.start() for m in words]
+        k = bisect_left(places, start)
+        yield span, [m[0] for m in words[max(0, k - CONTEXT_WORDS) : k + CONTEXT_WORDS]]
 
 
 def _hashes(words: list[str]) -> np.ndarray:
-    return kernels.word_hashes(pa.array(words, pa.string()))[0]
+    return kernels.word_hashes(pa.array(words, pa.string()), bare=True)[0]
 
 
 def blanked(text: str, spans: list[Span]) -> str:
@@ -134,7 +122,7 @@ def all_spans(texts: list[str], known: np.ndarray) -> list[list[Span]]:
     rest = pa.array([blanked(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
     for start, stop in kernels.runs(rest):
         part = rest[start:stop]
-        hashes, firsts, begins = kernels.word_hashes(part, places=True)
+        hashes, firsts, begins = kernels.word_hashes(part, places=True, bare=True)
         hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
         owners = np.searchsorted(firsts, hits, side="right") - 1
         data, bounds = kernels.buffer(part)
@@ -154,14 +142,15 @@ def _count_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     found = [base_spans(t) for t in texts]
     kinds: list[int] = []
     words: list[str] = []
-    for text, spans in zip(texts, found, strict=True):
-        for (_, kind, _), places in contexts(text, spans):
-            kinds += [kind] * len(places)
-            words += [text[a:b] for a, b in places]
-    rest = pa.array([blanked(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
+    plain = [blanked(t, f) for t, f in zip(texts, found, strict=True)]
+    for text, spans in zip(plain, found, strict=True):
+        for (_, kind, _), near in contexts(text, spans):
+            kinds += [kind] * len(near)
+            words += near
+    rest = pa.array(plain, pa.string())
     parts = [(np.array(kinds, np.int32), _hashes(words), np.ones(len(kinds), np.int64))]
     for start, stop in kernels.runs(rest):
-        term, n = np.unique(kernels.word_hashes(rest[start:stop])[0], return_counts=True)
+        term, n = np.unique(kernels.word_hashes(rest[start:stop], bare=True)[0], return_counts=True)
         parts.append((np.full(len(term), -1, np.int32), term, n))
     kind, term, n = (np.concatenate(c) for c in zip(*parts, strict=True))
     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(term.view(np.int64)), pa.array(n)], ["kind", "term", "n"])
@@ -218,7 +207,7 @@ def _with_terms(docs: DataFrame, disclosure: Disclosure, text_col: str) -> DataF
         texts = kernels.plain(batch.column(at)).to_pylist()
         rest = pa.array([blanked(t, base_spans(t)) for t in texts], pa.string())
         for start, stop in kernels.runs(rest):
-            hashes, firsts = kernels.word_hashes(rest[start:stop])
+            hashes, firsts = kernels.word_hashes(rest[start:stop], bare=True)
             low = hashes & np.uint64(BITS - 1)
             hits = np.flatnonzero(sent.value[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
             values, offsets = kernels.distinct_sorted(hashes[hits], np.searchsorted(hits, firsts))
@@ -248,11 +237,14 @@ def find_personal_data(docs: DataFrame, disclosure: Disclosure | None = None, id
     an empty table gives an empty result.
     """
     disclosure = disclosure or learn_disclosure(docs, text_col)
-    kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in _spans_of(batch.column(1), batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], ["id", "spans"])
+        found = _spans_of(batch.column(1), batch.column(2))
+        flat = np.array([s for spans in found for s in spans], dtype=np.int32).reshape(-1, 3)
+        kinds = pa.array(KINDS, pa.string()).take(pa.array(flat[:, 1]))
+        spans = pa.StructArray.from_arrays([kinds, pa.array(flat[:, 0]), pa.array(flat[:, 2])], ["kind", "start", "end"])
+        ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), spans)], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = map_batches(_with_terms(rows, disclosure, "text"), fn, "id long, spans array<struct<kind: string, start: int, end: int>>")
@@ -274,7 +266,12 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", disclosure: Disclosure | None = None) -> DataFrame:
-    """`docs`, all columns as they were but for the text, in which all spans are generalised (null stays null)."""
+    """`docs`, all columns as they were but for the text, in which all spans are generalised.
+
+    Each run of overlapping spans gets the mark of the first of them.  A null text stays null and an empty one empty;
+    repeated rows each come back, all changed alike; null ids and other columns are kept as they are, whatever their
+    names; an empty table gives an empty result.
+    """
     disclosure = disclosure or learn_disclosure(docs, text_col)
     at = docs.columns.index(text_col)
 

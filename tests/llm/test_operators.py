@@ -403,6 +403,41 @@ def test_disclosing_terms(spark, odd, none):
     assert pii.sanitise(odd).filter("text is null").count() == 1
 
 
+def brute_spans(texts):
+    """All spans of all texts by counting in dictionaries."""
+    from collections import Counter
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    base = [brute_personal(t) for t in texts]
+    rest = [pii.blanked(t, b) for t, b in zip(texts, base, strict=True)]
+    everywhere = Counter(m[0].translate(LOWER) for t in rest for m in word.finditer(t))
+    near = Counter()
+    for t, found in zip(rest, base, strict=True):
+        for start, kind, end in found:
+            line = t[t.rfind("\n", 0, start) + 1 : start], t[start:].split("\n")[0]
+            beside = word.findall(line[0])[-pii.CONTEXT_WORDS :] + word.findall(line[1])[: pii.CONTEXT_WORDS]
+            near.update((kind, w.translate(LOWER)) for w in beside)
+    of_kind = Counter()
+    for (kind, _), n in near.items():
+        of_kind[kind] += n
+    total = sum(everywhere.values())
+    terms = set()
+    for (kind, w), n in near.items():
+        information = -np.log(min(0.5, of_kind[kind] / total))
+        if 1 + np.log(min(1, n / everywhere[w])) / information >= pii.DISCLOSURE:
+            terms.add(w)
+    return [sorted(b + [(m.start(), 4, m.end()) for m in word.finditer(t) if m[0].translate(LOWER) in terms]) for t, b in zip(rest, base, strict=True)]
+
+
+def test_personal_data_spans_are_those_of_brute_force(spark, rows):
+    more = [(5000, "Mr Rarename, owner of ann@b.example and 10.0.0.1\nRARENAME! elsewhere"), (5001, "no address: rarename"), (5002, None)]
+    table = spark.createDataFrame(rows + more, "doc_id long, text string")
+    got = {r.doc_id: sorted((s.start, pii.KINDS.index(s.kind), s.end) for s in r.spans) for r in pii.find_personal_data(table).collect()}
+    want = brute_spans([t or "" for _, t in rows + more])
+    assert got == dict(zip([i for i, _ in rows + more], want, strict=True))
+    assert (3, 4, 11) in got[5000] and sum(k == 4 for spans in got.values() for _, k, _ in spans) > 3
+
+
 def test_disclosing_terms_stand_anywhere(spark):
     plain = [(k, f"some common words here {k}\nmore common words") for k in range(200)]
     told = [(1000 + k, f"chairman person{k}@example.com common words") for k in range(12)]
