@@ -1,16 +1,18 @@
 """License scans by exact set-similarity join (operator 4), DataFrame functions only.
 
-The templates are a fixed small side, so the join is row-local: no shuffle of the texts.  Template words are ordered by
-their document frequency over the whole corpus, rarest first.  With a containment threshold t a template of n words
-needs a = ceil(t n) of them; a block can only reach that if it holds one of the n - a + 1 rarest (prefix filter),
-has at least a template words (length filter), and if enough words follow its first prefix word in both orders
-(positional filter).  Blocks that pass are verified by their exact intersection.  As statements are wrapped, a block is a
-line with the lines that follow it, up to the end of the one that holds the last of as many words as the longest template has.
+The templates are a small table, so the join is row-local: no shuffle of the texts.  Template words are ordered by
+their document frequency over the whole corpus, rarest first, and the prefix words of the templates index them.  With a
+containment threshold t a template of n words needs a = ceil(t n) of them; a block can only reach that if it holds one of
+the n - a + 1 rarest (prefix filter), has at least a template words (length filter), and if enough words follow its first
+prefix word in both orders (positional filter).  Only the templates that the index gives for a block's words are looked
+at, and those that pass are verified by their exact intersection.  As statements are wrapped, a block is a line with the
+lines that follow it, up to the end of the one that holds the last of as many words as the longest template has.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,43 +27,49 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+
 #: The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Short statements by which texts name a licence.
+#: Statements by which texts name a licence, as (label, words); the default table of templates.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
 )
+#: The template table goes into the plan, so it is bounded.
+MAX_TEMPLATES = 5_000
 THRESHOLD = (9, 10)
-#: Words after a line that may belong to a statement begun on it.
-FOLLOWING = max(len(text.split()) for _, text in TEMPLATES)
 
 
 @dataclass(frozen=True)
 class Template:
-    """Words of a template in corpus order (rarest first), and the overlap it needs."""
+    """Distinct words of a template in corpus order (rarest first), the overlap it needs, and its length in words."""
 
     label: str
     words: tuple[str, ...]
     need: int
+    length: int
 
     @property
     def prefix(self) -> tuple[str, ...]:
         return self.words[: len(self.words) - self.need + 1]
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for _, text in TEMPLATES for w in text.split()})
-
-
 def _lowered(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
@@ -70,32 +78,52 @@ def _strings(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def ordered_templates(docs: DataFrame, text_col: str = "text") -> tuple[list[Template], list[str]]:
+def template_rows(templates: DataFrame | Sequence[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """(label, words) of a table `(label, text)` or of pairs; rows without words are left out."""
+    if isinstance(templates, DataFrame):
+        templates = [(r.label, r.text) for r in templates.select("label", "text").limit(MAX_TEMPLATES + 1).collect()]
+    rows = [(label, re.findall(f"{WORD}+", (text or "").translate(_LOWER))) for label, text in templates]
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    return [(label, words) for label, words in rows if words and label is not None]
+
+
+def ordered_templates(
+    docs: DataFrame, text_col: str = "text", templates: DataFrame | Sequence[tuple[str, str]] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD
+) -> tuple[list[Template], list[str]]:
     """Templates, and all their words, in the order of document frequencies over all of `docs` (ties by word)."""
-    known = _vocabulary()
+    rows = template_rows(templates)
+    known = sorted({w for _, words in rows for w in words})
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     held = F.array_intersect(_strings(known), F.split(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    counts = {r.word: r.n for r in docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    counts = {r.word: r.n for r in docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()} if known else {}
     order = sorted(known, key=lambda w: (counts.get(w, 0), w))
-    num, den = THRESHOLD
-    templates = []
-    for label, statement in TEMPLATES:
-        words = tuple(w for w in order if w in set(statement.split()))
-        templates.append(Template(label, words, -(-len(words) * num // den)))
-    return templates, order
-
-
-def _containment(block: Column, t: Template) -> Column:
-    """Share of the template in a block (its template words in corpus order), 0 where a filter rules it out."""
-    n = len(t.words)
-    first = F.array_intersect(_strings(t.prefix), block)
-    word = F.get(first, F.lit(0))
-    in_template = F.array_position(_strings(t.words), word) - 1
-    in_block = F.array_position(block, word) - 1
-    bound = F.least(F.lit(n) - in_template, F.size(block) - in_block)
-    shared = F.size(F.array_intersect(_strings(t.words), block))
-    possible = (F.size(block) >= t.need) & (F.size(first) > 0) & (bound >= t.need)
-    return F.when(possible & (shared >= t.need), shared / F.lit(float(n))).otherwise(F.lit(0.0))
+    place = {w: k for k, w in enumerate(order)}
+    num, den = threshold
+    return [Template(label, tuple(sorted(set(words), key=place.__getitem__)), -(-len(set(words)) * num // den), len(words)) for label, words in rows], order
+
+
+def _matches(line: Column, block: Column, found: list[Template]) -> Column:
+    """(line, label, containment) of the templates that a block (its template words in corpus order) holds enough of."""
+    fields = [F.struct(F.lit(t.label).alias("label"), _strings(t.words).alias("words"), _strings(t.prefix).alias("prefix"), F.lit(t.need).alias("need")) for t in found]
+    index: dict[str, list[int]] = {}
+    for k, t in enumerate(found):
+        for word in t.prefix:
+            index.setdefault(word, []).append(k)
+    numbers = F.map_from_arrays(_strings(index), F.array(*[F.array(*map(F.lit, ids)) for ids in index.values()]))
+    given = F.array_distinct(F.flatten(F.filter(F.transform(block, lambda w: numbers[w]), lambda x: x.isNotNull())))
+
+    def containment(t: Column) -> Column:
+        word = F.get(F.array_intersect(t["prefix"], block), F.lit(0))
+        in_template = F.array_position(t["words"], word) - 1
+        in_block = F.array_position(block, word) - 1
+        bound = F.least(F.size(t["words"]) - in_template, F.size(block) - in_block)
+        shared = F.size(F.array_intersect(t["words"], block))
+        return F.when((F.size(block) >= t["need"]) & (bound >= t["need"]) & (shared >= t["need"]), shared / F.size(t["words"])).otherwise(F.lit(0.0))
+
+    every = F.array(*fields)
+    seen = F.transform(given, lambda k: let(F.get(every, k), lambda t: F.struct(line.alias("line"), t["label"].alias("label"), containment(t).alias("containment"))))
+    return F.filter(seen, lambda m: m["containment"] > 0)
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -106,16 +134,20 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), found).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | Sequence[tuple[str, str]] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD
+) -> DataFrame:
     """One row per row of `docs`: `(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks)`.
 
     `blocks` are the blocks (`line`) that meet the containment threshold of a template, with its label and their containment;
     `score` is 1 where a base phrase stands, else the best containment.  Null and empty texts have no words and empty
     labels; repeated rows are scanned each; a null id stays null; extra columns are ignored; an empty table gives an
-    empty result.
+    empty result.  `templates` are pairs or a table (label, text): repeated ones match alike, null labels and texts without
+    words are left out, and without any only the base phrases count.
     """
-    templates, order = ordered_templates(docs, text_col)
-    rare = sorted({w for t in templates for w in t.prefix})
+    found, order = ordered_templates(docs, text_col, templates, threshold)
+    rare = sorted({w for t in found for w in t.prefix}) or ["\0"]
+    following = max((t.length for t in found), default=0)  # words after a line that may belong to a statement begun on it
     holds_prefix = f"(?i)(?<!{RAW_WORD})(?:{'|'.join(map(re.escape, rare))})(?!{RAW_WORD})"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -127,12 +159,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("labels"))
     in_order = lambda line: F.array_intersect(_strings(order), F.regexp_extract_all(_lowered(line), F.lit(f"({WORD}+)"), F.lit(1)))
-    match = lambda line, block, t: F.struct(line.alias("line"), F.lit(t.label).alias("label"), _containment(block, t).alias("containment"))
-    of_line = lambda line: let(in_order(line), lambda b: F.array(*[match(line, b, t) for t in templates]))
-    window = f"(?<![^\n])(?=([^\n]*+(?:{NO_WORD}*+{RAW_WORD}++){{0,{FOLLOWING}}}+[^\n]*+))[^\n]"
+    of_line = lambda line: let(in_order(line), lambda b: _matches(line, b, found))
+    window = f"(?<![^\n])(?=([^\n]*+(?:{NO_WORD}*+{RAW_WORD}++){{0,{following}}}+[^\n]*+))[^\n]"
     candidates = F.filter(F.regexp_extract_all(text, F.lit(window), F.lit(1)), lambda x: F.regexp_like(x, F.lit(holds_prefix)))
     kind = "array<struct<line: string, label: string, containment: double>>"
-    blocks = F.filter(F.flatten(F.transform(candidates, of_line)), lambda m: m["containment"] > 0).cast(kind)
+    blocks = F.flatten(F.transform(candidates, of_line)).cast(kind) if found else F.array().cast(kind)
     out = docs.select(
         F.col(id_col).alias(id_col),
         F.regexp_count(text, F.lit(f"{RAW_WORD}+")).cast("long").alias("n_words"),

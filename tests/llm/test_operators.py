@@ -200,12 +200,21 @@ def brute_license(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found))
 
 
-def brute_templates(text):
+def brute_templates(text, templates=license_scan.TEMPLATES, following=None):
+    """Labels by all windows of lines: a line and those after it, up to the end of the one with the last of the words that may follow."""
     out = set()
     num, den = license_scan.THRESHOLD
-    for line in (text or "").split("\n"):
-        block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.translate(LOWER)))
-        for label, statement in license_scan.TEMPLATES:
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    following = following or max(len(t.split()) for _, t in templates)
+    lines = [word.findall(line.translate(LOWER)) for line in (text or "").split("\n")]
+    for k, line in enumerate(lines):
+        block, left = set(line), following
+        for more in lines[k + 1 :]:
+            if left <= 0:
+                break
+            block |= set(more)
+            left -= len(more)
+        for label, statement in templates:
             t = set(statement.split())
             if den * len(block & t) >= num * len(t):
                 out.add(label)
@@ -544,3 +553,17 @@ def test_licenses_on_wrapped_lines(spark):
     rows = [(1, mit), (2, "x\n" + bsd), (3, gpl), (4, "\n".join(mit.split())), (5, mit.split("\n")[0]), (6, "some words\n\nof this software"), (7, "a\n" * 50 + bsd)]
     got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.labels for r in got} == {1: "mit", 2: "bsd", 3: "gpl", 4: "mit", 5: "", 6: "", 7: "bsd"}
+
+
+def test_licenses_of_a_table_of_templates(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{k}" for k in range(60)]
+    templates = [(f"t{k}", " ".join(rng.choices(vocabulary, k=rng.randint(1, 14)))) for k in range(120)] + [(None, "v1"), ("none", " ,"), ("null", None)]
+    rows = [(k, rng.choice([" ", ", ", "\n"]).join(rng.choices(vocabulary, k=rng.randint(1, 60)))) for k in range(60)]
+    rows += [(100 + k, t.replace(" ", rng.choice([" ", "\n", "\n# "]))) for k, (_, t) in enumerate(templates) if t]
+    table = spark.createDataFrame(templates, "label string, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=table).collect()}
+    good = [(label, t) for label, t in templates if label and t and t.strip(" ,")]
+    assert got == {i: ",".join(sorted(brute_templates(t, good))) for i, t in rows}
+    bare = license_scan.scan_licenses(spark.createDataFrame([(1, "v1 MIT license"), (2, "x")], "doc_id long, text string"), templates=table.filter("false"))
+    assert {r.doc_id: (r.labels, r.score) for r in bare.collect()} == {1: ("mit", 1.0), 2: ("", 0.0)}
