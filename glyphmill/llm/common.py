@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,16 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: `spark.checkpoint.dir` of the session, or an own folder where it is unset."""
+    """The cluster's shared folder: `spark.checkpoint.dir` of the session.
+
+    Where it is unset, a local session, whose executors are on this machine, gets a folder of its own; on a cluster that is
+    an error, as executors elsewhere could not read it.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmill-checkpoint-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -54,6 +61,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(each, schema)
 
 
+def bit_map(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bit map of the low bits of a column of hashes, as 64-bit words: a value without its bit is none of them."""
+    low = F.col(column).bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
+    found = rows.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def bucket_of(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod` (null ids: bucket 0)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(mod)), F.lit(0)).cast("int")

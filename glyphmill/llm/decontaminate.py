@@ -5,7 +5,9 @@ m - ceil(t m) + 1 smallest shingle hashes: a bottom-k MinHash sketch of which at
 that holds a share t of the item's shingles.  So a document of any length is a candidate when one of its shingle
 hashes hits a sketch, and the search misses nothing.  Candidates are verified by exact shingle containment.
 
-The items go out in blocks of bounded size, and documents are only scanned: nothing is shuffled.
+Items of up to BLOCK_SHINGLES shingles are broadcast, and documents are only scanned.  More items stay a table: one scan of
+the documents keeps the shingles that have their bit in a map of fixed size, and these are joined with the items'; pairs
+that hit a sketch are verified by their number of shared shingles.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import kernels
-from glyphmill.llm.common import map_batches
+from glyphmill.llm.common import bit_map, drop_table, map_batches, write_table
 
-#: Shingles of the items in one block: 8 MB in a task.
+#: Shingles of the items that are broadcast: 8 MB in a task.
 BLOCK_SHINGLES = 1_000_000
+#: Size of the bit map by which documents are searched for shingles of more items (8 MB, whatever the items).
+BITS = 1 << 26
 SCHEMA = "doc long, item long, n_item long, n_shared long"
 
 
@@ -30,16 +34,19 @@ def _sketch_length(n: int, num: int, den: int) -> int:
     return min(n, largest - -(-largest * num // den) + 1)
 
 
-def _item_sets(size: int):
-    """(id, text) to (item, width, hashes): items of fewer words than `size` are one window of their own width."""
+def _item_sets(size: int, num: int, den: int):
+    """(id, text) to (item, width, n, k, hashes), the first k of them the sketch: items of fewer words than `size` are one
+    window of their own width."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = kernels.plain(batch.column(1))
         words, firsts = kernels.word_hashes(texts)
         width = np.minimum(np.diff(firsts), size)
         hashes, offsets = kernels.distinct_sorted(*kernels.shingle_hashes(words, firsts, size))
+        n = np.diff(offsets)
+        k = np.array([_sketch_length(x, num, den) for x in n.tolist()], dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(width.astype(np.int32)), lists], ["item", "width", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(width.astype(np.int32)), pa.array(n), pa.array(k), lists], ["item", "width", "n_item", "k", "hashes"])
 
     return fn
 
@@ -88,18 +95,52 @@ class _Block:
                     yield t, k, shared
 
 
-def _blocks(items: DataFrame, size: int, num: int, den: int) -> Iterator[_Block]:
-    found = map_batches(items, _item_sets(size), "item long, width int, hashes array<long>").filter("width > 0")
-    held: list[tuple[int | None, int, np.ndarray]] = []
-    total = 0
-    for row in found.toLocalIterator():
-        held.append((row.item, row.width, np.array(row.hashes, dtype=np.int64).view(np.uint64)))
-        total += len(row.hashes)
-        if total >= BLOCK_SHINGLES:
-            yield _Block(held, num, den)
-            held, total = [], 0
-    if held:
-        yield _Block(held, num, den)
+def _items(items: DataFrame, item_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, _Block | None]:
+    """The items' sets as a written table, and on the driver where they are few."""
+    items = items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets = map_batches(items, _item_sets(size, num, den), "item long, width int, n_item long, k int, hashes array<long>").filter("width > 0")
+    sets = write_table(sets.withColumn("uid", F.monotonically_increasing_id()))
+    if (sets.agg(F.sum("n_item")).first()[0] or 0) > BLOCK_SHINGLES:
+        return sets, None
+    found = sets.select("item", "width", "hashes").toArrow().to_pylist()
+    drop_table(sets)
+    return sets, _Block([(r["item"], r["width"], np.array(r["hashes"], dtype=np.int64).view(np.uint64)) for r in found], num, den)
+
+
+#: A text's key: contamination is a matter of the text alone.
+KEYS = ("key_a", "key_b")
+
+
+def _keyed(text: str) -> list:
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.xxhash64(value).alias(KEYS[0]), F.xxhash64(F.lit(1), value).alias(KEYS[1])]
+
+
+def _joined(docs: DataFrame, text_col: str, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """`(key_a, key_b, item, n_item, n_shared)` of the texts that hold enough of an item, without any side on the driver."""
+    values = sets.select("uid", "item", "n_item", "width", "k", F.posexplode("hashes").alias("place", "value"))
+    bits = bit_map(sets.select(F.explode("hashes").alias("value")), "value", BITS)
+    widths = [r.width for r in sets.select("width").distinct().collect()]
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """(keys, text) to the distinct windows of each width that have their bit."""
+        texts = kernels.plain(batch.column(2))
+        keys = [batch.column(k).to_numpy() for k in range(2)]
+        for start, stop in kernels.runs(texts):
+            words = kernels.word_hashes(texts[start:stop])
+            for width in widths:
+                hashes, offsets = kernels.distinct_sorted(*kernels.shingle_hashes(*words, width, short_whole=False))
+                low = hashes & np.uint64(BITS - 1)
+                hits = np.flatnonzero(sent.value[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
+                owner = start + np.searchsorted(offsets, hits, side="right") - 1
+                cols = [pa.array(k[owner]) for k in keys] + [pa.array(np.full(len(hits), width, np.int32)), pa.array(hashes[hits].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, [*KEYS, "width", "value"])
+
+    rows = docs.select(*_keyed(text_col), F.col(text_col).cast("string").alias("text"))
+    hits = map_batches(rows, fn, "key_a long, key_b long, width int, value long").distinct()
+    shared = hits.join(values, ["width", "value"]).groupBy(*KEYS, "uid", "item", "n_item").agg(F.count("*").alias("n_shared"), F.max(F.col("place") < F.col("k")).alias("sketched"))
+    return write_table(shared.filter(F.col("sketched") & (F.col("n_shared") * den >= F.col("n_item") * num)).select(*KEYS, "item", "n_item", "n_shared"))
 
 
 def _found(docs: DataFrame, block: _Block) -> DataFrame:
@@ -127,27 +168,37 @@ def contained_items(
     are ignored; empty tables give an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for k, block in enumerate(_blocks(items, size, num, den)):
-        out = _found(docs, block) if k == 0 else out.unionByName(_found(docs, block))
+    sets, block = _items(items, item_col, item_text_col, size, num, den)
+    if block:
+        out = _found(docs, block)
+    else:
+        pairs = _joined(docs, "text", sets, num, den)
+        drop_table(sets)
+        out = docs.select(F.col("id").alias("doc"), *_keyed("text")).join(pairs, list(KEYS))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_item", "n_shared")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of `docs`, all columns as they were, that hold no item (see `contained_items`)."""
+    """Rows of `docs`, all columns as they were, that hold no item (see `contained_items`).
+
+    Null, empty and wordless texts hold none and stay; repeated rows stay or go together; null ids and further columns,
+    whatever their names, are kept as they are; with an empty table of items all rows stay.
+    """
+    sets, block = _items(items, item_col, item_text_col, size, num, den)
+    if not block:
+        pairs = _joined(docs, text_col, sets, num, den).select(*[F.col(k).alias(f"glyphmill_{k}") for k in KEYS]).distinct()
+        drop_table(sets)
+        a, b = _keyed(text_col)
+        return docs.join(pairs, (a == pairs[f"glyphmill_{KEYS[0]}"]) & (b == pairs[f"glyphmill_{KEYS[1]}"]), "left_anti")
     at = docs.columns.index(text_col)
-    items = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    for block in _blocks(items, size, num, den):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def fn(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
-            texts = kernels.plain(batch.column(at))
-            keep = np.ones(len(texts), dtype=bool)
-            for start, stop in kernels.runs(texts):
-                for t, _, _ in sent.value.search(*kernels.word_hashes(texts[start:stop])):
-                    keep[start + t] = False
-            yield batch.filter(pa.array(keep))
-
-        docs = map_batches(docs, fn, docs.schema)
-    return docs
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = kernels.plain(batch.column(at))
+        keep = np.ones(len(texts), dtype=bool)
+        for start, stop in kernels.runs(texts):
+            for t, _, _ in sent.value.search(*kernels.word_hashes(texts[start:stop])):
+                keep[start + t] = False
+        yield batch.filter(pa.array(keep))
+
+    return map_batches(docs, fn, docs.schema)

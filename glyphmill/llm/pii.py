@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from glyphmill.llm import kernels
-from glyphmill.llm.common import drop_table, map_batches, write_table
+from glyphmill.llm.common import bit_map, drop_table, map_batches, write_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity, within its line, that count as its context.
@@ -171,12 +171,7 @@ class Disclosure:
 
     def bits(self) -> np.ndarray:
         """Bit map of the terms' low bits: a word without its bit is no disclosing term."""
-        at = F.col("term").bitwiseAND(F.lit(BITS - 1))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-        rows = self.table.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        out = np.zeros(BITS >> 6, np.uint64)
-        out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-        return out
+        return bit_map(self.table, "term", BITS)
 
 
 def learn_disclosure(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE) -> Disclosure:

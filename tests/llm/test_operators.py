@@ -296,12 +296,16 @@ def test_contained_items(spark, docs, rows, odd, none, monkeypatch):
     assert sorted(map(tuple, decontaminate.contained_items(docs, items).collect()), key=str) == brute_contained(rows, want)
     few = [(1, "two"), (2, None), (3, ""), (4, "Two three"), (5, "two three four five six seven"), (5, "word word word word word"), (None, "one")]
     short = spark.createDataFrame([(i, t, 0) for i, t in few], "item_id long, text string, id long")
-    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 2)
+    kept = len(ODD) - sum(any(r[0] == i for r in brute_contained([(i, t)], few)) for i, t in ODD)
+    assert sorted(map(tuple, decontaminate.contained_items(odd, short).collect()), key=str) == brute_contained(ODD, few)
+    assert decontaminate.drop_contaminated(odd, short).count() == kept
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 2)  # the items stay a table
+    assert sorted(map(tuple, decontaminate.contained_items(docs, items).collect()), key=str) == brute_contained(rows, want)
     assert sorted(map(tuple, decontaminate.contained_items(odd, short).collect()), key=str) == brute_contained(ODD, few)
     assert decontaminate.contained_items(none, short).count() == 0
     assert decontaminate.contained_items(odd, short.filter("false")).count() == 0
     clean = decontaminate.drop_contaminated(odd, short)
-    assert clean.columns == odd.columns and clean.count() == len(ODD) - sum(any(r[0] == i for r in brute_contained([(i, t)], few)) for i, t in ODD)
+    assert clean.columns == odd.columns and clean.count() == kept
 
 
 def test_chats(spark):
