@@ -1,7 +1,8 @@
 """Training-corpus pipeline: quality filter, near-duplicate removal, decontamination, sanitisation, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of `documents`.
+columns of `documents`.  Every stage takes null, empty and very long texts, null and repeated ids, repeated rows and tables
+without rows; further columns of `docs` are left out, so that none can clash.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import write_table
+from glyphmill.llm.common import drop_table, write_table
 from glyphmill.llm.decontaminate import drop_contaminated
 from glyphmill.llm.jaccard_join import jaccard_components
 from glyphmill.llm.pii import sanitise
@@ -23,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; without labels all stay."""
     return keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -38,18 +39,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and disclosing terms generalised."""
+    """All documents, with personal data and disclosing terms generalised; null texts stay null, `n_chars` is counted anew."""
     clean = sanitise(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids with merge dropout."""
+    """Piece ids with merge dropout, one row per document; null and empty texts have none."""
     return encode_pieces(docs, piece_model())
 
 
@@ -69,7 +70,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = write_table(docs)
+            made = write_table(made)
+            drop_table(docs)
+        docs = made
     return docs

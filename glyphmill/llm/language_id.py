@@ -35,7 +35,8 @@ SWITCH_PENALTY = 12.0
 SMOOTHING = 0.1
 #: A language is a candidate for a script that at least this share of its words use.
 SCRIPT_SHARE = 1e-3
-MAX_LANGUAGES = 256
+#: The model is broadcast and has CELLS numbers a language, so their count is bounded (256 MB); more are an error.
+MAX_LANGUAGES = 1024
 
 _STARTS = np.array(sorted(lo for _, lo, _ in SCRIPT_RANGES))
 _BY_START = sorted((lo, hi, SCRIPTS.index(name) + 1) for name, lo, hi in SCRIPT_RANGES)
@@ -175,16 +176,19 @@ def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])], ["lang", "k", "n"])
 
 
-def learn_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> LanguageModel | None:
-    """Model of the languages of `docs` (rows with a null language are left out; none left: None).  All rows are counted."""
+def learn_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", penalty: float = SWITCH_PENALTY, most: int = MAX_LANGUAGES) -> LanguageModel | None:
+    """Model of the languages of `docs` (rows with a null language are left out; none left: None).  All rows are counted.
+
+    More than `most` languages raise ValueError: the model would be too large to send out.
+    """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
     sums = map_batches(rows, _counted, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
     names = sums.column("lang").to_pylist()
     languages = tuple(sorted(set(names)))
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages")
     number = {x: k for k, x in enumerate(languages)}
     table = np.zeros((CELLS + len(SCRIPTS) + 1, len(languages)))
     table[sums.column("k").to_numpy(), [number[x] for x in names]] = sums.column("n").to_numpy()

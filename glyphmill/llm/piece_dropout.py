@@ -408,13 +408,17 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
 
 
 def decode_pieces(encoded: DataFrame, model: bytes, ids_col: str = "ids", to: str = "text") -> DataFrame:
-    """`encoded` with the text of its ids (null ids: null) as a further column `to`."""
+    """`encoded` with the text of its ids as last column `to`, in the place of one that is named so already.
+
+    Null ids give a null text, none an empty one; repeated rows are decoded alike; an empty table gives an empty result.
+    """
+    ids = [c for c in encoded.columns if c != to]
+    rows = encoded.select(*[f"`{c}`" for c in ids], F.col(ids_col).alias("glyphmill_ids"))
     sent = encoded.sparkSession.sparkContext.broadcast(model)
-    at = encoded.columns.index(ids_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, 0.0, 0)
-        texts = [None if x is None else encoder.decode(np.array(x, dtype=np.int32)) for x in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
+        texts = [None if x is None else encoder.decode(np.array(x, dtype=np.int32)) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], to])
 
-    return map_batches(encoded, fn, StructType([*encoded.schema.fields, StructField(to, StringType())]))
+    return map_batches(rows, fn, StructType([*rows.schema.fields[:-1], StructField(to, StringType())]))

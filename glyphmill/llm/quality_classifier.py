@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import kernels
-from glyphmill.llm.common import bucket_of, drop_table, map_batches, write_table
+from glyphmill.llm.common import bucket_of, map_batches, write_table
 
 SYMBOLS = b"#*$%&<>"
 STATISTICS = (
@@ -28,6 +28,8 @@ STATISTICS = (
 SHRINKAGE = 0.1
 TEMPERATURE = 3.0
 THRESHOLD = 0.3
+#: Up to so many labelled ids (2 MB) are broadcast to find their documents; beyond, they are joined.
+LOOKUP_ROWS = 200_000
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -100,19 +102,19 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class QuadraticModel:
-    """Class means, lower Cholesky factors of the precision side, and the constant of the density difference."""
+    """Class means, inverted lower Cholesky factors of the covariances, and the constant of the density difference."""
 
     scale: np.ndarray
     means: tuple[np.ndarray, np.ndarray]
-    factors: tuple[np.ndarray, np.ndarray]
+    whiteners: tuple[np.ndarray, np.ndarray]
     offset: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = x / self.scale
         distance = []
-        for mean, factor in zip(self.means, self.factors, strict=True):
-            y = np.linalg.solve(factor, (z - mean).T)
-            distance.append((y * y).sum(axis=0))
+        for mean, whitener in zip(self.means, self.whiteners, strict=True):
+            y = (z - mean) @ whitener.T
+            distance.append((y * y).sum(axis=1))
         gap = 0.5 * (distance[0] - distance[1]) + self.offset
         return 1 / (1 + np.exp(-np.clip(gap / TEMPERATURE, -30, 30)))
 
@@ -129,7 +131,8 @@ def _moments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def fit_quality(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", shrinkage: float = SHRINKAGE) -> QuadraticModel:
     """Fit on rows of `features(id, x)` that have a label 0 or 1 (null ids and other labels are left out).
 
-    A class without rows takes the other's moments, so scores fall back to the prior.
+    A class without rows takes the other's moments, so scores fall back to the prior.  A row with several labels counts once
+    with each.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and id is not null")
     found = map_batches(features.join(marks, "id").select("x", "label"), _moments, "label int, k int, v double")
@@ -143,7 +146,7 @@ def fit_quality(features: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     mean = pooled[1 : 1 + d] / pooled[0]
     variance = np.maximum(np.diag(pooled[1 + d :].reshape(d, d)) / pooled[0] - mean**2, 0)
     scale = np.sqrt(np.where(variance > 1e-9, variance, 1.0))
-    means, factors, logs = [], [], []
+    means, whiteners, logs = [], [], []
     for c in (0, 1):
         own = raw[c] if n[c] else pooled
         m = own[1 : 1 + d] / own[0]
@@ -152,10 +155,10 @@ def fit_quality(features: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         cov = (1 - shrinkage) * cov + shrinkage * np.eye(d)
         factor = np.linalg.cholesky((cov + cov.T) / 2)
         means.append(m / scale)
-        factors.append(factor)
+        whiteners.append(np.linalg.inv(factor))
         logs.append(np.log(np.diag(factor)).sum())
     prior = np.log((n[1] + 1) / (n[0] + 1))
-    return QuadraticModel(scale, tuple(means), tuple(factors), float(logs[0] - logs[1] + prior))
+    return QuadraticModel(scale, tuple(means), tuple(whiteners), float(logs[0] - logs[1] + prior))
 
 
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,10 +192,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", holdout_mod: int = 5) -> DataFrame:
-    """Rows of `docs`, all columns as they were, whose score reaches the threshold."""
-    features = write_table(quality_features(docs, id_col, text_col))
-    model = fit_quality(features.filter(bucket_of(F.col("id"), holdout_mod) != 0), labels, id_col, label_col)
-    drop_table(features)
+    """Rows of `docs`, all columns as they were, whose score reaches the threshold.
+
+    Null and empty texts have the score of zero statistics; repeated rows stay or go together; rows with a null id are
+    judged but not learned from; without labels all rows stay; further columns, whatever their names, are kept as they
+    are; an empty table gives an empty result.
+    """
+    ids = labels.select(F.col(id_col).cast("long").alias("glyphmill_id")).distinct()
+    if ids.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        ids = F.broadcast(ids)
+    learned = docs.select(id_col, text_col).filter(bucket_of(F.col(id_col), holdout_mod) != 0)
+    learned = learned.join(ids, F.col(id_col).cast("long") == F.col("glyphmill_id"), "left_semi")
+    model = fit_quality(quality_features(learned, id_col, text_col), labels, id_col, label_col)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -498,6 +498,7 @@ def test_piece_variants(spark, rows, odd, none):
     assert ids[0] != ids[1] and len(ids[2]) < min(len(ids[0]), len(ids[1])) and ids[0] == a.encode(text).tolist()
     got = piece_dropout.encode_pieces(odd, piece_model())
     assert got.filter("not lossless").count() == 0 and got.count() == len(ODD)
+    assert piece_dropout.decode_pieces(got.withColumn("text", F.lit(1)), piece_model()).columns == [*got.columns, "text"]
     back = piece_dropout.decode_pieces(got, piece_model()).select("doc_id", "text").collect()
     assert sorted(map(tuple, back), key=str) == sorted(((i, t or "") for i, t in ODD), key=str)
     assert piece_dropout.encode_pieces(none, piece_model()).count() == 0
@@ -571,3 +572,93 @@ def test_licenses_of_a_table_of_templates(spark):
     assert got == {i: ",".join(sorted(brute_templates(t, good))) for i, t in rows}
     bare = license_scan.scan_licenses(spark.createDataFrame([(1, "v1 MIT license"), (2, "x")], "doc_id long, text string"), templates=table.filter("false"))
     assert {r.doc_id: (r.labels, r.score) for r in bare.collect()} == {1: ("mit", 1.0), 2: ("", 0.0)}
+
+
+def test_quality_scores_are_those_of_the_densities(spark):
+    """Each score against the log densities of two normal distributions with the shrunk class covariances."""
+    table, marks = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in quality_classifier.score_quality(table, marks).collect()}
+    features = {r.id: np.array(r.x) for r in quality_classifier.quality_features(table).collect()}
+    label = {r.doc_id: r.quality for r in marks.collect() if r.quality in (0, 1)}
+    learned = [i for i in features if i in label and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([features[i] for i in learned]), np.array([label[i] for i in learned])
+    scale = np.where(x.var(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    logs = []
+    for c in (0, 1):
+        own = x[y == c] / scale
+        d = own - own.mean(axis=0)
+        cov = (1 - quality_classifier.SHRINKAGE) * d.T @ d / len(own) + quality_classifier.SHRINKAGE * np.eye(x.shape[1])
+        z = np.array(list(features.values())) / scale - own.mean(axis=0)
+        density = -0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z) - 0.5 * np.linalg.slogdet(cov)[1]
+        logs.append(density + np.log((y == c).sum() + 1))
+    want = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / quality_classifier.TEMPERATURE, -30, 30)))
+    assert np.allclose(want, [got[i] for i in features], atol=1e-6)
+
+
+def test_languages_are_those_of_brute_force(spark, docs):
+    """Labels, scores and spans against plain loops over words, trigrams and all ends of paths."""
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").filter("length(text) < 1500").limit(25).collect()]
+    by_lang = {r.lang: r.text for r in docs.filter("length(text) between 800 and 3000").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    texts += [(9000 + k, "\n".join(" ".join(by_lang[x].split()[5 * k : 5 * k + 25]) for x in by_lang)) for k in range(4)] + [(9100, "日本 é ABC"), (9101, "12 34")]
+    model = language_id.learn_languages(docs)
+    found = {r.doc_id: r for r in language_id.label_languages(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, text in texts:
+        words, letters = [], []
+        data = text.encode()
+        for m in re.finditer(rb"[A-Za-z\x80-\xff]+", data):
+            w = bytes(b + 32 if 65 <= b <= 90 else b for b in m[0])
+            total = np.zeros(len(model.languages))
+            for a, b, c in zip(b"\0" + w, w, w[1:] + b"\0", strict=False):
+                total += model.logs[((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 16]
+            code = 0
+            for ch in m[0].decode():
+                for name, lo, hi in language_id.SCRIPT_RANGES:
+                    if lo <= ord(ch) <= hi:
+                        code = max(code, language_id.SCRIPTS.index(name) + 1)
+            words.append(np.where(model.allowed[code], total, total - 1e3))
+            letters.append(len(w))
+        r = found[i]
+        if not words:
+            assert (r.lang_pred, r.score, r.spans) == ("und", 0.0, [])
+            continue
+        best = [words[0]]
+        for w in words[1:]:
+            best.append(np.maximum(best[-1], best[-1].max() - model.penalty) + w)
+        path = np.concatenate([[model.languages.index(s.lang)] * (s.end - s.first) for s in r.spans])
+        value = sum(w[p] for w, p in zip(words, path, strict=True)) - model.penalty * (np.diff(path) != 0).sum()
+        assert np.isclose(value, best[-1].max(), rtol=1e-4, atol=1e-2)
+        weight = np.bincount(path, weights=letters, minlength=len(model.languages))
+        total = np.sum(words, axis=0)
+        k = int(weight.argmax())
+        assert r.lang_pred == model.languages[k]
+        assert np.isclose(r.score, weight[k] / weight.sum() / np.exp(np.clip(total - total[k], -700, 700)).sum(), rtol=1e-2, atol=1e-4)
+    assert any(len(r.spans) > 2 for r in found.values())
+    with pytest.raises(ValueError):
+        language_id.learn_languages(docs, most=1)
+
+
+def test_rules_hold_out(spark):
+    """Verdicts on labelled rows that no rule was learned from."""
+    table, marks = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    mine = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = quality_rules.apply_rules(table, marks.filter(~mine)).join(marks.filter(mine), "doc_id").select("kept", "base_failed", "quality").collect()
+    dropped = [r.quality for r in found if not r.kept and not r.base_failed]
+    assert len(found) > 500 and sum(r.quality == 1 and not r.kept for r in found) / sum(r.quality == 1 for r in found) < 0.03
+    assert sum(r.kept for r in found if r.quality == 0) / sum(r.quality == 0 for r in found) < 0.06 and np.mean([q == 0 for q in dropped] or [1]) > 0.95
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op6_benchmark_decontamination", "op7_chat_format"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    from glyphmill.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = QUERIES[name](spark, SF)
+    want = con.sql(ORACLES[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=repr)
