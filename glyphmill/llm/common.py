@@ -50,8 +50,16 @@ def drop_table(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Rows of an Arrow batch at most; a worker and the executor's buffers hold a few batches at a time.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` over single batches."""
+    """`mapInArrow` over single batches of at most BATCH_ROWS rows (a setting of the session that is lowered if it is more)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, BATCH_ROWS)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

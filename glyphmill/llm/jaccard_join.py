@@ -126,7 +126,12 @@ def prefix_signatures(hashes: np.ndarray, frequent: np.ndarray, num: int, den: i
             classes = np.cumsum(new)  # of the tokens up to each one
             past = np.flatnonzero(len(rare) + place >= first + classes - new)
             stop = int(past[0]) if len(past) else len(often)
-            before, after = np.nonzero(np.triu(group[:stop, None] == group[None, :stop], 1))
+            by_class = np.argsort(group[:stop], kind="stable")
+            sizes = np.unique(group[:stop], return_counts=True)[1]
+            at = np.arange(stop) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of each token, how many of its class are before it
+            after = np.repeat(by_class, at)
+            ends = np.cumsum(at)
+            before = by_class[np.arange(len(after)) - np.repeat(ends - at, at) + np.repeat(np.arange(stop) - at, at)]
             salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
             signatures.append(kernels.mix(kernels.mix(often[before] ^ salt) ^ often[after]))
             bounds.append(n - len(rare) - before + classes[before])
