@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache, reduce
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill import jvm
@@ -14,13 +16,15 @@ PATTERNS = {
     "ISO_DATE": "yyyy-MM-dd", "ISO_TIME": "HH:mm:ss", "ISO_DATETIME": "yyyy-MM-dd'T'HH:mm:ss", "US_DATE": "MM/dd/yyyy",
     "EU_DATE": "dd/MM/yyyy", "LONG_DATE": "EEEE, MMMM d, yyyy", "TIME_12H": "h:mm a", "TIME_24H": "HH:mm",
 }
-#: Factors of the directed conversions.
-FACTORS = {
-    ("kilometer", "mile"): 0.621371, ("mile", "kilometer"): 1.60934, ("meter", "foot"): 3.28084, ("foot", "meter"): 0.3048,
-    ("meter", "yard"): 1.09361, ("yard", "meter"): 0.9144, ("inch", "centimeter"): 2.54,
-    ("kilogram", "pound"): 2.20462, ("pound", "kilogram"): 0.453592, ("gram", "ounce"): 0.035274, ("ounce", "gram"): 28.3495,
-    ("liter", "gallon"): 0.264172, ("gallon", "liter"): 3.78541, ("milliliter", "fluid-ounce"): 0.033814, ("fluid-ounce", "milliliter"): 29.5735,
+#: The directed conversions, as what is added first, the factor, the divisor, and what is added last.
+CONVERSIONS = {
+    ("kilometer", "mile"): (0, 0.621371, 1, 0), ("mile", "kilometer"): (0, 1.60934, 1, 0), ("meter", "foot"): (0, 3.28084, 1, 0), ("foot", "meter"): (0, 0.3048, 1, 0),
+    ("meter", "yard"): (0, 1.09361, 1, 0), ("yard", "meter"): (0, 0.9144, 1, 0), ("inch", "centimeter"): (0, 2.54, 1, 0), ("centimeter", "inch"): (0, 1, 2.54, 0),
+    ("celsius", "fahrenheit"): (0, 9, 5, 32), ("fahrenheit", "celsius"): (-32, 5, 9, 0), ("celsius", "kelvin"): (0, 1, 1, 273.15), ("kelvin", "celsius"): (0, 1, 1, -273.15),
+    ("kilogram", "pound"): (0, 2.20462, 1, 0), ("pound", "kilogram"): (0, 0.453592, 1, 0), ("gram", "ounce"): (0, 0.035274, 1, 0), ("ounce", "gram"): (0, 28.3495, 1, 0),
+    ("liter", "gallon"): (0, 0.264172, 1, 0), ("gallon", "liter"): (0, 3.78541, 1, 0), ("milliliter", "fluid-ounce"): (0, 0.033814, 1, 0), ("fluid-ounce", "milliliter"): (0, 29.5735, 1, 0),
 }
+_UNITS = {u for pair in CONVERSIONS for u in pair}
 DURATION_FIELDS = ("years", "months", "weeks", "days", "hours", "minutes", "seconds")
 
 
@@ -79,26 +83,49 @@ def ordinal_category(value: Column, locale: str = "en_US") -> Column:
     return jvm.text("plural", locale, "ORDINAL", value)
 
 
+def resolve_unit(unit: Column) -> Column:
+    """Identifier of a unit by its identifier or its English abbreviation; null for an unknown one."""
+    return jvm.text("resolve_unit", unit)
+
+
+def unit_info(unit: Column) -> Column:
+    """`(identifier, type, complexity)` of a unit or an abbreviation; null for an unknown one."""
+    found = jvm.array("unit_info", unit)
+    return F.when(found.isNotNull(), F.struct(*[found[k].alias(n) for k, n in enumerate(("identifier", "type", "complexity"))]))
+
+
+def unit_abbreviation(unit: Column, locale: str = "en_US") -> Column:
+    return jvm.text("unit_abbreviation", unit, locale)
+
+
+def can_convert(from_unit: Column, to_unit: Column) -> Column:
+    """Whether two units or abbreviations are of one type; null if either is unknown."""
+    return unit_info(from_unit)["type"] == unit_info(to_unit)["type"]
+
+
+@lru_cache(maxsize=1024)
+def _unit(name: str) -> str:
+    if name in _UNITS:
+        return name
+    found = SparkSession.active().range(1).select(resolve_unit(F.lit(name))).first()[0]
+    if found is None:
+        raise ValueError(f"unknown unit {name!r}")
+    return found
+
+
 def convert_units(value: Column, from_unit: str, to_unit: str) -> Column:
-    """Conversion between the supported pairs of units (other pairs are an error when the plan is built)."""
+    """Conversion between the supported pairs of units or abbreviations (other pairs are an error when the plan is built)."""
     value = value.cast("double")
-    pair = (from_unit, to_unit)
-    if from_unit == to_unit:
+    pair = (_unit(from_unit), _unit(to_unit))
+    if pair[0] == pair[1]:
         return value
-    if pair in FACTORS:
-        return value * FACTORS[pair]
-    match pair:
-        case ("centimeter", "inch"):
-            return value / 2.54
-        case ("celsius", "fahrenheit"):
-            return value * 9 / 5 + 32
-        case ("fahrenheit", "celsius"):
-            return (value - 32) * 5 / 9
-        case ("celsius", "kelvin"):
-            return value + 273.15
-        case ("kelvin", "celsius"):
-            return value - 273.15
-    raise ValueError(f"no conversion from {from_unit} to {to_unit}")
+    if pair not in CONVERSIONS:
+        raise ValueError(f"no conversion from {from_unit} to {to_unit}")
+    before, factor, divisor, after = CONVERSIONS[pair]
+    value = value + before if before else value
+    value = value * factor if factor != 1 else value
+    value = value / divisor if divisor != 1 else value
+    return value + after if after else value
 
 
 def format_measure(value: Column, unit: str, locale: str = "en_US", width: str = "WIDE") -> Column:
@@ -109,6 +136,11 @@ def convert_and_format(value: Column, from_unit: str, to_unit: str, locale: str
     return format_measure(convert_units(value, from_unit, to_unit), to_unit, locale, width)
 
 
+def format_for_usage(value: Column, unit: str, locale: str = "en_US", usage: str = "default", width: str = "WIDE") -> Column:
+    """A measure in its own unit: no unit is preferred for any usage."""
+    return format_measure(value, unit, locale, width)
+
+
 def format_measure_range(low: Column, high: Column, unit: str, locale: str = "en_US", width: str = "WIDE") -> Column:
     """The formatted upper value with the range in the place of its number."""
     shown = format_number(high, locale)
@@ -131,16 +163,22 @@ def parse_iso_duration(text: Column) -> Column:
 
 def duration_parts(seconds: Column) -> Column:
     """Seconds as years of 365 days, months of 30, weeks, days, hours, minutes and seconds."""
-    out, rest = [], seconds.cast("double")
-    for unit, size in SECONDS.items():
-        whole = F.floor(rest / size).cast("double") if size > 1 else rest
-        out.append(whole.alias(f"{unit.lower()}s"))
-        rest = rest - whole * size
+    seconds = seconds.cast("double")
+    whole = F.floor(seconds)  # remainders are of whole seconds: one short expression a field, however many come before
+    sizes = list(SECONDS.values())
+    out = []
+    for k, (unit, size) in enumerate(SECONDS.items()):
+        rest = reduce(lambda r, larger: F.pmod(r, F.lit(larger)), sizes[:k], whole)
+        out.append((F.floor(rest / size) if size > 1 else rest + (seconds - whole)).cast("double").alias(f"{unit.lower()}s"))
     return F.struct(*out)
 
 
 def format_duration_parts(parts: Column, locale: str = "en_US", width: str = "WIDE") -> Column:
     """The parts that are not zero, joined by spaces; 0 seconds if all are."""
+    return F.transform(F.array(parts), lambda p: _shown_parts(p, locale, width))[0]
+
+
+def _shown_parts(parts: Column, locale: str, width: str) -> Column:
     shown = [F.when(parts[f] != 0, format_measure(_plain(parts[f]), f[:-1], locale, width)) for f in DURATION_FIELDS]
     none = F.coalesce(*[F.when(parts[f] != 0, F.lit(True)) for f in DURATION_FIELDS]).isNull()
     return F.when(none & parts.isNotNull(), format_measure(F.lit("0"), "second", locale, width)).when(parts.isNotNull(), F.concat_ws(" ", *shown))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill import jvm
@@ -31,6 +31,7 @@ def minimize_subtags(locale: Column) -> Column:
 
 
 def is_valid_locale(locale: Column) -> Column:
+    """Whether language and country of a locale are known codes."""
     return jvm.text("locale", "valid", locale).cast("boolean")
 
 
@@ -46,6 +47,35 @@ def locale_info(locale: Column) -> Column:
     return F.when(found.isNotNull(), F.struct(*[found[k].alias(n) for k, n in enumerate(names)]))
 
 
+def locale_scripts(locale: Column) -> Column:
+    """Names of the scripts that the locale's standard characters belong to."""
+    return jvm.array("locale", "scripts", locale)
+
+
+ATTRIBUTES = (
+    "id language script region display_name display_language display_region likely_script likely_region rtl calendar first_day_of_week min_days_in_first_week currency"
+    " measurement_system paper_height paper_width quote_start quote_end alt_quote_start alt_quote_end iso3_language iso3_country bcp47"
+).split()
+_TYPED = {"rtl": "boolean", "min_days_in_first_week": "int", "paper_height": "int", "paper_width": "int"}
+
+
+def locale_attributes(locale: Column) -> Column:
+    """Names, likely subtags, calendar, currency, measures, paper, quotes and codes of a locale."""
+    found = jvm.array("locale", "attributes", locale)
+    fields = [F.nullif(found[k], F.lit("")).cast(_TYPED.get(n, "string")).alias(n) for k, n in enumerate(ATTRIBUTES)]
+    return F.when(found.isNotNull(), F.struct(*fields))
+
+
+def locale_extended(locale: Column) -> Column:
+    """`locale_attributes` with the scripts of the locale and the labels of its alphabetic index."""
+    return locale_attributes(locale).withField("scripts", locale_scripts(locale)).withField("index_labels", jvm.array("index_labels", locale))
+
+
+def default_locale(spark: SparkSession) -> str:
+    """The locale of the driver's JVM."""
+    return spark._jvm.java.util.Locale.getDefault().toString()
+
+
 def timezone_info(zone: Column) -> Column:
     """Null for an unknown zone; `offset_hours` is the standard offset."""
     found = jvm.array("timezone", zone)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,28 +30,47 @@ def _groups(pattern: str) -> int:
     return len(re.findall(r"(?<!\\)(?:\\\\)*\((?!\?(?:[:=!>]|<[=!]|[a-zA-Z-]*[:)]))", pattern))
 
 
-def regex_find_all(text: Column, pattern: str, flags: int = 0) -> Column:
-    """All matches as `(text, start, end, groups)`; offsets in code points."""
-    whole = F.lit(flagged(f"({pattern})", flags))
-    inner = [F.regexp_extract_all(text, whole, F.lit(k + 1)) for k in range(_groups(pattern) + 1)]
-    gaps = F.split(text, flagged(pattern, flags), -1)
-    empty = F.array().cast("array<struct<text: string, start: int, end: int>>")
+def _matches(text: Column, pattern: str, flags: int, start: int, most: int) -> Column:
+    """Matches as `(text, start, end, groups)`, all offsets from one pass over the text."""
+    n = _groups(pattern)
+    found = jvm.array("regex_offsets", flagged(pattern, flags), start, most, text)
+
+    def part(fields: Column, k: int) -> Column:
+        begin, end = F.get(fields, F.lit(2 * k)), F.get(fields, F.lit(2 * k + 1))
+        return F.when(begin != "", F.substr(text, begin.cast("int") + 1, end.cast("int") - begin.cast("int")))
+
+    def match(record: Column) -> Column:
+        fields = F.split(record, "\u001f")
+        keys = F.array(*[F.lit(k) for k in range(1, n + 1)]) if n else F.array().cast("array<int>")
+        groups = F.array(*[part(fields, k) for k in range(1, n + 1)]) if n else F.array().cast("array<string>")
+        bounds = [F.get(fields, F.lit(k)).cast("int").alias(name) for k, name in enumerate(("start", "end"))]
+        return F.struct(part(fields, 0).alias("text"), *bounds, F.map_from_arrays(keys, groups).alias("groups"))
+
+    return F.transform(found, match)
 
-    def add(done: Column, k: Column) -> Column:
-        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(F.get(gaps, k))
-        match = F.get(inner[0], k)
-        return F.concat(done, F.array(F.struct(match.alias("text"), start.cast("int").alias("start"), (start + F.length(match)).cast("int").alias("end"))))
 
-    found = F.when(F.size(inner[0]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(inner[0]) - 1), empty, add)).otherwise(empty)
-    keys = F.array(*[F.lit(k) for k in range(1, len(inner))]) if len(inner) > 1 else F.array().cast("array<int>")
-    groups = lambda k: F.map_from_arrays(keys, F.array(*[F.get(g, k) for g in inner[1:]]) if len(inner) > 1 else F.array().cast("array<string>"))
-    return F.transform(found, lambda m, k: m.withField("groups", groups(k)))
+def regex_find_all(text: Column, pattern: str, flags: int = 0) -> Column:
+    """All matches as `(text, start, end, groups)`; offsets in code points; a group without a match is null."""
+    return _matches(text, pattern, flags, 0, -1)
 
 
 def regex_find(text: Column, pattern: str, flags: int = 0, start: int = 0) -> Column:
-    """First match at or after `start`, or null."""
-    found = F.get(regex_find_all(F.substring(text, start + 1, 2147483647) if start else text, pattern, flags), F.lit(0))
-    return F.when(found.isNotNull(), found.withField("start", found["start"] + start).withField("end", found["end"] + start)) if start else found
+    """First match at or after `start` in the whole text, or null."""
+    return F.get(_matches(text, pattern, flags, start, 1), F.lit(0))
+
+
+def regex_valid(pattern: Column, flags: int = 0) -> Column:
+    """Whether a pattern can be compiled."""
+    letters = "".join(letter for bit, letter in _FLAGS if flags & bit)
+    return jvm.text("regex_valid", F.concat(F.lit(f"(?{letters})"), pattern) if letters else pattern).cast("boolean")
+
+
+def regex_replace_with(text: Column, pattern: str, replacement: Callable[[Column], Column], flags: int = 0) -> Column:
+    """Replace each match by what `replacement` makes of its struct `(text, start, end, groups)`; a null stands for nothing."""
+    found = regex_find_all(text, pattern, flags)
+    ends = F.concat(F.array(F.lit(0)), F.transform(found, lambda x: x["end"]))
+    pieces = lambda x, k: F.concat(F.substr(text, F.get(ends, k) + 1, x["start"] - F.get(ends, k)), F.coalesce(replacement(x), F.lit("")))
+    return F.concat(F.array_join(F.transform(found, pieces), ""), F.substr(text, F.element_at(ends, -1) + 1, F.length(text)))
 
 
 def regex_count(text: Column, pattern: str, flags: int = 0) -> Column:

@@ -71,7 +71,7 @@ def char_script(char: Column) -> Column:
 
 def is_rtl(text: Column) -> Column:
     """Whether the first character's script runs from right to left."""
-    return F.coalesce(F.regexp_like(text, F.lit(r"^[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}\p{IsSamaritan}\p{IsMandaic}\p{IsAdlam}\p{IsHanifi_Rohingya}]")), F.lit(False))
+    return F.when(text == "", F.lit(False)).otherwise(F.coalesce(jvm.text("is_rtl", text).cast("boolean"), F.lit(False)))
 
 
 def bidi_info(text: Column) -> Column:
