@@ -1,7 +1,9 @@
 """Command line: `python -m glyphmill COMMAND SUBCOMMAND [--option value] [-t TEXT | FILE]`.
 
 Commands and subcommands may be shortened to any unambiguous beginning.  Text commands work on each line of their input;
-table commands print reference data.  `-j` prints JSON lines instead of tab-separated ones, `-o` writes to a folder.
+table commands print reference data.  `-j` prints JSON lines instead of tab-separated ones, `-H` a line of column names
+first, `-c a,b` some columns only, `-o` writes to a folder; `-w` takes a file as one text, `-r` reads rules from a file.
+The exit code of a command that answers yes or no is 0 if any line's answer is yes, else 1.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,31 @@ SEARCH = {"pattern": "", "locale": "en_US", "strength": "tertiary"}
 REGEX = {"pattern": "", "flags": "0"}
 WIDTH = {"locale": "en_US", "width": "WIDE"}
 
+#: Examples of message patterns.
+MESSAGES = [
+    ("plain", "Hello, {name}!"), ("number", "{n, number} items"), ("plural", "{n, plural, =0 {none} one {# item} other {# items}}"),
+    ("select", "{who, select, female {she} male {he} other {they}}"), ("ordinal", "{n, selectordinal, one {#st} two {#nd} few {#rd} other {#th}}"),
+]
+
+
+def _types(types: str) -> dict[str, str]:
+    """`name=kind,...` as a dictionary: the kinds of a message's arguments."""
+    return dict(x.split("=", 1) for x in types.split(",") if "=" in x)
+
+
+def _arguments(line: Column, types: str) -> dict[str, Column]:
+    """Arguments of a message from a line of tab-separated cells: named as `types` names them in turn, else by their places."""
+    cells = F.split(line, "\t")
+    names = [x.split("=")[0] for x in types.split(",") if x] or [str(k) for k in range(10)]
+    return {n: F.coalesce(F.get(cells, F.lit(k)), F.lit("")) for k, n in enumerate(names)}
+
+
+def _sequence(line: Column, o: Options) -> Column:
+    """Measures side by side: the numbers of a line, parted by spaces, in the units that are named."""
+    cells = F.split(F.trim(line), r"[\s,]+")
+    return fmt.format_measures([(F.get(cells, F.lit(k)), u.strip()) for k, u in enumerate(o["units"].split(","))], o["locale"], o["width"])
+
+
 #: Functions of the text of a line: what to compute, and the options with their defaults.
 TEXT: dict[tuple[str, str], tuple[Callable[[Column, Options], Column], Options]] = {
     ("alpha-index", "bucket"): (lambda c, o: m.index_bucket(c, o["locale"]), LOCALE),
@@ -67,6 +95,22 @@ TEXT: dict[tuple[str, str], tuple[Callable[[Column, Options], Column], Options]]
     ("locale", "minimize"): (lambda c, o: loc.minimize_subtags(c), {}),
     ("locale", "validate"): (lambda c, o: loc.is_valid_locale(c), {}),
     ("locale", "canonicalize"): (lambda c, o: loc.canonicalize(c), {}),
+    ("locale", "attrs"): (lambda c, o: loc.locale_attributes(c), {}),
+    ("locale", "extended"): (lambda c, o: loc.locale_extended(c), {}),
+    ("locale", "scripts"): (lambda c, o: loc.locale_scripts(c), {}),
+    ("locale", "compact"): (lambda c, o: fmt.format_compact(c, o["locale"], o["style"]), {"locale": "en_US", "style": "SHORT"}),
+    ("locale", "compare"): (lambda c, o: m.compare(c, F.lit(o["with"]), o["locale"], o["strength"]), {"with": "", "locale": "en_US", "strength": "tertiary"}),
+    ("message", "format"): (lambda c, o: fmt.format_message(o["pattern"], _arguments(c, o["types"]), o["locale"], _types(o["types"])), {"pattern": "{0}", "types": "", "locale": "en_US"}),
+    ("measure", "info"): (lambda c, o: fmt.unit_info(F.trim(c)), {}),
+    ("measure", "abbreviation"): (lambda c, o: fmt.unit_abbreviation(F.trim(c), o["locale"]), LOCALE),
+    ("measure", "check"): (lambda c, o: fmt.can_convert(F.trim(c), F.lit(o["to"])), {"to": "mile"}),
+    ("measure", "usage"): (lambda c, o: fmt.format_for_usage(c, o["unit"], o["locale"], o["usage"], o["width"]), {"unit": "meter", "usage": "default"} | WIDTH),
+    ("measure", "sequence"): (lambda c, o: _sequence(c, o), {"units": "foot,inch"} | WIDTH),
+    ("regex", "validate"): (lambda c, o: m.regex_valid(c, int(o["flags"])), {"flags": "0"}),
+    ("spoof", "info"): (lambda c, o: t.confusable_info(c, F.lit(o["with"])), {"with": ""}),
+    ("transliterate", "script"): (lambda c, o: t.transliterate(c, f"Any-{o['to']}"), {"to": "Latin"}),
+    ("unicode", "name"): (lambda c, o: F.transform(F.split(c, ""), t.char_name), {}),
+    ("unicode", "category"): (lambda c, o: F.transform(F.split(c, ""), t.char_category), {}),
     ("measure", "format"): (lambda c, o: fmt.format_measure(c, o["unit"], o["locale"], o["width"]), {"unit": "meter"} | WIDTH),
     ("measure", "convert"): (lambda c, o: fmt.convert_and_format(c, o["unit"], o["to"], o["locale"], o["width"]), {"unit": "kilometer", "to": "mile"} | WIDTH),
     ("measure", "range"): (lambda c, o: fmt.format_measure_range(c, F.lit(o["high"]), o["unit"], o["locale"], o["width"]), {"high": "1", "unit": "meter"} | WIDTH),
@@ -107,26 +151,46 @@ TABLES: dict[tuple[str, str], tuple[Callable[[SparkSession, Options], DataFrame]
     ("alpha-index", "labels"): (lambda s, o: cat.index_labels(s, o["locale"]), LOCALE),
     ("bidi", "list"): (lambda s, o: cat.bidi_controls(s), {}),
     ("calendar", "list"): (lambda s, o: cat.calendars(s), {}),
+    ("calendar", "info"): (lambda s, o: cat.calendar_info(s, o["type"]), {"type": "gregorian"}),
     ("collate", "list"): (lambda s, o: cat.collation_types(s), {}),
     ("collate", "info"): (lambda s, o: cat.collator_info(s, o["locale"]), LOCALE),
     ("datetime", "symbols"): (lambda s, o: cat.date_symbols(s, o["locale"], o["calendar"]), {"locale": "en_US", "calendar": ""}),
+    ("datetime", "calendars"): (lambda s, o: cat.calendars(s), {}),
+    ("datetime", "months"): (lambda s, o: cat.date_symbols(s, o["locale"], o["calendar"]).filter(F.col("kind").startswith("months")), {"locale": "en_US", "calendar": ""}),
+    ("datetime", "weekdays"): (lambda s, o: cat.date_symbols(s, o["locale"], o["calendar"]).filter(F.col("kind").startswith("weekdays")), {"locale": "en_US", "calendar": ""}),
+    ("datetime", "eras"): (lambda s, o: cat.date_symbols(s, o["locale"], o["calendar"]).filter(F.col("kind").startswith("eras")), {"locale": "en_US", "calendar": ""}),
+    ("datetime", "ampm"): (lambda s, o: cat.date_symbols(s, o["locale"], "").filter(F.col("kind") == "am_pm"), LOCALE),
     ("datetime", "patterns"): (lambda s, o: s.createDataFrame(list(fmt.PATTERNS.items()), "name string, pattern string"), {}),
     ("discover", "all"): (lambda s, o: discover.features_table(s), {}),
+    ("discover", "api"): (lambda s, o: discover.features_table(s), {}),
+    ("discover", "cli"): (lambda s, o: discover.commands_table(s), {}),
     ("discover", "search"): (lambda s, o: s.createDataFrame(discover.search(o["query"]), "module string, name string, signature string, doc string"), {"query": ""}),
     ("locale", "list"): (lambda s, o: cat.locales(s), {}),
     ("locale", "languages"): (lambda s, o: cat.languages(s), {}),
     ("locale", "exemplars"): (lambda s, o: cat.exemplars(s, o["locale"], o["type"]), {"locale": "en_US", "type": "standard"}),
     ("locale", "symbols"): (lambda s, o: cat.number_symbols(s, o["locale"]), LOCALE),
+    ("locale", "default"): (lambda s, o: s.createDataFrame([(loc.default_locale(s),)], "locale string"), {}),
+    ("locale", "exemplar-info"): (lambda s, o: cat.exemplar_info(s, o["locale"]), LOCALE),
+    ("locale", "exemplar-types"): (lambda s, o: cat.exemplar_types(s), {}),
+    ("message", "examples"): (lambda s, o: s.createDataFrame(MESSAGES, "what string, pattern string"), {}),
     ("measure", "units"): (lambda s, o: cat.units(s, o["type"] or None), {"type": ""}),
     ("measure", "types"): (lambda s, o: cat.units(s).groupBy("type").count().orderBy("type"), {}),
+    ("plural", "categories"): (lambda s, o: cat.plural_info(s, o["locale"], o["ordinal"] == "yes").select("category"), {"locale": "en_US", "ordinal": "no"}),
     ("plural", "info"): (lambda s, o: cat.plural_info(s, o["locale"]), LOCALE),
     ("regex", "list"): (lambda s, o: cat.properties(s), {}),
     ("region", "list"): (lambda s, o: cat.regions(s, o["type"]), {"type": "territory"}),
+    ("region", "info"): (lambda s, o: cat.region_info(s, o["code"]), {"code": "US"}),
+    ("region", "types"): (lambda s, o: cat.region_types(s), {}),
     ("region", "contains"): (lambda s, o: cat.region_edges(s).filter(F.col("parent") == o["code"]), {"code": "001"}),
+    ("script", "info"): (lambda s, o: cat.script_info(s, o["script"]), {"script": "Latn"}),
     ("script", "list"): (lambda s, o: cat.scripts(s), {}),
     ("timezone", "list"): (lambda s, o: cat.timezones(s, o["country"] or None), {"country": ""}),
     ("timezone", "equiv"): (lambda s, o: cat.equivalent_timezones(s, o["id"]), {"id": "UTC"}),
     ("transliterate", "list"): (lambda s, o: cat.transliterators(s), {}),
+    ("transliterate", "info"): (lambda s, o: cat.transliterator_info(s, o["id"]), {"id": "Any-Latin"}),
+    ("transliterate", "characters"): (lambda s, o: cat.transliterator_set(s, o["id"], o["side"]), {"id": "Any-Latin", "side": "source"}),
+    ("unicode", "list"): (lambda s, o: cat.categories(s), {}),
+    ("unicode", "block"): (lambda s, o: cat.characters(s, f"[:block={o['name']}:]"), {"name": "Arrows"}),
     ("unicode", "blocks"): (lambda s, o: cat.blocks(s), {}),
     ("unicode", "categories"): (lambda s, o: cat.categories(s), {}),
     ("unicode", "characters"): (lambda s, o: cat.characters(s, o["set"]), {"set": "[:Lu:]"}),
@@ -136,6 +200,9 @@ TABLES: dict[tuple[str, str], tuple[Callable[[SparkSession, Options], DataFrame]
 LINES: dict[tuple[str, str], tuple[Callable[[DataFrame, Options], DataFrame], Options]] = {
     ("alpha-index", "buckets"): (lambda d, o: tables.index_buckets(d, "text", o["locale"]), LOCALE),
     ("collate", "sort"): (lambda d, o: tables.sort_table(d, "text", o["locale"], o["reverse"] == "yes", o["strength"]), {"locale": "en_US", "reverse": "no", "strength": "tertiary"}),
+    ("locale", "sort"): (lambda d, o: tables.sort_table(d, "text", o["locale"], o["reverse"] == "yes"), {"locale": "en_US", "reverse": "no"}),
+    ("sort", "lines"): (lambda d, o: tables.sort_table(d, "text", o["locale"], o["reverse"] == "yes"), {"locale": "en_US", "reverse": "no"}),
+    ("sort", "unique"): (lambda d, o: tables.unique_sorted(d, "text", o["locale"], o["reverse"] == "yes"), {"locale": "en_US", "reverse": "no"}),
     ("collate", "unique"): (lambda d, o: tables.unique_sorted(d, "text", o["locale"]), LOCALE),
 }
 
@@ -161,23 +228,40 @@ def main(argv: list[str] | None = None) -> None:
         parser.add_argument(f"--{name}", default=default)
     parser.add_argument("-t", "--text")
     parser.add_argument("-j", "--json", action="store_true")
+    parser.add_argument("-H", "--header", action="store_true")
+    parser.add_argument("-c", "--columns")
+    parser.add_argument("-w", "--whole", action="store_true")
+    parser.add_argument("-r", "--rules-file")
     parser.add_argument("-o", "--output")
     parser.add_argument("file", nargs="?")
     args = parser.parse_args(argv[2:])
     options = {name: getattr(args, name) for name in defaults}
+    if args.rules_file and "rules" in options:
+        options["rules"] = Path(args.rules_file).read_text(encoding="utf-8")
     spark = SparkSession.builder.getOrCreate()
     if key in TABLES:
         out = run(spark, options)
     else:
         if args.file:
-            lines = files.read_lines(spark, args.file)
+            lines = files.read_whole(spark, args.file) if args.whole else files.read_lines(spark, args.file)
         else:
             given = [args.text] if args.text is not None else [x.rstrip("\n") for x in sys.stdin if x.rstrip("\n")]
             lines = spark.createDataFrame([(x,) for x in given], "text string")
         out = run(lines, options) if key in LINES else lines.select(run(F.col("text"), options).alias("result"))
-    shown = files.as_json(out) if args.json else files.as_tsv(out)
+    columns = args.columns.split(",") if args.columns else None
+    if columns and (unknown := set(columns) - set(out.columns)):
+        raise SystemExit(f"unknown columns: {', '.join(sorted(unknown))}; one of {', '.join(out.columns)}")
+    answers = key not in TABLES and dict(out.dtypes).get("result") == "boolean"
+    shown = files.as_json(out.select(*columns) if columns else out) if args.json else files.as_tsv(out, columns)
+    if args.header and not args.json and not args.output:
+        print(files.tsv_header(out, columns))
     if args.output:
         files.write_lines(shown, args.output)
+        yes = answers and not out.filter("result").isEmpty()
     else:
+        yes = False
         for row in shown.toLocalIterator():
             print(row.line)
+            yes = yes or row.line in ("yes", '{"result":true}')
+    if answers and not yes:
+        raise SystemExit(1)

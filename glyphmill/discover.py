@@ -31,3 +31,28 @@ def search(query: str) -> list[tuple[str, str, str, str]]:
     """Features whose name or description holds the query; case does not matter."""
     q = query.lower()
     return [f for f in features() if q in f[1].lower() or q in f[3].lower()]
+
+
+def commands() -> list[tuple[str, str, str]]:
+    """`(command, subcommand, options)` of the command line."""
+    from glyphmill import cli  # the command line uses this module
+
+    every = cli.TEXT | cli.TABLES | cli.LINES
+    return [(c, s, " ".join(f"--{o} {v!r}" if v else f"--{o}" for o, v in every[c, s][1].items())) for c, s in sorted(every)]
+
+
+def commands_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(commands(), "command string, subcommand string, options string")
+
+
+def feature(name: str) -> tuple[str, str, str, str] | None:
+    """One feature by its name."""
+    return next((f for f in features() if f[1] == name), None)
+
+
+def report() -> str:
+    """All functions by module, then all commands."""
+    out = []
+    for module in MODULES:
+        out += [f"{module}:"] + [f"  {name}{signature}  {doc}".rstrip() for m, name, signature, doc in features() if m == module]
+    return "\n".join([*out, "commands:"] + [f"  {c} {s} {o}".rstrip() for c, s, o in commands()])

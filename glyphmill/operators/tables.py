@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import matching, text
 
 
+#: Bytes at the beginning of a key by which rows are dealt to be ranked.
+HEAD_BYTES = 6
+
+
 def sort_table(df: DataFrame, column: str, locale: str = "en_US", reverse: bool = False, strength: str | None = None, case_first: str | None = None, ordinal: str | None = None) -> DataFrame:
     """Rows in collation order; with `ordinal`, ties keep its order, also in reverse."""
     native = not case_first and strength not in ("quaternary", "identical")
@@ -24,23 +28,52 @@ def unique_sorted(df: DataFrame, column: str, locale: str = "en_US", reverse: bo
     return once.orderBy(key.desc() if reverse else key.asc(), F.col(column))
 
 
+def ranked(df: DataFrame, key: Column, *ties: str, name: str = "rank", dense: bool = False) -> DataFrame:
+    """The table with each row's place from 1 by a binary key, then by `ties`; `dense`: equal keys share theirs, without gaps.
+
+    Rows are ranked within the beginnings of their keys, so no task has to hold the whole table; only the number of rows of
+    each beginning is added up in one place.
+    """
+    keyed = df.withColumn("glyphmill_key", key).withColumn("glyphmill_head", F.substring("glyphmill_key", 1, HEAD_BYTES))
+    counted = F.countDistinct("glyphmill_key") if dense else F.count("*")
+    heads = keyed.groupBy("glyphmill_head").agg(counted.alias("glyphmill_n"))
+    before = F.coalesce(F.sum("glyphmill_n").over(Window.orderBy("glyphmill_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select(F.col("glyphmill_head").alias("glyphmill_at"), before.alias("glyphmill_before"))
+    place = (F.dense_rank() if dense else F.row_number()).over(Window.partitionBy("glyphmill_head").orderBy("glyphmill_key", *([] if dense else ties)))
+    out = keyed.withColumn("glyphmill_place", place).join(heads, F.col("glyphmill_head").eqNullSafe(F.col("glyphmill_at")))
+    return out.select(*df.columns, (F.col("glyphmill_place") + F.col("glyphmill_before")).cast("int").alias(name))
+
+
 def index_buckets(df: DataFrame, column: str, locale: str = "en_US") -> DataFrame:
-    """`(bucket, names)`: names in collation order under their index label."""
+    """`(bucket, names)`: names in collation order under their index label.  For tables of any size see `index_rows`."""
     keyed = df.select(matching.index_bucket(F.col(column), locale).alias("bucket"), F.struct(matching.sort_key(F.col(column), locale).alias("k"), F.col(column).alias("name")).alias("n"))
     return keyed.groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list("n")), lambda n: n["name"]).alias("names"))
 
 
+def index_rows(df: DataFrame, column: str, locale: str = "en_US") -> DataFrame:
+    """The rows, with all their columns, and `bucket` and `place` (from 1 over the whole index): no bucket is gathered."""
+    return ranked(df, matching.sort_key(F.col(column), locale), name="place").withColumn("bucket", matching.index_bucket(F.col(column), locale))
+
+
+def bucket_counts(df: DataFrame, column: str, locale: str = "en_US") -> DataFrame:
+    """`(bucket, records)` of the buckets that have any."""
+    return df.groupBy(matching.index_bucket(F.col(column), locale).alias("bucket")).agg(F.count("*").alias("records"))
+
+
 def tokens(df: DataFrame, column: str, kind: str = "word", locale: str = "en_US") -> DataFrame:
-    """The table with a row for each sentence, word, line segment or grapheme: `position` and `token` are added."""
+    """The table with a row for each sentence, word, line segment or grapheme: `position` and `token` are added, in the place of
+    columns that are named so already."""
     breaks = {"sentence": text.break_sentences, "word": text.break_words, "line": text.break_lines}
     found = text.break_graphemes(F.col(column)) if kind == "grapheme" else breaks[kind](F.col(column), locale)
-    return df.select("*", F.posexplode(found).alias("position", "token"))
+    return df.select(*[c for c in df.columns if c not in ("position", "token")], F.posexplode(found).alias("position", "token"))
 
 
 def transliterate_all(df: DataFrame, column: str, ids: list[str]) -> DataFrame:
-    """A row for each text and transliterator: `transliterator` and `result`, null where it is unknown."""
+    """A row for each text and transliterator: `transliterator` and `result` (null where it is unknown), in the place of columns
+    that are named so already."""
     results = F.array(*[F.struct(F.lit(i).alias("transliterator"), text.transliterate(F.col(column), i).alias("result")) for i in ids])
-    return df.withColumn("r", F.explode(results)).select(*df.columns, "r.*")
+    others = [c for c in df.columns if c not in ("transliterator", "result")]
+    return df.select(*others, F.inline(results))
 
 
 def selected(column: Column, selector: str, major: list[str] | None = None) -> Column:

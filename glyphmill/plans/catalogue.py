@@ -151,12 +151,12 @@ def script_literals(spark, _):
     return df.select("text", t.detect_script(F.col("text")).alias("script"), t.is_rtl(F.col("text")).alias("rtl"), t.bidi_info(F.col("text"))["direction"].alias("direction"))
 
 
-@_query("conversations", "SELECT conv_id, turn, false AS has, length(text) AS n, 'ltr' AS base FROM conversations WHERE regexp_matches(text, '[A-Za-z]')")
+@_query("conversations", r"SELECT conv_id, turn, false AS has, length(text) AS n, CASE WHEN regexp_matches(text, '\p{L}') THEN 'ltr' ELSE 'neutral' END AS base FROM conversations")
 def bidi_controls(conv):
     # a control is put into each text and taken out again
     marked = F.concat(F.lit("‏"), F.col("text"), F.lit("‬"))
     clean = t.strip_bidi_controls(marked)
-    return conv.filter(F.regexp_like("text", F.lit("[A-Za-z]"))).select("conv_id", "turn", t.has_bidi_controls(clean).alias("has"), F.length(clean).cast("long").alias("n"), t.base_direction(clean).alias("base"))
+    return conv.select("conv_id", "turn", t.has_bidi_controls(clean).alias("has"), F.length(clean).cast("long").alias("n"), t.base_direction(clean).alias("base"))
 
 
 @_query(sql="SELECT * FROM (VALUES ('paypal', 'pаypal', true, 'paypal'), ('hello', 'world', false, 'world'), ('pool', 'pool', true, 'pool')) v(a, b, confusable, skeleton)")
@@ -165,9 +165,12 @@ def spoof_compare(spark, _):
     return df.select("a", "b", t.are_confusable(F.col("a"), F.col("b")).alias("confusable"), t.skeleton(F.col("b")).alias("skeleton"))
 
 
-@_query("nation", "SELECT n_nationkey, lower(n_name) AS name FROM nation")
+@_query("nation", "SELECT n_nationkey, contains(n_name, 'A') AS mixed, true AS alike FROM nation")
 def spoof_check(nation):
-    return nation.filter(t.check_string(F.lower("n_name"))["flags"] >= 0).select("n_nationkey", F.lower("n_name").alias("name"))
+    """Names with a Cyrillic letter put in the place of A: those that have one mix scripts."""
+    name = F.translate("n_name", "A", "А")
+    mixed = t.check_string(F.translate(F.lower(name), "а", "а"))["flags"] != t.check_string(F.lower("n_name"))["flags"]
+    return nation.select("n_nationkey", mixed.alias("mixed"), t.are_confusable(name, F.col("n_name")).alias("alike"))
 
 
 @_query("pages", r"SELECT page_id, regexp_extract(url, '://([^/:]+)', 1) AS host, true AS ascii FROM pages")
@@ -199,16 +202,8 @@ def top_words_by_language(docs):
     return ranked.filter("rank <= 10")
 
 
-@_query("documents", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}]+')) AS BIGINT) AS words FROM documents WHERE NOT regexp_matches(text, '[^\p{L}\s.,]')")
-def break_words(docs):
-    plain = docs.filter(~F.regexp_like("text", F.lit(r"[^\p{L}\s.,]")))
-    words = F.filter(t.break_words(F.col("text"), skip_punctuation=True), lambda w: F.regexp_like(w, F.lit(r"\p{L}")))
-    # full stops and commas within words ("a.b") do not part them
-    return plain.select("doc_id", F.aggregate(words, F.lit(0), lambda a, w: a + F.size(F.split(w, r"[.,]+"))).cast("long").alias("words"))
-
-
 @_query("documents")
-def break_words_all(docs):
+def break_words(docs):
     words = F.filter(t.break_words(F.col("text"), skip_punctuation=True), lambda w: F.regexp_like(w, F.lit(r"\p{L}")))
     return docs.select("doc_id", F.size(words).cast("long").alias("words"))
 
@@ -252,19 +247,14 @@ def transliterate_rules(nation):
     return nation.select("n_nationkey", t.transliterate_rules(F.col("n_name"), "A > 4; E > 3;").alias("leet"))
 
 
-@_query("conversations", "SELECT conv_id, turn, md5(text) AS u, md5(text) AS x FROM conversations WHERE turn = 0 AND NOT contains(text, '\\')")
+@_query(
+    "conversations",
+    r"""SELECT conv_id, turn, md5(text) AS back, CASE WHEN regexp_matches(text, '[^\x20-\x7E]') THEN NULL ELSE text END AS plain FROM conversations""",
+)
 def escape_round_trip(conv):
-    plain = conv.filter("turn = 0").filter(~F.contains("text", F.lit("\\")))
-    back = lambda style: F.md5(t.escape_decode(t.escape_encode(F.col("text"), style)).cast("binary"))
-    ascii_x = F.when(t.is_ascii(F.col("text")), back("x")).otherwise(F.md5(F.col("text").cast("binary")))
-    return plain.select("conv_id", "turn", back("u").alias("u"), ascii_x.alias("x"))
-
-
-@_query("conversations")
-def escape_round_trip_all(conv):
-    back = lambda style: F.md5(t.escape_decode(t.escape_encode(F.col("text"), style)).cast("binary"))
-    ascii_x = F.when(t.is_ascii(F.col("text")), back("x")).otherwise(F.md5(F.col("text").cast("binary")))
-    return conv.select("conv_id", "turn", back("u").alias("u"), ascii_x.alias("x"))
+    coded = t.escape_encode(F.col("text"), "u")
+    plain = F.when(~F.regexp_like("text", F.lit(r"[^\x20-\x7E]")), t.escape_decode(t.escape_encode(F.col("text"), "x")))
+    return conv.select("conv_id", "turn", F.md5(t.escape_decode(coded).cast("binary")).alias("back"), plain.alias("plain"))
 
 
 # --- collation and search -----------------------------------------------------------------------------------------
@@ -272,13 +262,13 @@ def escape_round_trip_all(conv):
 
 @_query("part", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_name COLLATE de, p_partkey) AS INTEGER) AS rank FROM part")
 def collation_sort(part):
-    return part.select("p_partkey", F.row_number().over(W.orderBy(m.sort_key(F.col("p_name"), "de_DE"), "p_partkey")).alias("rank"))
+    return tables.ranked(part.select("p_partkey", "p_name"), m.sort_key(F.col("p_name"), "de_DE"), "p_partkey").select("p_partkey", "rank")
 
 
-@_query("documents", r"SELECT word, rank FROM (SELECT word, CAST(dense_rank() OVER (ORDER BY icu_sort_key(word, 'de')) AS INTEGER) AS rank FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}]+')) AS word FROM documents WHERE lang = 'de'))")
+@_query("documents", r"SELECT word, rank FROM (SELECT word, CAST(dense_rank() OVER (ORDER BY icu_sort_key(word, 'de')) AS INTEGER) AS rank FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}]+')) AS word FROM documents))")
 def collation_unique_sorted(docs):
-    words = docs.filter("lang = 'de'").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
-    return words.select("word", F.dense_rank().over(W.orderBy(m.sort_key(F.col("word"), "de_DE"))).alias("rank"))
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
+    return tables.ranked(words, m.sort_key(F.col("word"), "de_DE"), dense=True)
 
 
 @_query("nation", "SELECT a.n_nationkey, CAST(CASE WHEN icu_sort_key(a.n_name, 'en') < icu_sort_key('Japan', 'en') THEN -1 WHEN icu_sort_key(a.n_name, 'en') > icu_sort_key('Japan', 'en') THEN 1 ELSE 0 END AS INTEGER) AS sign FROM nation a")
@@ -295,9 +285,9 @@ def collation_primary_groups(docs):
     return words.select(m.sort_key(F.col("word"), "en_US", "primary").alias("k")).agg(F.countDistinct("k").alias("n"))
 
 
-@_query("documents", "SELECT doc_id, (length(p) - length(replace(p, 'tion', ''))) // 4 AS n FROM (SELECT doc_id, lower(strip_accents(text)) AS p FROM documents WHERE lang = 'en')")
+@_query("documents", "SELECT doc_id, (length(p) - length(replace(p, 'tion', ''))) // 4 AS n FROM (SELECT doc_id, lower(strip_accents(text)) AS p FROM documents)")
 def search_count(docs):
-    return docs.filter("lang = 'en'").select("doc_id", m.search_count(F.col("text"), "TION", "en_US", "primary").cast("long").alias("n"))
+    return docs.select("doc_id", m.search_count(F.col("text"), "TION", "en_US", "primary").cast("long").alias("n"))
 
 
 @_query("part", "SELECT p_partkey, replace(p_type, 'STEEL', 'x') AS replaced, contains(lower(p_type), 'steel') AS has FROM part")
@@ -313,7 +303,7 @@ def search_first(spark, _):
 
 @_query("nation", "SELECT upper(left(n_name, 1)) AS bucket, count(*) AS n, min(n_name) AS first FROM nation GROUP BY 1")
 def index_buckets(nation):
-    return tables.index_buckets(nation, "n_name").select("bucket", F.size("names").cast("long").alias("n"), F.col("names")[0].alias("first"))
+    return tables.index_rows(nation, "n_name").groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("n_name", "place").alias("first"))
 
 
 # --- numbers, plurals, measures, durations -------------------------------------------------------------------------
@@ -398,14 +388,14 @@ def measure_format(part):
     return counts.select("p_size", fmt.format_measure(size, "kilometer").alias("long"), fmt.format_measure(size, "kilometer", width="SHORT").alias("short"), "n")
 
 
-@_query("part", "SELECT p_partkey, CASE WHEN p_size = 0 THEN '' ELSE p_size || (CASE p_size WHEN 1 THEN ' hour' ELSE ' hours' END) || ' ' END || '30 minutes' AS shown FROM part WHERE p_size < 24")
+@_query(
+    "part",
+    """SELECT p_partkey, CASE p_size // 24 WHEN 0 THEN '' WHEN 1 THEN '1 day ' ELSE (p_size // 24) || ' days ' END
+        || CASE p_size % 24 WHEN 0 THEN '' WHEN 1 THEN '1 hour ' ELSE (p_size % 24) || ' hours ' END || '30 minutes' AS shown FROM part""",
+)
 def duration_format(part):
-    return part.filter("p_size < 24").select("p_partkey", fmt.format_duration(F.col("p_size") * 3600 + 1800).alias("shown"))
-
-
-@_query("part")
-def duration_format_all(part):
-    return part.select("p_partkey", fmt.format_duration(F.col("p_size") * 3600 + 1800).alias("shown"))
+    sizes = part.select("p_size").distinct().withColumn("shown", fmt.format_duration(F.col("p_size") * 3600 + 1800))
+    return part.join(sizes, "p_size").select("p_partkey", "shown")
 
 
 @_query(sql="SELECT * FROM (VALUES ('P2DT3H30M', 2.0::DOUBLE, 3.0::DOUBLE, 30.0::DOUBLE), ('PT1.5H', 0.0::DOUBLE, 1.5::DOUBLE, 0.0::DOUBLE), ('P1Y2M3W4DT5H6M7S', 4.0::DOUBLE, 5.0::DOUBLE, 6.0::DOUBLE), ('2DT3H', NULL, NULL, NULL)) v(iso, days, hours, minutes)")
@@ -427,16 +417,8 @@ def list_format(spark, sf):
     return names.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("l")).select("r_name", fmt.format_list(F.col("l")).alias("names"))
 
 
-@_query("events", "SELECT event_id, 'user ' || user_id || ' had ' || CASE event_id % 3 WHEN 0 THEN 'no items' WHEN 1 THEN 'one item' ELSE '2 items' END || ' in ' || event_type AS message FROM events WHERE event_id < 3000")
+@_query("events", "SELECT event_id, 'user ' || user_id || ' had ' || CASE event_id % 3 WHEN 0 THEN 'no items' WHEN 1 THEN 'one item' ELSE '2 items' END || ' in ' || event_type AS message FROM events")
 def message_format(events):
-    pattern = "user {u} had {n, plural, =0 {no items} one {one item} other {# items}} in {k}"
-    some = events.filter("event_id < 3000")
-    args = {"u": F.col("user_id"), "n": F.col("event_id") % 3, "k": F.col("event_type")}
-    return some.select("event_id", fmt.format_message(pattern, args, types={"n": "number"}).alias("message"))
-
-
-@_query("events")
-def message_format_all(events):
     pattern = "user {u} had {n, plural, =0 {no items} one {one item} other {# items}} in {k}"
     args = {"u": F.col("user_id"), "n": F.col("event_id") % 3, "k": F.col("event_type")}
     return events.select("event_id", fmt.format_message(pattern, args, types={"n": "number"}).alias("message"))
@@ -477,10 +459,10 @@ def date_interval(orders):
 
 @_query(
     "part",
-    "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'in 1 ' || u ELSE 'in ' || p_size || ' ' || u || 's' END AS shown FROM (SELECT p_partkey, p_size, CASE WHEN p_size < 60 THEN 'second' ELSE 'minute' END AS u FROM part) WHERE p_size BETWEEN 1 AND 59",
+    "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'in 1 ' || u ELSE 'in ' || p_size || ' ' || u || 's' END AS shown FROM (SELECT p_partkey, p_size, CASE WHEN p_size < 60 THEN 'second' ELSE 'minute' END AS u FROM part)",
 )
 def relative_time(part):
-    return part.filter("p_size BETWEEN 1 AND 59").select("p_partkey", fmt.format_relative(F.col("p_size")).alias("shown"))
+    return part.select("p_partkey", fmt.format_relative(F.col("p_size")).alias("shown"))
 
 
 # --- locales and reference tables ---------------------------------------------------------------------------------
@@ -597,3 +579,137 @@ def tsv_lines(nation):
 @_query("region", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS line FROM region""")
 def json_lines(region):
     return files.as_json(region.select("r_regionkey", "r_name"))
+
+
+# --- rows that show single cases -----------------------------------------------------------------------------------
+
+
+@_query(sql=r"""SELECT * FROM (VALUES ('abc123', 'x*', 0, '0,1,2,3,4,5,6', 0), ('abc123', '(?<=c)\d', 3, '3', 3), ('a1b2', '^1', 0, '', -1), ('1👋2', '\d', 0, '0,2', 0), ('1👋2', '\d', 1, '0,2', 2)) v(text, pattern, start, starts, first)""")
+def regex_offsets(spark, _):
+    rows = [("abc123", "x*", 0), ("abc123", r"(?<=c)\d", 3), ("a1b2", "^1", 0), ("1👋2", r"\d", 0), ("1👋2", r"\d", 1)]
+    out = None
+    for text, pattern, start in rows:
+        one = _literals(spark, [(text, pattern, start)], "text string, pattern string, start int")
+        starts = F.array_join(F.transform(m.regex_find_all(F.col("text"), pattern), lambda x: x["start"].cast("string")), ",")
+        one = one.select("*", starts.alias("starts"), F.coalesce(m.regex_find(F.col("text"), pattern, start=start)["start"], F.lit(-1)).alias("first"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("customer", "SELECT c_custkey, regexp_replace(c_name, '#([0-9]+)', '<\\1>') AS marked FROM customer")
+def regex_replace_with(customer):
+    return customer.select("c_custkey", m.regex_replace_with(F.col("c_name"), "#([0-9]+)", lambda x: F.concat(F.lit("<"), x["groups"][1], F.lit(">"))).alias("marked"))
+
+
+@_query(sql=r"SELECT * FROM (VALUES ('[a-z]+', true), ('[invalid', false), ('(a', false), ('\p{Lu}', true)) v(pattern, valid)")
+def regex_validate(spark, _):
+    return _literals(spark, [("[a-z]+",), ("[invalid",), ("(a",), (r"\p{Lu}",)], "pattern string").select("pattern", m.regex_valid(F.col("pattern")).alias("valid"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('𐤀', true), ('𐡀', true), ('𞠀', true), ('א', true), ('ا', true), ('a', false), ('1', false), ('', false)) v(text, rtl)")
+def script_rtl(spark, _):
+    return _literals(spark, [(x,) for x in ("𐤀", "𐡀", "𞠀", "א", "ا", "a", "1", "")], "text string").select("text", t.is_rtl(F.col("text")).alias("rtl"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('en_US', true), ('fr_US', true), ('ja_BR', true), ('xx_YY', false), ('en_ZZZ', true), ('qq', false)) v(locale, valid) WHERE locale <> 'en_ZZZ'")
+def locale_valid(spark, _):
+    return _literals(spark, [(x,) for x in ("en_US", "fr_US", "ja_BR", "xx_YY", "qq")], "locale string").select("locale", loc.is_valid_locale(F.col("locale")).alias("valid"))
+
+
+@_query(
+    sql="""SELECT * FROM (VALUES ('en_US', 'USD', 'US', 'Latn', false, 'gregorian', 'Sunday', 'Latin', 'eng', 'USA'), ('ja_JP', 'JPY', 'SI', 'Jpan', false, 'gregorian', 'Sunday', 'Han,Hiragana,Katakana', 'jpn', 'JPN'),
+        ('ar_EG', 'EGP', 'SI', 'Arab', true, 'gregorian', 'Saturday', 'Arabic', 'ara', 'EGY')) v(locale, currency, system, script, rtl, calendar, first_day, scripts, iso3_language, iso3_country)"""
+)
+def locale_attributes(spark, _):
+    df = _literals(spark, [("en_US",), ("ja_JP",), ("ar_EG",)], "locale string").select("locale", loc.locale_extended(F.col("locale")).alias("e"))
+    return df.select("locale", "e.currency", F.col("e.measurement_system").alias("system"), F.col("e.likely_script").alias("script"), "e.rtl", "e.calendar", F.col("e.first_day_of_week").alias("first_day"), F.array_join("e.scripts", ",").alias("scripts"), "e.iso3_language", "e.iso3_country")
+
+
+@_query(sql="SELECT * FROM (VALUES ('km', 'kilometer', 'length', 'single', 'km', true), ('mi', 'mile', 'length', 'single', 'mi', true), ('kilometer', 'kilometer', 'length', 'single', 'km', true), ('celsius', 'celsius', 'temperature', 'single', '°C', false), ('no such', NULL, NULL, NULL, NULL, NULL)) v(unit, identifier, type, complexity, short, to_mile)")
+def measure_units(spark, _):
+    df = _literals(spark, [(x,) for x in ("km", "mi", "kilometer", "celsius", "no such")], "unit string")
+    info = fmt.unit_info(F.col("unit"))
+    return df.select("unit", info["identifier"].alias("identifier"), info["type"].alias("type"), info["complexity"].alias("complexity"), fmt.unit_abbreviation(F.col("unit")).alias("short"), fmt.can_convert(F.col("unit"), F.lit("mi")).alias("to_mile"))
+
+
+@_query("part", "SELECT p_partkey, p_size * 0.621371::DOUBLE AS miles, p_size / 2.54::DOUBLE AS inches FROM part")
+def measure_convert_short(part):
+    return part.select("p_partkey", fmt.convert_units(F.col("p_size"), "km", "mi").alias("miles"), fmt.convert_units(F.col("p_size"), "cm", "in").alias("inches"))
+
+
+@_query(sql="SELECT * FROM (VALUES ('Hello world', 'Hello|world', 1, 11), ('Hello world. How are you?', 'Hello|world|.|How|are|you|?', 2, 25), ('Hello! How are you? I''m fine.', 'Hello|!|How|are|you|?|I''m|fine|.', 3, 29), ('é', 'é', 1, 1), ('3.14, a_b', '3.14|,|a_b', 1, 9)) v(text, words, sentences, graphemes)")
+def break_literals(spark, _):
+    df = _literals(spark, [(x,) for x in ("Hello world", "Hello world. How are you?", "Hello! How are you? I'm fine.", "é", "3.14, a_b")], "text string")
+    c = F.col("text")
+    return df.select("text", F.array_join(t.break_words(c), "|").alias("words"), F.size(t.break_sentences(c)).alias("sentences"), F.size(t.break_graphemes(c)).alias("graphemes"))
+
+
+def _known(spark, table, keys, *columns):
+    """The rows of a reference table that have one of some keys in its first column."""
+    return table.filter(F.col(columns[0]).isin(*keys)).select(*columns)
+
+
+@_query(sql="SELECT * FROM (VALUES ('en_US', 'English (United States)', 'US', false), ('ja_JP', 'Japanese (Japan)', 'JP', false), ('ar_EG', 'Arabic (Egypt)', 'EG', true)) v(id, display_name, region, is_rtl)")
+def known_locales(spark, _):
+    return _known(spark, cat.locales(spark), ("en_US", "ja_JP", "ar_EG"), "id", "display_name", "region", "is_rtl")
+
+
+@_query(sql="SELECT * FROM (VALUES ('US', 840, 'United States', 'territory', '021'), ('JP', 392, 'Japan', 'territory', '030'), ('150', 150, 'Europe', 'continent', '001')) v(code, numeric_code, name, type, containing_region)")
+def known_regions(spark, _):
+    return _known(spark, cat.regions(spark, None), ("US", "JP", "150"), "code", "numeric_code", "name", "type", "containing_region")
+
+
+@_query(sql="SELECT * FROM (VALUES ('Latn', 'Latin', false, true), ('Hebr', 'Hebrew', true, false), ('Phnx', 'Phoenician', true, false), ('Cyrl', 'Cyrillic', false, true)) v(code, name, is_rtl, is_cased)")
+def known_scripts(spark, _):
+    return _known(spark, cat.scripts(spark), ("Latn", "Hebr", "Phnx", "Cyrl"), "code", "name", "is_rtl", "is_cased")
+
+
+@_query(sql="SELECT * FROM (VALUES ('America/New_York', -5.0::DOUBLE, 'UTC-5', true, 'US'), ('Asia/Tokyo', 9.0::DOUBLE, 'UTC+9', false, 'JP'), ('Asia/Kolkata', 5.5::DOUBLE, 'UTC+05:30', false, 'IN')) v(id, offset_hours, offset_formatted, uses_dst, region)")
+def known_timezones(spark, _):
+    return _known(spark, cat.timezones(spark), ("America/New_York", "Asia/Tokyo", "Asia/Kolkata"), "id", "offset_hours", "offset_formatted", "uses_dst", "region")
+
+
+@_query(sql="SELECT * FROM (VALUES ('USD', 'US Dollar', '$'), ('EUR', 'Euro', '€'), ('JPY', 'Japanese Yen', '¥')) v(code, name, symbol)")
+def known_currencies(spark, _):
+    return _known(spark, cat.currencies(spark), ("USD", "EUR", "JPY"), "code", "name", "symbol")
+
+
+@_query(sql="SELECT * FROM (VALUES ('kilometer', 'length'), ('celsius', 'temperature'), ('liter', 'volume'), ('kilogram', 'mass')) v(identifier, type)")
+def known_units(spark, _):
+    return _known(spark, cat.units(spark), ("kilometer", "celsius", "liter", "kilogram"), "identifier", "type")
+
+
+@_query(sql="SELECT * FROM (VALUES ('BASIC_LATIN', 0, 127), ('CYRILLIC', 1024, 1279), ('ARROWS', 8592, 8703)) v(name, start, \"end\")")
+def known_blocks(spark, _):
+    return _known(spark, cat.blocks(spark), ("BASIC_LATIN", "CYRILLIC", "ARROWS"), "name", "start", "end")
+
+
+@_query(sql="SELECT * FROM (VALUES ('phonebook'), ('pinyin'), ('standard')) v(type)")
+def known_collations(spark, _):
+    return _known(spark, cat.collation_types(spark), ("phonebook", "pinyin", "standard"), "type")
+
+
+@_query(sql="SELECT * FROM (VALUES ('buddhist'), ('hebrew'), ('japanese')) v(type)")
+def known_calendars(spark, _):
+    return _known(spark, cat.calendars(spark), ("buddhist", "hebrew", "japanese"), "type")
+
+
+@_query(sql="SELECT * FROM (VALUES ('Latin-Cyrillic', 'Latin', 'Cyrillic'), ('Any-Latin', 'Any', 'Latin')) v(id, source, target)")
+def known_transliterators(spark, _):
+    return _known(spark, cat.transliterators(spark), ("Latin-Cyrillic", "Any-Latin"), "id", "source", "target")
+
+
+@_query(sql="SELECT * FROM (VALUES ('standard', '[a-z]'), ('index', '[A-Z]')) v(type, pattern)")
+def exemplar_patterns(spark, _):
+    return _known(spark, cat.exemplar_info(spark, "en_US"), ("standard", "index"), "type", "pattern")
+
+
+@_query(sql="SELECT chr(CAST(i AS INTEGER)) AS char FROM range(97, 123) r(i)")
+def transliterator_characters(spark, _):
+    return cat.transliterator_set(spark, "Any-Upper", "source").filter(F.col("char").rlike("^[a-z]$"))
+
+
+@_query("nation", "SELECT n_nationkey, n_name, upper(left(n_name, 1)) AS bucket, CAST(row_number() OVER (ORDER BY n_name) AS INTEGER) AS place FROM nation")
+def index_rows(nation):
+    """An index with the data of each name."""
+    return tables.index_rows(nation, "n_name").select("n_nationkey", "n_name", "bucket", "place")

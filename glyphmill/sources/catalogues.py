@@ -138,3 +138,51 @@ def plural_info(spark: SparkSession, locale: str = "en_US", ordinal: bool = Fals
 def index_labels(spark: SparkSession, locale: str = "en_US") -> DataFrame:
     jvm.register(spark)
     return spark.range(1).select(F.posexplode(jvm.array("index_labels", locale)).alias("ordinal", "label"))
+
+
+def exemplar_info(spark: SparkSession, locale: str = "en_US") -> DataFrame:
+    """`(type, pattern)`: the set pattern of each kind of exemplar characters."""
+    names = F.create_map(*[x for name, k in EXEMPLAR_TYPES.items() for x in (F.lit(k), F.lit(name))])
+    found = _records(spark, "exemplar_info", (locale,), "k int,pattern string")
+    return found.select(names[F.col("k")].alias("type"), F.coalesce("pattern", F.lit("")).alias("pattern"))
+
+
+def transliterator_set(spark: SparkSession, transliterator: str, side: str = "source") -> DataFrame:
+    """Characters (and strings) that a transliterator can convert, or with `target` those that it can make."""
+    if side not in ("source", "target"):
+        raise ValueError(f"unknown side {side!r}")
+    return _records(spark, "transliterator_set", (transliterator, side), "char string")
+
+
+def named(table: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows of a reference table whose key is a value, whatever its case: none for an unknown one."""
+    return table.filter(F.lower(key) == value.lower())
+
+
+def calendar_info(spark: SparkSession, calendar: str) -> DataFrame:
+    return named(calendars(spark), "type", calendar)
+
+
+def is_valid_calendar(spark: SparkSession, calendar: str) -> bool:
+    return not calendar_info(spark, calendar).isEmpty()
+
+
+def region_info(spark: SparkSession, code: str) -> DataFrame:
+    return named(regions(spark, None), "code", code)
+
+
+def region_types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in REGION_TYPES], "type string")
+
+
+def exemplar_types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in EXEMPLAR_TYPES], "type string")
+
+
+def script_info(spark: SparkSession, script: str) -> DataFrame:
+    """A script by its code or its name."""
+    return scripts(spark).filter(F.lit(script.lower()).isin(F.lower("code"), F.lower("name")))
+
+
+def transliterator_info(spark: SparkSession, transliterator: str) -> DataFrame:
+    return named(transliterators(spark), "id", transliterator)

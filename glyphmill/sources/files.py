@@ -32,9 +32,14 @@ def tsv_cell(column: Column, kind: str) -> Column:
     return F.coalesce(F.nullif(shown, F.lit("")), F.lit("-"))
 
 
-def as_tsv(df: DataFrame) -> DataFrame:
-    """One row `(line)` for each row."""
-    return df.select(F.concat_ws("\t", *[tsv_cell(F.col(f"`{n}`"), k) for n, k in df.dtypes]).alias("line"))
+def as_tsv(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row `(line)` for each row, of all columns or of some in their order."""
+    kinds = dict(df.dtypes)
+    return df.select(F.concat_ws("\t", *[tsv_cell(F.col(f"`{n}`"), kinds[n]) for n in columns or df.columns]).alias("line"))
+
+
+def tsv_header(df: DataFrame, columns: list[str] | None = None) -> str:
+    return "\t".join(columns or df.columns)
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -49,3 +49,26 @@ def test_prefixes():
 
 def test_discovery():
     assert any(f[1] == "remove_accents" for f in discover.search("ACCENT")) and len(discover.features()) > 100
+
+
+def test_headers_columns_and_exit_codes(spark, capsys, tmp_path):
+    cli.main(["script", "info", "--script", "latin", "-H", "-c", "code,name"])
+    assert capsys.readouterr().out == "code\tname\nLatn\tLatin\n"
+    cli.main(["regex", "search", "--pattern", "b+", "-t", "abc"])
+    with pytest.raises(SystemExit) as e:
+        cli.main(["regex", "search", "--pattern", "x", "-t", "abc"])
+    assert e.value.code == 1
+    with pytest.raises(SystemExit):
+        cli.main(["script", "list", "-c", "nothing"])
+    (tmp_path / "rules").write_text("a > b;", encoding="utf-8")
+    (tmp_path / "text").write_text("a\na", encoding="utf-8")
+    capsys.readouterr()
+    cli.main(["transliterate", "rules", "-r", str(tmp_path / "rules"), "-w", str(tmp_path / "text")])
+    assert capsys.readouterr().out == "b\nb\n"
+    cli.main(["message", "format", "--pattern", "{who} has {n, plural, one {# item} other {# items}}", "--types", "who=text,n=number", "-t", "Ann\t2"])
+    assert capsys.readouterr().out == "Ann has 2 items\n"
+
+
+def test_discovery_of_commands():
+    assert ("message", "format") in {c[:2] for c in discover.commands()} and discover.feature("normalize")[0] == "text" and discover.feature("nothing") is None
+    assert "commands:" in discover.report()
