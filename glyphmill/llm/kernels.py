@@ -64,12 +64,12 @@ def _byte_table(lower: bool, bare: bool) -> np.ndarray:
 _TABLES = {(lower, bare): _byte_table(lower, bare) for lower in (False, True) for bare in (False, True)}
 
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Index ranges of `texts` holding about RUN_BYTES each."""
+def runs(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Index ranges of `texts` holding about `size` bytes each."""
     offsets = _offsets(texts)
     start, n = 0, len(texts)
     while start < n:
-        stop = int(np.searchsorted(offsets, offsets[start] + RUN_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         stop = min(n, max(stop, start + 1))
         yield start, stop
         start = stop

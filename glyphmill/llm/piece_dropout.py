@@ -39,7 +39,8 @@ VARIANTS = 2
 REMEMBERED = 250_000
 #: A unit or a state is remembered when so many occurrences of a run meet in it; fewer are segmented on their own.
 WORTH_STATE = 4
-#: Occurrences of units worked on at a time.
+#: Bytes of texts handed to the encoder, and occurrences of units worked on, at a time: the more meet, the more they share.
+RUN_BYTES = 1 << 21
 OCCURRENCES = 1 << 18
 #: Units of up to so many characters are worked on side by side.
 SIDE_BY_SIDE = 32
@@ -395,7 +396,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, dropout, seed)
         texts = kernels.plain(batch.column(1))
-        for start, stop in kernels.runs(texts):
+        for start, stop in kernels.runs(texts, RUN_BYTES):
             values = texts[start:stop].to_pylist()
             found = encoder.encode_many(values, batch.column(0)[start:stop].to_pylist())
             good = [encoder.decode(x) == t for x, t in zip(found, values, strict=True)]
