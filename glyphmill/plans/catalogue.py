@@ -169,7 +169,7 @@ def spoof_compare(spark, _):
 def spoof_check(nation):
     """Names with a Cyrillic letter put in the place of A: those that have one mix scripts."""
     name = F.translate("n_name", "A", "А")
-    mixed = t.check_string(F.translate(F.lower(name), "а", "а"))["flags"] != t.check_string(F.lower("n_name"))["flags"]
+    mixed = t.check_string(F.lower(name))["flags"] != t.check_string(F.lower("n_name"))["flags"]
     return nation.select("n_nationkey", mixed.alias("mixed"), t.are_confusable(name, F.col("n_name")).alias("alike"))
 
 
@@ -611,7 +611,7 @@ def script_rtl(spark, _):
     return _literals(spark, [(x,) for x in ("𐤀", "𐡀", "𞠀", "א", "ا", "a", "1", "")], "text string").select("text", t.is_rtl(F.col("text")).alias("rtl"))
 
 
-@_query(sql="SELECT * FROM (VALUES ('en_US', true), ('fr_US', true), ('ja_BR', true), ('xx_YY', false), ('en_ZZZ', true), ('qq', false)) v(locale, valid) WHERE locale <> 'en_ZZZ'")
+@_query(sql="SELECT * FROM (VALUES ('en_US', true), ('fr_US', true), ('ja_BR', true), ('xx_YY', false), ('qq', false)) v(locale, valid)")
 def locale_valid(spark, _):
     return _literals(spark, [(x,) for x in ("en_US", "fr_US", "ja_BR", "xx_YY", "qq")], "locale string").select("locale", loc.is_valid_locale(F.col("locale")).alias("valid"))
 
