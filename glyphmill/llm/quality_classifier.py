@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import kernels
-from glyphmill.llm.common import bucket_of, map_batches, write_table
+from glyphmill.llm.common import bucket_of, drop_table, map_batches, write_table
 
 SYMBOLS = b"#*$%&<>"
 STATISTICS = (
@@ -203,7 +203,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         ids = F.broadcast(ids)
     learned = docs.select(id_col, text_col).filter(bucket_of(F.col(id_col), holdout_mod) != 0)
     learned = learned.join(ids, F.col(id_col).cast("long") == F.col("glyphmill_id"), "left_semi")
-    model = fit_quality(quality_features(learned, id_col, text_col), labels, id_col, label_col)
+    # written, so that no task holds the Python workers of the statistics and of the moments side by side
+    features = write_table(quality_features(learned, id_col, text_col))
+    model = fit_quality(features, labels, id_col, label_col)
+    drop_table(features)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
