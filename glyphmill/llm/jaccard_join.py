@@ -138,6 +138,13 @@ def prefix_signatures(hashes: np.ndarray, frequent: np.ndarray, num: int, den: i
     return np.concatenate(signatures).view(np.int64), np.concatenate(bounds)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of `x` are in the sorted `known`; nothing of the size of `known` is made."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _signed(num: int, den: int, often):
     """(rid, n, low) to (sig, rid, n, ub); sets whose low tokens do not suffice come back with a null sig."""
 
@@ -149,7 +156,7 @@ def _signed(num: int, den: int, often):
         low = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
         offsets = offsets - offsets[0]
         sizes = np.diff(offsets)
-        hot = np.isin(low, known)
+        hot = _among(low, known)
         owner = np.repeat(np.arange(len(n)), sizes)
         cold = np.concatenate(([0], np.cumsum(~hot)))
         place = cold[:-1] - cold[offsets[:-1]][owner]
@@ -188,7 +195,7 @@ def _signed_whole(size: int, num: int, den: int, often):
         for start, stop in kernels.runs(texts):
             hashes, offsets = _sets(texts[start:stop], size)
             d1, d2 = _digests(hashes, offsets)
-            hot = np.isin(hashes, known)
+            hot = _among(hashes, known)
             right = np.flatnonzero((d1 == k1[start:stop]) & (d2 == k2[start:stop]) & (np.diff(offsets) > 0))
             if not len(right):
                 continue
