@@ -211,7 +211,8 @@ def _with_terms(docs: DataFrame, disclosure: Disclosure, text_col: str) -> DataF
 
     if not bits.any():
         return docs.withColumn(name, F.array().cast("array<long>"))
-    marked = map_batches(docs, fn, schema)
+    # written, as it is read three times, and so that no task holds two Python workers side by side
+    marked = write_table(map_batches(docs, fn, schema))
     # rows that share a key share their terms, all of which are disclosing, so keys need not be unique
     some = marked.filter(F.size(name) > 0).withColumn("glyphmill_key", F.xxhash64(text_col))
     words = some.select("glyphmill_key", F.explode(name).alias("term"))
