@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import matching, text
-
-
-#: Bytes at the beginning of a key by which rows are dealt to be ranked.
-HEAD_BYTES = 6
+from glyphmill.operators import ordering
 
 
 def sort_table(df: DataFrame, column: str, locale: str = "en_US", reverse: bool = False, strength: str | None = None, case_first: str | None = None, ordinal: str | None = None) -> DataFrame:
@@ -29,19 +26,18 @@ def unique_sorted(df: DataFrame, column: str, locale: str = "en_US", reverse: bo
 
 
 def ranked(df: DataFrame, key: Column, *ties: str, name: str = "rank", dense: bool = False) -> DataFrame:
-    """The table with each row's place from 1 by a binary key, then by `ties`; `dense`: equal keys share theirs, without gaps.
+    """The table with each row's place from 1 by a key, then by `ties`; `dense`: equal keys share theirs, without gaps.
 
-    Rows are ranked within the beginnings of their keys, so no task has to hold the whole table; only the number of rows of
-    each beginning is added up in one place.
+    No task has to hold the rows of a key or of a beginning of keys: see `ordering.placed`.  Null keys come first; a column
+    named like `name` is replaced; rows that are equal in key and ties are placed in an order of their own.
     """
-    keyed = df.withColumn("glyphmill_key", key).withColumn("glyphmill_head", F.substring("glyphmill_key", 1, HEAD_BYTES))
-    counted = F.countDistinct("glyphmill_key") if dense else F.count("*")
-    heads = keyed.groupBy("glyphmill_head").agg(counted.alias("glyphmill_n"))
-    before = F.coalesce(F.sum("glyphmill_n").over(Window.orderBy("glyphmill_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = heads.select(F.col("glyphmill_head").alias("glyphmill_at"), before.alias("glyphmill_before"))
-    place = (F.dense_rank() if dense else F.row_number()).over(Window.partitionBy("glyphmill_head").orderBy("glyphmill_key", *([] if dense else ties)))
-    out = keyed.withColumn("glyphmill_place", place).join(heads, F.col("glyphmill_head").eqNullSafe(F.col("glyphmill_at")))
-    return out.select(*df.columns, (F.col("glyphmill_place") + F.col("glyphmill_before")).cast("int").alias(name))
+    kept = [c for c in df.columns if c != name]
+    keyed = df.select(*[F.col(f"`{c}`") for c in kept], key.alias("glyphmill_key_of"))
+    if dense:
+        out = ordering.densely_placed(keyed, "glyphmill_key_of", name=name)
+    else:
+        out = ordering.placed(keyed, "glyphmill_key_of", *[F.col(f"`{c}`") for c in ties], name=name)
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{name}`").cast("int").alias(name))
 
 
 def index_buckets(df: DataFrame, column: str, locale: str = "en_US") -> DataFrame:
