@@ -39,8 +39,9 @@ def write_table(df: DataFrame) -> DataFrame:
 
 
 def drop_table(*tables: DataFrame) -> None:
-    """Delete tables of `write_table` that no later step reads."""
+    """Delete tables of `write_table` that no later step reads, also those that a result of `placed` reads."""
     for df in tables:
+        drop_table(*getattr(df, "_glyphmill_under", ()))
         path = getattr(df, "_glyphmill_path", None)
         if path:
             jvm = df.sparkSession._jvm
