@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+from glyphmill.sources.scratch import drop_table, shared_dir, write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: `spark.checkpoint.dir` of the session.
+__all__ = ["ASCII_UPPER", "BATCH_ROWS", "bit_map", "bucket_of", "components", "drop_table", "map_batches", "shared_dir", "write_table"]
 
-    Where it is unset, a local session, whose executors are on this machine, gets a folder of its own; on a cluster that is
-    an error, as executors elsewhere could not read it.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmill-checkpoint-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def write_table(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glyphmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._glyphmill_path = path
-    return out
-
-
-def drop_table(*tables: DataFrame) -> None:
-    """Delete tables of `write_table` that no later step reads."""
-    for df in tables:
-        path = getattr(df, "_glyphmill_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 #: Rows of an Arrow batch at most; a worker and the executor's buffers hold a few batches at a time.

@@ -13,6 +13,7 @@ from glyphmill.llm.decontaminate import contained_items
 from glyphmill.llm.jaccard_join import jaccard_components
 from glyphmill.llm.language_id import identify_languages
 from glyphmill.llm.license_scan import scan_licenses
+from glyphmill.llm.merkle import COLUMNS, digest, fold, leaf_content, merkle_manifest, proof_digest
 from glyphmill.llm.piece_dropout import encode_pieces
 from glyphmill.llm.pii import find_personal_data
 from glyphmill.llm.quality_classifier import score_quality
@@ -94,6 +95,15 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "lossless")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tampered = digest(leaf_content([text if c == "text" else F.col(c) for c in COLUMNS]))
+    made = merkle_manifest(_table(spark, sf_dir, "documents"), tampered=tampered)
+    folded = made.withColumn("folded_root", fold(F.col("tampered"), F.col("proof")))
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", verified)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -107,10 +117,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_personal_data,
         op10_piece_dropout,
+        op12_merkle_manifest,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS uid, doc_id, coalesce('=' || source, '-') AS tree, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+                || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+                coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 2 = 0, false) AS tampered
+            FROM documents
+        ), h AS (
+            SELECT uid, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS changed
+            FROM (SELECT *, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS t FROM d)
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM h
+        ), low(tree, k, pos, node, n) AS (
+            SELECT tree, 0, pos, leaf, n FROM leaves UNION ALL
+            SELECT tree, k + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY tree, k, pos // 3, n
+        ), subs AS (
+            SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree <> '-', encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+        ), up(k, pos, node, n) AS (
+            SELECT 0, pos, subroot, n FROM subs UNION ALL
+            SELECT k + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY k, pos // 3, n
+        ), depth AS (SELECT tree, max(k) AS top FROM low GROUP BY tree
+        ), low_steps AS (
+            SELECT l.uid, s.k, coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos < l.pos // (3 ** s.k)::BIGINT), '') AS before,
+                coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos > l.pos // (3 ** s.k)::BIGINT), '') AS after
+            FROM leaves l JOIN low s ON s.tree = l.tree AND s.n > 1 AND s.pos // 3 = l.pos // (3 ** (s.k + 1))::BIGINT GROUP BY l.uid, s.k
+        ), high_steps AS (
+            SELECT l.tree, s.k, coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos < l.pos // (3 ** s.k)::BIGINT), '') AS before,
+                coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos > l.pos // (3 ** s.k)::BIGINT), '') AS after
+            FROM subs l JOIN up s ON s.n > 1 AND s.pos // 3 = l.pos // (3 ** (s.k + 1))::BIGINT GROUP BY l.tree, s.k
+        ), steps AS (
+            SELECT uid, k, before, after FROM low_steps UNION ALL
+            SELECT l.uid, p.top + s.k, s.before, s.after FROM leaves l JOIN depth p USING (tree) JOIN high_steps s USING (tree)
+        ), folding(uid, k, node) AS (
+            SELECT uid, 0, changed FROM leaves UNION ALL
+            SELECT f.uid, f.k + 1, sha256(s.before || f.node || s.after) FROM folding f JOIN steps s ON s.uid = f.uid AND s.k = f.k
+        ), folded AS (SELECT uid, max_by(node, k) AS folded_root FROM folding GROUP BY uid
+        ), proofs AS (SELECT uid, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY uid
+        ), root AS (SELECT node AS root FROM up WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM leaves JOIN subs USING (tree) JOIN folded USING (uid) LEFT JOIN proofs USING (uid), root
+    """,
     "op7_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
         ), t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
