@@ -12,6 +12,7 @@ from glyphmill.llm.chat_format import format_chats, loss_text, read_back
 from glyphmill.llm.decontaminate import contained_items
 from glyphmill.llm.jaccard_join import jaccard_components
 from glyphmill.llm.language_id import identify_languages
+from glyphmill.llm.lexical_search import best_documents
 from glyphmill.llm.license_scan import scan_licenses
 from glyphmill.llm.merkle import COLUMNS, digest, fold, leaf_content, merkle_manifest, proof_digest
 from glyphmill.llm.piece_dropout import encode_pieces
@@ -19,13 +20,15 @@ from glyphmill.llm.pii import find_personal_data
 from glyphmill.llm.quality_classifier import score_quality
 from glyphmill.llm.quality_rules import apply_rules
 from glyphmill.llm.token_counts import count_tokens
+from glyphmill.llm.token_files import token_files
 
 #: The public piece vocabulary that the registered queries use.
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def piece_model(name: str = PIECE_MODEL) -> bytes:
-    """Bytes of a public vocabulary file (half a megabyte), read on the driver."""
+    """Bytes of a public vocabulary file (up to two megabytes), read on the driver."""
     import public_tokenizers
 
     return Path(public_tokenizers.path(name)).read_bytes()
@@ -95,6 +98,10 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "lossless")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), piece_model(BYTE_MODEL).decode(), end_id=2)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     tampered = digest(leaf_content([text if c == "text" else F.col(c) for c in COLUMNS]))
@@ -104,6 +111,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", verified)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -117,11 +128,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_personal_data,
         op10_piece_dropout,
+        op11_token_files,
         op12_merkle_manifest,
+        op13_lexical_search,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), i AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+        ), q AS (SELECT item_id, t, count(*) AS qtf FROM i GROUP BY ALL
+        ), s AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0
+        ), p AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY doc_id, len(w), t
+        ), v AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s
+        ), c AS (
+            SELECT item_id, doc_id, sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+            FROM q JOIN p USING (t) JOIN v USING (t), s GROUP BY item_id, doc_id
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM c WHERE score > 0
+        ) WHERE rank <= 10
+    """,
     "op12_merkle_manifest": r"""
         WITH RECURSIVE d AS (
             SELECT row_number() OVER () AS uid, doc_id, coalesce('=' || source, '-') AS tree, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
