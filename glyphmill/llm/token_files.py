@@ -2,18 +2,18 @@
 
 Each id takes the fewest bits that hold the vocabulary.  A file is, little-endian:
 
-    magic (8 bytes), bits and ids a block (uint32 each), documents, documents with a null id, ids, ids before the file,
-    blocks (uint64 each), 8 zero bytes
+    magic (8 bytes), bits and ids a block (uint32 each), documents, documents with a null id, ids, blocks (uint64 each),
+    range of the file and its number in the range (uint32 each), 8 zero bytes
     ids of the documents (int64 each), ends of the documents among the file's ids (uint64 each)
     places of the blocks in the file and the end of the last one (uint64 each)
     blocks: groups of 64 ids in `bits` words of 64 bits each; a line feed ends the file
 
 So ids from any place are read by the place of their block and unpacked by shifts of whole columns of groups.
 
-Documents are encoded once and written with the number of their range: the ranges are quantiles of the document ids, an id
-that many rows share takes as many ranges as its share of the rows.  Ids are added up by range, ranges go to partitions, and
-each partition writes its files.  Spark's text writer puts the bytes of a string into a file as they are, one row per file,
-so files appear when their task commits, in any store that Spark writes to.
+Documents are encoded where they are read and sent to the range of their id.  The ranges are quantiles of the document ids; an
+id that many rows share takes as many ranges as its share of the rows.  Each range writes its files; an index of them, from
+their headers alone, adds up the ids before each.  Spark's text writer puts the bytes of a string into a file as they are, one
+row per file, so files appear when their task commits, in any store that Spark writes to.
 """
 
 from __future__ import annotations
@@ -26,24 +26,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import kernels
-from glyphmill.llm.common import drop_table, map_batches, write_table
+from glyphmill.llm.common import map_batches
 from glyphmill.sources.scratch import new_path
 
 MAGIC = b"GLYPACK1"
-_HEADER = struct.Struct("<8sIIQQQQQ8x")
+_HEADER = "<8sIIQQQQII8x"
+_HEADER_BYTES = struct.calcsize(_HEADER)
 #: Ids of a block, a multiple of 64, and of a file; a file only has more where a single document has.
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22
+#: The index of up to so many files (24 bytes each) goes to all tasks that read them; a larger one is joined by a shuffle.
+BROADCAST_FILES = 100_000
 #: Characters of a text that are split at a time, of a unit that is remembered, and units that a worker remembers.
 SPLIT_CHARS, UNIT_CHARS, UNITS = 1 << 20, 64, 500_000
 
 #: A blank or line feed behind a visible ASCII or a word character begins a unit, and so does a mark behind a digit or Latin
 #: letter: no pre-token of a byte-level vocabulary reaches across, and what follows does not depend on what is before.
-_UNIT = re.compile(r"(?=[ \n])(?<=[!-~\w])|(?=[.,;:!?])(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ])")
+_LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+_BOUNDARY = rf"(?<=[!-~\w])(?=[ \n])|(?<=[{_LATIN}])(?=[.,;:!?])"
+_CUT = re.compile(_BOUNDARY)
+#: From boundary to boundary: a word, a mark, or, more slowly, anything.
+_UNIT = re.compile(rf"[ \n]?[{_LATIN}]+(?![^ \n.,;:!?])|[.,;:!?](?![^ \n])|(?s:.+?)(?:{_BOUNDARY}|\Z)")
 _CLOSED = re.compile(r"[ \n].*[!-~\w]", re.S)
 
 
@@ -78,15 +85,15 @@ def unpack(packed, bits: int, n: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
-def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray], start: int, bits: int, block: int = BLOCK_IDS) -> bytes:
-    """One file of documents in their order, those with null ids first; `start` ids are in the files before it."""
+def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray], bits: int, block: int = BLOCK_IDS, at: int = 0, number: int = 0) -> bytes:
+    """One file of documents in their order, those with null ids first: the `number`-th file of range `at`."""
     if block % 64:
         raise ValueError("a block holds a multiple of 64 ids")
     ends = np.cumsum([len(x) for x in ids], dtype="<u8")
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     blocks = [pack(flat[k : k + block], bits) for k in range(0, len(flat), block)]
     names = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    head = _HEADER.pack(MAGIC, bits, block, len(ids), sum(d is None for d in doc_ids), len(flat), start, len(blocks))
+    head = struct.pack(_HEADER, MAGIC, bits, block, len(ids), sum(d is None for d in doc_ids), len(flat), len(blocks), at, number)
     first = len(head) + 16 * len(ids) + 8 * (len(blocks) + 1)
     places = first + np.cumsum([0, *map(len, blocks)], dtype="<u8")
     return b"".join((head, names.tobytes(), ends.tobytes(), places.astype("<u8").tobytes(), *blocks, b"\n"))
@@ -97,10 +104,10 @@ class TokenFile:
 
     def __init__(self, data):
         self.data = memoryview(data)
-        magic, self.bits, self.block, self.n_docs, self.n_null, self.n_ids, self.start, n_blocks = _HEADER.unpack_from(self.data)
+        magic, self.bits, self.block, self.n_docs, self.n_null, self.n_ids, n_blocks, self.at, self.number = struct.unpack_from(_HEADER, self.data)
         if magic != MAGIC:
             raise ValueError("not a file of packed token ids")
-        at = _HEADER.size
+        at = _HEADER_BYTES
         self.doc_ids = np.frombuffer(self.data, "<i8", self.n_docs, at)
         self.ends = np.frombuffer(self.data, "<u8", self.n_docs, at + 8 * self.n_docs).astype(np.int64)
         self.places = np.frombuffer(self.data, "<u8", n_blocks + 1, at + 16 * self.n_docs).astype(np.int64)
@@ -137,7 +144,8 @@ class UnitEncoder:
         for piece, number in vocabulary.items():
             self.lengths[number] = len(piece)  # a character of a byte-level piece is a byte
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of late
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -161,19 +169,22 @@ class UnitEncoder:
     def _parts(self, text: str) -> Iterator[list[str]]:
         begin = 0
         while len(text) - begin > SPLIT_CHARS:
-            cut = _UNIT.search(text, begin + SPLIT_CHARS)
+            cut = _CUT.search(text, begin + SPLIT_CHARS)
             if not cut:
                 break
-            yield _UNIT.split(text[begin : cut.start()])
+            yield _UNIT.findall(text[begin : cut.start()])
             begin = cut.start()
-        yield _UNIT.split(text[begin:])
+        yield _UNIT.findall(text[begin:])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as 32-bit numbers."""
         parts = [list(self._parts(t)) if t else [] for t in texts]
-        if len(self.known) > UNITS:
-            self.known.clear()
+        if len(self.known) > UNITS // 2:
+            self.known, self.older = {}, self.known
         new = set().union(*(units for text in parts for units in text)).difference(self.known)
+        back = {u: self.older[u] for u in new if u in self.older}
+        self.known.update(back)
+        new.difference_update(back)
         long = {u for u in new if len(u) > UNIT_CHARS}
         once = dict(zip(long, self._library(list(long)), strict=True))
         self.known.update(self._learn(list(new - long)))
@@ -196,7 +207,7 @@ def _ranges(rows: DataFrame, parts: int) -> tuple[int, np.ndarray]:
 
 def write_token_files(docs: DataFrame, path: str, model: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS, block: int = BLOCK_IDS, parts: int | None = None) -> None:
     """Encode whole texts with the byte-level vocabulary `model` (the text of its file), append `end_id` to each, and write
-    files of about `file_ids` ids to the folder `path`, ascending by document id, also by their names.
+    files of about `file_ids` ids to the folder `path`/files, ascending by document id, and their index to `path`/index.
 
     Null and empty texts have the end id alone; rows with a null id come first; rows that share an id are all there, in an
     order of their own; a document is never split, so one of more ids than `file_ids` has a file of that size; other columns
@@ -222,41 +233,59 @@ def write_token_files(docs: DataFrame, path: str, model: str, end_id: int, id_co
             made = encoder.encode(texts[start:stop].to_pylist())
             narrow = "<u2" if encoder.bits <= 16 else "<u4"
             data = [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in made]
-            cols = [pa.array(at[start:stop].astype(np.int32)), batch.column(0)[start:stop], pa.array(order[start:stop]), pa.array([len(x) // 4 for x in made], pa.int64()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["at", "id", "tie", "n", "ids"])
-
-    staged = write_table(map_batches(rows, encoded, "at int, id long, tie long, n long, ids binary"))
-    sums = {r["at"]: r["n"] for r in staged.groupBy("at").agg(F.sum("n").alias("n")).collect()}  # a number per range
-    starts, before = {}, 0
-    for k in sorted(sums):
-        starts[k], before = before, before + sums[k]
+            cols = [pa.array(at[start:stop].astype(np.int32)), batch.column(0)[start:stop], pa.array(order[start:stop]), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["at", "id", "tie", "ids"])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _encoder(sent.value, end_id).bits
         narrow = "<u2" if bits <= 16 else "<u4"
         names: list[int | None] = []
         held: list[np.ndarray] = []
-        size = start = 0
+        size = number = 0
         of = None
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([file_bytes(names, held, start, bits, block)], pa.binary())], ["file"])
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([file_bytes(names, held, bits, block, of, number)], pa.binary())], ["file"])
+
         for batch in batches:
             for at, name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = np.frombuffer(data.as_buffer(), narrow)
                 if held and (at != of or size + len(ids) > file_ids):
                     yield made()
-                    start += size
-                    names, held, size = [], [], 0
+                    names, held, size, number = [], [], 0, number + 1
                 if at != of:
-                    of, start = at, starts[at]
+                    of, number = at, 0
                 names.append(name)
                 held.append(ids.copy())
                 size += len(ids)
         if held:
             yield made()
 
-    dealt = staged.repartitionById(nulls + len(bounds) + 1, "at").sortWithinPartitions("at", F.col("id").asc_nulls_first(), "tie").select("at", "id", "ids")
-    dealt.mapInArrow(files, "file binary").select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
-    drop_table(staged)
+    made = map_batches(rows, encoded, "at int, id long, tie long, ids binary")
+    dealt = made.repartitionById(nulls + len(bounds) + 1, "at").sortWithinPartitions("at", F.col("id").asc_nulls_first(), "tie").select("at", "id", "ids")
+    dealt.mapInArrow(files, "file binary").select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{path}/files")
+    _index(spark, path).write.parquet(f"{path}/index")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(f"{path}/files")
+
+
+def _index(spark: SparkSession, path: str) -> DataFrame:
+    """`(file, at, number, n_docs, n_ids, start)` of each file; `start` ids are in the files before it."""
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [struct.unpack(_HEADER, x) for x in batch.column(1).to_pylist()]
+            cols = [batch.column(0), *(pa.array([h[k] for h in found], pa.int64()) for k in (7, 8, 3, 5))]
+            yield pa.RecordBatch.from_arrays(cols, ["file", "at", "number", "n_docs", "n_ids"])
+
+    heads = _stored(spark, path).select("path", F.substring("content", 1, _HEADER_BYTES).alias("head"))
+    found = heads.mapInArrow(headers, "file string, at long, number long, n_docs long, n_ids long")
+    behind = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = found.groupBy("at").agg(F.sum("n_ids").alias("n_ids")).select("at", behind(Window.orderBy("at")).alias("before"))  # a row per range
+    own = found.withColumn("own", behind(Window.partitionBy("at").orderBy("number")))
+    return own.join(ranges, "at").select("file", "at", "number", "n_docs", "n_ids", (F.col("before") + F.col("own")).alias("start"))
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -278,15 +307,20 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
                     begins = np.concatenate(([0], ends[:-1]))
                     crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                     names = pa.array(found.doc_ids[first:last], mask=np.arange(first, last) < found.n_null)
-                    cols = [names, pa.array(begins + begin + found.start), pa.array(ends - begins), pa.array(crcs, pa.int64())]
+                    places = (np.full(last - first, x, np.int64) for x in (found.at, found.number))
+                    cols = [*map(pa.array, places), names, pa.array(begins + begin), pa.array(ends - begins), pa.array(crcs, pa.int64())]
                     if with_ids:
                         cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int64))))
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+                    yield pa.RecordBatch.from_arrays(cols, ["at", "number", "id", "own", "n_tokens", "ids_crc32", "ids"][: len(cols)])
                     first = last
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    out = files.mapInArrow(documents, "id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
-    return out.withColumnRenamed("id", id_col)
+    more = (", ids array<long>", ["ids"]) if with_ids else ("", [])
+    found = _stored(spark, path).select("content").mapInArrow(documents, "at long, number long, id long, own long, n_tokens long, ids_crc32 long" + more[0])
+    index = spark.read.parquet(f"{path}/index").select("at", "number", F.col("start").alias("before"))
+    if index.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        index = F.broadcast(index)
+    placed = found.join(index, ["at", "number"])
+    return placed.select(F.col("id").alias(id_col), (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", *more[1])
 
 
 def token_files(docs: DataFrame, model: str, end_id: int) -> DataFrame:
