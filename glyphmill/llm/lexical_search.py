@@ -3,11 +3,12 @@
 The score of a document is the sum, over an item's terms, of the term's weight by an impact of the term in the document that
 no item has a part in.  So one list per term, sorted by impact, serves all items, and three rounds find their best documents:
 
-1. Heads: the k highest impacts of each list.  The sums that an item's documents get from them are lower bounds of their
-   scores; the k-th highest is a bound that the k-th best document reaches.
+1. Heads: the k highest impacts of each list.  The k-th highest score of the documents there is a lower bound that the k-th
+   best document reaches.  (Their sums over the heads alone would be one too, but with tens of lists a bound several times
+   lower, and hardly a threshold.)
 2. Threshold: with m lists, a document whose share in every list is under an m-th of the bound stays under it.  All entries
-   from there up are fetched, uniformly from every list; what they leave open is bounded by the threshold, and documents
-   that cannot reach the k-th highest sum any more go.
+   from there up are fetched, uniformly from every list.  What they leave open of a list is bounded by the threshold and by
+   the head of the list; the documents of the k highest sums give another bound, and those that cannot reach it go.
 3. Lookup: the exact scores of the others.
 
 Lists are dealt by term and impact, so that a frequent term spans partitions; entries meet the items' thresholds by term and
@@ -88,11 +89,21 @@ def _level(impact: Column) -> Column:
     return F.floor(F.log2(impact + 1) * 2).cast("int")
 
 
-def _kth(rows: DataFrame, value: str, k: int, name: str) -> DataFrame:
-    """`(item, name)`: the k-th highest value of each item, where it has so many rows."""
-    order = Window.partitionBy("item").orderBy(F.desc(value))
-    best = rows.select("item", value, F.row_number().over(order).alias("at")).filter(F.col("at") <= k)
-    return best.filter(F.col("at") == k).select("item", F.col(value).alias(name))
+def _highest(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """The k rows of the highest values of each item, and `at`, their places."""
+    order = Window.partitionBy("item").orderBy(F.desc(value), "row")
+    return rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)
+
+
+def _kth(scores: DataFrame, k: int, name: str) -> DataFrame:
+    """`(item, name)`: the k-th highest score of each item, where it has so many."""
+    return _highest(scores, "score", k).filter(F.col("at") == k).select("item", F.col("score").alias(name))
+
+
+def _tied(scores: DataFrame, k: int) -> DataFrame:
+    """The rows of each item that reach its k-th highest score."""
+    order = Window.partitionBy("item").orderBy(F.desc("score"))
+    return scores.withColumn("at", F.rank().over(order)).filter(F.col("at") <= k).drop("at")
 
 
 def best_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", k: int = BEST) -> DataFrame:
@@ -128,34 +139,48 @@ def best_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
     factors = wants.join(near, "term").select("item", "term", (F.col("qtf") * F.col("w")).alias("f"))
     factors = write_table(factors.withColumn("m", F.count("*").over(Window.partitionBy("item"))))
 
+    def exact(candidates: DataFrame) -> DataFrame:
+        """Scores `(item, id, row, score)` of `candidates(item, row)`."""
+        terms = candidates.join(found, "row").select("item", "id", "row", "n", F.explode("terms").alias("t")).select("item", "id", "row", "t.term", "n", "t.tf")
+        shares = terms.join(factors.select("item", "term", "f"), ["item", "term"]).select("item", "id", "row", (F.col("f") * impact).alias("share"))
+        return shares.groupBy("item", "id", "row").agg(F.sum("share").alias("score"))
+
     # round 1
     heads = postings.withColumn("at", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "row"))).filter(F.col("at") <= k)
-    share = (F.col("f") * F.col("impact")).alias("share")
-    lower = heads.join(factors, "term").select("item", "row", share).groupBy("item", "row").agg(F.sum("share").alias("sum"))
-    first = _kth(lower, "sum", k, "bound")
-    least = F.ceil(F.col("bound") / (F.col("m") * F.col("f"))).cast("long")  # checked exactly below
-    lowered = F.greatest(least - 1, F.lit(0))
-    floors = write_table(factors.join(first, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0))).withColumn("least", lowered))
+    heads = write_table(heads)
+    firsts = heads.select("term", "row").join(factors, "term").select("item", "row").distinct()
+    tops = heads.groupBy("term").agg(F.max("impact").alias("top"))
+    bounded = factors.join(tops, "term").join(_kth(exact(firsts), k, "bound"), "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    # of each list: the impact from which entries may pass (checked exactly below), and m times what other entries add at most
+    least = F.floor(F.col("bound") / (F.col("m") * F.col("f"))).cast("long") - 1
+    most = F.least(F.col("bound"), F.col("f") * F.col("top") * F.col("m"))
+    floors = write_table(bounded.withColumns({"least": F.greatest(least, F.lit(0)), "most": most}))
+    drop_table(heads)
 
     # round 2
-    top = _level(F.lit(1_000_000))
-    levels = floors.select("item", F.col("term").alias("of"), "f", "m", "bound", F.explode(F.sequence(_level(F.col("least")), top)).alias("level"))
-    reached = postings.join(levels, (F.col("term") == F.col("of")) & (_level(F.col("impact")) == F.col("level")) & (F.col("f") * F.col("impact") * F.col("m") >= F.col("bound")))
-    sums = reached.select("item", "row", "m", "bound", share).groupBy("item", "row", "m", "bound").agg(F.sum("share").alias("sum"), F.count("*").alias("seen"))
-    sums = write_table(sums)
-    second = _kth(sums, "sum", k, "again")
-    most = F.col("sum") * F.col("m") + (F.col("m") - F.col("seen")) * F.col("bound")
-    reaches = most >= F.greatest("bound", F.coalesce("again", F.lit(0))) * F.col("m")
-    alive = write_table(sums.join(second, "item", "left").filter(reaches).select("item", "row"))
-    drop_table(sums, floors)
+    last = _level(F.lit(1_000_000))
+    levels = floors.select("item", F.col("term").alias("of"), "f", "m", "bound", F.explode(F.sequence(_level(F.col("least")), last)).alias("level"))
+    share = F.col("f") * F.col("impact")
+    reached = postings.join(levels, (F.col("term") == F.col("of")) & (_level(F.col("impact")) == F.col("level")) & (share * F.col("m") >= F.col("bound")))
+    met = reached.select("item", "row", share.alias("share")).repartition("item", "row")  # entries of a document hardly meet before
+    sums = met.groupBy("item", "row").agg(F.sum("share").alias("sum"), F.count("*").alias("seen"))
+    of_item = floors.groupBy("item", "m", "bound").agg(F.sum("most").alias("all"))
+    left = F.col("all") - F.col("seen") * F.col("bound")  # a list with entries that pass has the bound as its `most`
+    sums = write_table(sums.join(of_item, "item").select("item", "row", "sum", "m", "bound", (F.col("sum") * F.col("m") + left).alias("upper")))
+    again = _kth(exact(_highest(sums, "sum", k).select("item", "row")), k, "again")
+    reaches = F.col("upper") >= F.greatest("bound", F.coalesce("again", F.lit(0))) * F.col("m")
+    alive = write_table(sums.join(again, "item", "left").filter(reaches).select("item", "row", "sum"))
+    drop_table(sums)
 
     # round 3
-    exact = alive.join(found, "row").select("item", "id", "row", "n", F.explode("terms").alias("t")).select("item", "id", "row", F.col("t.term").alias("term"), "n", "t.tf")
-    scored = exact.join(factors, ["item", "term"]).select("item", "id", "row", (F.col("f") * impact).alias("share"))
-    scored = scored.groupBy("item", "id", "row").agg(F.sum("share").alias("score")).filter("score > 0")
+    lists = floors.select("item", F.col("term").alias("of"), "f", "m", "bound")
+    rest = postings.join(lists, (F.col("term") == F.col("of")) & (share * F.col("m") < F.col("bound"))).select(F.col("item").alias("of"), F.col("row").alias("at"), share.alias("share"))
+    looked = alive.join(rest, (F.col("item") == F.col("of")) & (F.col("row") == F.col("at")), "left").groupBy("item", "row", "sum").agg(F.sum("share").alias("more"))
+    scored = looked.select("item", "row", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score")).filter("score > 0")
+    scored = _tied(scored, k).join(found.select("row", "id"), "row")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     best = write_table(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
     names = asked.select(F.col("row").alias("item"), F.col("id").alias(item_col))
     out = write_table(best.join(names, "item").select(item_col, "rank", F.col("id").alias(id_col), "score"))
-    drop_table(asked, found, weights, postings, factors, alive, best)
+    drop_table(asked, found, weights, postings, factors, floors, alive, best)
     return out
