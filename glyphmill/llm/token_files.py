@@ -143,24 +143,25 @@ class UnitEncoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, number in vocabulary.items():
             self.lengths[number] = len(piece)  # a character of a byte-level piece is a byte
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.width = "<u2" if self.bits <= 16 else "<u4"
+        self.end = np.array([end_id], self.width).tobytes()
         self.known: dict[str, bytes] = {}  # of late
         self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """Ids of units: those with a safe boundary on both sides in one text, cut by the bytes that pieces stand for."""
         closed = [u for u in units if _CLOSED.fullmatch(u)]
         found: dict[str, bytes] = {}
         if closed:
-            flat = np.array(self.library.encode_batch_fast(["".join(closed)], add_special_tokens=False)[0].ids, "<u4")
+            flat = np.array(self.library.encode_batch_fast(["".join(closed)], add_special_tokens=False)[0].ids, self.width)
             behind = np.cumsum(self.lengths[flat])
             ends = np.cumsum([len(u.encode()) for u in closed])
             cuts = np.searchsorted(behind, ends) + 1
             if len(behind) and behind[-1] == ends[-1] and np.array_equal(behind[cuts - 1], ends):
-                data, bounds = flat.tobytes(), [0, *(4 * cuts).tolist()]
+                data, bounds = flat.tobytes(), [0, *(flat.itemsize * cuts).tolist()]
                 found = {u: data[bounds[k] : bounds[k + 1]] for k, u in enumerate(closed)}
         rest = [u for u in units if u not in found]
         found.update(zip(rest, self._library(rest), strict=True))
@@ -177,19 +178,24 @@ class UnitEncoder:
         yield _UNIT.findall(text[begin:])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id, as 32-bit numbers."""
+        """Ids of each text and the end id, as numbers of `width`."""
         parts = [list(self._parts(t)) if t else [] for t in texts]
         if len(self.known) > UNITS // 2:
             self.known, self.older = {}, self.known
-        new = set().union(*(units for text in parts for units in text)).difference(self.known)
-        back = {u: self.older[u] for u in new if u in self.older}
-        self.known.update(back)
-        new.difference_update(back)
-        long = {u for u in new if len(u) > UNIT_CHARS}
-        once = dict(zip(long, self._library(list(long)), strict=True))
-        self.known.update(self._learn(list(new - long)))
-        get = (lambda u: self.known.get(u) or once[u]) if once else self.known.__getitem__
-        return [b"".join(b"".join(map(get, units)) for units in text) + self.end for text in parts]
+        found = [[list(map(self.known.get, units)) for units in text] for text in parts]
+        missing = [[[k for k, x in enumerate(got) if x is None] if None in got else [] for got in text] for text in found]
+        new = {units[k] for text, gaps in zip(parts, missing, strict=True) for units, at in zip(text, gaps, strict=True) for k in at}
+        made = {u: self.older[u] for u in new if u in self.older}
+        new.difference_update(made)
+        long = [u for u in new if len(u) > UNIT_CHARS]
+        made.update(self._learn([u for u in new if len(u) <= UNIT_CHARS]))
+        self.known.update(made)
+        made.update(zip(long, self._library(long), strict=True))
+        for text, got, gaps in zip(parts, found, missing, strict=True):
+            for units, ids, at in zip(text, got, gaps, strict=True):
+                for k in at:
+                    ids[k] = made[units[k]]
+        return [b"".join(map(b"".join, text)) + self.end for text in found]
 
 
 @lru_cache(maxsize=2)
@@ -231,25 +237,22 @@ def write_token_files(docs: DataFrame, path: str, model: str, end_id: int, id_co
         order = (tie.view(np.uint64) >> np.uint64(1)).view(np.int64)
         for start, stop in kernels.runs(texts):
             made = encoder.encode(texts[start:stop].to_pylist())
-            narrow = "<u2" if encoder.bits <= 16 else "<u4"
-            data = [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in made]
-            cols = [pa.array(at[start:stop].astype(np.int32)), batch.column(0)[start:stop], pa.array(order[start:stop]), pa.array(data, pa.binary())]
+            cols = [pa.array(at[start:stop].astype(np.int32)), batch.column(0)[start:stop], pa.array(order[start:stop]), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["at", "id", "tie", "ids"])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _encoder(sent.value, end_id).bits
-        narrow = "<u2" if bits <= 16 else "<u4"
+        encoder = _encoder(sent.value, end_id)
         names: list[int | None] = []
         held: list[np.ndarray] = []
         size = number = 0
         of = None
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file_bytes(names, held, bits, block, of, number)], pa.binary())], ["file"])
+            return pa.RecordBatch.from_arrays([pa.array([file_bytes(names, held, encoder.bits, block, of, number)], pa.binary())], ["file"])
 
         for batch in batches:
             for at, name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = np.frombuffer(data.as_buffer(), narrow)
+                ids = np.frombuffer(data.as_buffer(), encoder.width)
                 if held and (at != of or size + len(ids) > file_ids):
                     yield made()
                     names, held, size, number = [], [], 0, number + 1
