@@ -25,6 +25,20 @@ def unique_sorted(df: DataFrame, column: str, locale: str = "en_US", reverse: bo
     return once.orderBy(key.desc() if reverse else key.asc(), F.col(column))
 
 
+def unique_first(df: DataFrame, column: str, ordinal: str, locale: str = "en_US", strength: str | None = None) -> DataFrame:
+    """Of the rows whose texts a collation takes for equal, the one of the lowest `ordinal`: the first seen of each, whole.
+
+    One aggregation by sort key, in the tasks that read the rows and then by key, so a text that many rows share is reduced
+    before it is sent.  Rows that tie in their ordinal are told apart by their text and then by all their columns that can be
+    ordered; null ordinals come last; null texts are equal to each other.  Order the result by `ordinal` for first-seen order.
+    """
+    of, by = F.col(f"`{column}`"), F.col(f"`{ordinal}`")
+    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = F.min_by(row, F.struct(by.isNull(), by, of, *rest)).alias("glyphmill_row")
+    return df.groupBy(matching.sort_key(of, locale, strength).alias("glyphmill_key")).agg(first).select("glyphmill_row.*")
+
+
 def ranked(df: DataFrame, key: Column, *ties: str, name: str = "rank", dense: bool = False) -> DataFrame:
     """The table with each row's place from 1 by a key, then by `ties`; `dense`: equal keys share theirs, without gaps.
 

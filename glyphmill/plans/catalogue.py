@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from glyphmill.functions import formatting as fmt
 from glyphmill.functions import locales as loc
 from glyphmill.functions import matching as m
+from glyphmill.functions import messages
 from glyphmill.functions import text as t
-from glyphmill.operators import tables
+from glyphmill.operators import joins, ranges, tables
 from glyphmill.sources import catalogues as cat
 from glyphmill.sources import files
 
@@ -713,3 +714,117 @@ def transliterator_characters(spark, _):
 def index_rows(nation):
     """An index with the data of each name."""
     return tables.index_rows(nation, "n_name").select("n_nationkey", "n_name", "bucket", "place")
+
+
+# --- joins and orders over whole tables -----------------------------------------------------------------------------
+
+_WORD = r"([\p{L}]+)"
+_FOLDED = "replace(replace(replace(lower(strip_accents(word)), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')"
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(1))).alias("pos", "word"))
+
+
+@_query(
+    "pages",
+    r"""
+    WITH p AS (SELECT page_id, regexp_extract(url, '://([^/:]+)', 1) AS host FROM pages
+    ), h AS (SELECT DISTINCT host, replace(replace(replace(replace(host, 'm', 'rn'), '1', 'l'), '0', 'O'), 'I', 'l') AS skeleton FROM p
+    ), c AS (SELECT skeleton, min(host) AS class_id FROM h GROUP BY skeleton
+    ), n AS (SELECT x.skeleton, count(*) FILTER (levenshtein(x.skeleton, y.skeleton) = 1) AS n_near FROM c x, c y GROUP BY x.skeleton)
+    SELECT page_id, host, class_id, n_near FROM p JOIN h USING (host) JOIN c USING (skeleton) JOIN n USING (skeleton)
+    """,
+)
+def host_look_alikes(pages):
+    """Pages with the class of their host among look-alike hosts, and how many other classes are one edit away."""
+    return joins.look_alikes(pages.select("page_id", F.regexp_extract("url", "://([^/:]+)", 1).alias("host")), "host")
+
+
+@_query(
+    "documents",
+    rf"""
+    WITH w AS (SELECT lang IS NOT DISTINCT FROM 'fr' AS french, word, {_FOLDED} AS k FROM (SELECT lang, unnest(regexp_extract_all(text, '[\p{{L}}]+')) AS word FROM documents)
+    ), c AS (SELECT french, k, min(word) AS class_id, count(DISTINCT word) AS n_texts, count(*) AS n_rows FROM w GROUP BY french, k)
+    SELECT a.class_id AS left_class, b.class_id AS right_class, a.n_texts AS left_texts, b.n_texts AS right_texts, a.n_rows AS left_rows, b.n_rows AS right_rows
+    FROM c a JOIN c b ON a.k = b.k AND a.french AND NOT b.french
+    """,
+)
+def collation_join(docs):
+    """Words of French texts that are words of other texts too, accents and case aside."""
+    words = _words(docs)
+    french = F.col("lang").eqNullSafe(F.lit("fr"))
+    return joins.collation_join(words.filter(french), words.filter(~french), "word", "word", strength="primary").pairs
+
+
+@_query(
+    "part",
+    """
+    WITH w AS (SELECT p_partkey, lower(unnest(string_split(p_name, ' '))) AS k FROM part)
+    SELECT w.k AS word, count(*) AS n, sum(p.n) AS pairs FROM w JOIN (SELECT lower(p_type) AS k, count(*) AS n FROM part GROUP BY 1) p USING (k) GROUP BY w.k
+    """,
+)
+def collation_join_rows(part):
+    """Parts with the parts whose type is a word of their name, case aside, counted by word: a few words hold all rows."""
+    words = part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    found = joins.collation_join(words, part.select("p_type"), "word", "p_type", strength="secondary")
+    by_word = found.left.groupBy("class_id").agg(F.count("*").alias("n"))
+    joined = by_word.join(found.pairs, F.col("class_id") == F.col("left_class"))
+    return joined.select(F.lower("class_id").alias("word"), "n", (F.col("n") * F.col("right_rows")).alias("pairs"))
+
+
+@_query(
+    "documents",
+    r"""
+    SELECT doc_id, CASE WHEN regexp_matches(c, '\p{Latin}') THEN 'Latin' WHEN regexp_matches(c, '\p{Greek}') THEN 'Greek' WHEN regexp_matches(c, '\p{Cyrillic}') THEN 'Cyrillic'
+        WHEN regexp_matches(c, '\p{Han}') THEN 'Han' WHEN regexp_matches(c, '\p{Common}') THEN 'Common' ELSE 'other' END AS script, category, count(*) AS n
+    FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), (VALUES ('Lu'), ('Ll'), ('Lt'), ('Lm'), ('Lo'), ('Mn'), ('Mc'), ('Me'), ('Nd'), ('Nl'), ('No'), ('Pc'), ('Pd'), ('Ps'), ('Pe'),
+        ('Pi'), ('Pf'), ('Po'), ('Sm'), ('Sc'), ('Sk'), ('So'), ('Zs'), ('Zl'), ('Zp'), ('Cc'), ('Cf'), ('Co')) v(category)
+    WHERE c <> '' AND CASE category WHEN 'Lu' THEN regexp_matches(c, '\p{Lu}') WHEN 'Ll' THEN regexp_matches(c, '\p{Ll}') WHEN 'Lt' THEN regexp_matches(c, '\p{Lt}')
+        WHEN 'Lm' THEN regexp_matches(c, '\p{Lm}') WHEN 'Lo' THEN regexp_matches(c, '\p{Lo}') WHEN 'Mn' THEN regexp_matches(c, '\p{Mn}') WHEN 'Mc' THEN regexp_matches(c, '\p{Mc}')
+        WHEN 'Me' THEN regexp_matches(c, '\p{Me}') WHEN 'Nd' THEN regexp_matches(c, '\p{Nd}') WHEN 'Nl' THEN regexp_matches(c, '\p{Nl}') WHEN 'No' THEN regexp_matches(c, '\p{No}')
+        WHEN 'Pc' THEN regexp_matches(c, '\p{Pc}') WHEN 'Pd' THEN regexp_matches(c, '\p{Pd}') WHEN 'Ps' THEN regexp_matches(c, '\p{Ps}') WHEN 'Pe' THEN regexp_matches(c, '\p{Pe}')
+        WHEN 'Pi' THEN regexp_matches(c, '\p{Pi}') WHEN 'Pf' THEN regexp_matches(c, '\p{Pf}') WHEN 'Po' THEN regexp_matches(c, '\p{Po}') WHEN 'Sm' THEN regexp_matches(c, '\p{Sm}')
+        WHEN 'Sc' THEN regexp_matches(c, '\p{Sc}') WHEN 'Sk' THEN regexp_matches(c, '\p{Sk}') WHEN 'So' THEN regexp_matches(c, '\p{So}') WHEN 'Zs' THEN regexp_matches(c, '\p{Zs}')
+        WHEN 'Zl' THEN regexp_matches(c, '\p{Zl}') WHEN 'Zp' THEN regexp_matches(c, '\p{Zp}') WHEN 'Cc' THEN regexp_matches(c, '\p{Cc}') WHEN 'Cf' THEN regexp_matches(c, '\p{Cf}')
+        ELSE regexp_matches(c, '\p{Co}') END
+    GROUP BY ALL
+    """,
+)
+def character_profile(docs):
+    """Characters of each text by script and category, from a join of code points with ranges."""
+    found = ranges.character_profile(docs, "text", "doc_id")
+    script = F.when(F.col("script").isin("Latin", "Greek", "Cyrillic", "Han", "Common"), F.col("script")).otherwise("other")
+    return found.groupBy("doc_id", script.alias("script"), "category").agg(F.sum("n").alias("n"))
+
+
+@_query(
+    "documents",
+    rf"""
+    SELECT doc_id, pos, word FROM (
+        SELECT *, row_number() OVER (PARTITION BY {_FOLDED} ORDER BY doc_id, pos) AS r
+        FROM (SELECT doc_id, CAST(unnest(range(len(w))) AS INTEGER) AS pos, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}]+') AS w FROM documents))
+    ) WHERE r = 1
+    """,
+)
+def collation_first_seen(docs):
+    """Each word, accents and case aside, where it stands first."""
+    words = _words(docs).select("doc_id", "pos", "word", F.struct("doc_id", "pos").alias("at"))
+    return tables.unique_first(words, "word", "at", strength="primary").drop("at")
+
+
+@_query(
+    "events",
+    r"""
+    SELECT event_id, CASE event_type WHEN 'click' THEN 'user ' || user_id || ' clicked' WHEN 'error' THEN 'user ' || user_id || ' met {an error}' ELSE
+        CASE WHEN user_id % 4 = 0 THEN 'nobody' WHEN user_id % 4 = 1 THEN 'user ' || user_id || ' alone' WHEN user_id % 4 = 2 THEN 'user ' || user_id || ' and 1 other' ELSE 'user ' || user_id || ' and 2 others' END
+        || ' did ' || event_type || ', the ' || (user_id % 4) || CASE user_id % 4 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END END AS message
+    FROM events
+    """,
+)
+def message_compiled(events):
+    """Choices by text and number, nested, with an offset and quoted braces, from one compiled pattern."""
+    pattern = """{kind, select, click {user {u} clicked} error {user {u} met '{an error}'} other {{n, plural, offset:1 =0 {nobody} =1 {user {u} alone}
+        one {user {u} and # other} other {user {u} and # others}} did {kind}, the {n, selectordinal, one {#st} two {#nd} few {#rd} other {#th}}}}"""
+    args = {"kind": F.col("event_type"), "u": F.col("user_id"), "n": F.col("user_id") % 4}
+    return events.select("event_id", messages.compile_message(pattern, args).alias("message"))
