@@ -16,16 +16,21 @@ __all__ = ["ASCII_UPPER", "BATCH_ROWS", "bit_map", "bucket_of", "components", "d
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-#: Rows of an Arrow batch at most; a worker and the executor's buffers hold a few batches at a time.
+#: Rows and bytes of an Arrow batch at most (a single row may have more bytes); a worker and the executor's buffers hold a few
+#: batches at a time.
 BATCH_ROWS = 1_000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 4 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` over single batches of at most BATCH_ROWS rows (a setting of the session that is lowered if it is more)."""
+    """`mapInArrow` over single batches of at most BATCH_ROWS rows and BATCH_BYTES (settings of the session that are lowered if
+    they are more)."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
-        conf.set(_BATCH_SETTING, BATCH_ROWS)
+    for setting, most in _LIMITS.items():
+        found = conf.get(setting).lower()
+        if not (found.rstrip("b").isdigit() and 0 < int(found.rstrip("b")) <= most):
+            conf.set(setting, most)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
