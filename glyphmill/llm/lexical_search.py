@@ -9,7 +9,7 @@ no item has a part in.  So one list per term, sorted by impact, serves all items
 2. Threshold: with m lists, a document whose share in every list is under an m-th of the bound stays under it.  All entries
    from there up are fetched, uniformly from every list.  What they leave open of a list is bounded by the threshold and by
    the head of the list; the documents of the k highest sums give another bound, and those that cannot reach it go.
-3. Lookup: the exact scores of the others.
+3. Lookup: the exact scores of the others, a document's for all items that it is a candidate of at a time.
 
 Lists are dealt by term and impact, so that a frequent term spans partitions; entries meet the items' thresholds by term and
 impact level, so that only entries of the threshold's own level are compared in vain.  All numbers are 64-bit integers.
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ BEST = 10
 #: Up to so many different terms of all items (some 20 MB) go to the tasks that read the documents, which then keep no
 #: others; with more, all terms of a document are written, and a shuffled join keeps those of the items.
 VOCABULARY = 200_000
+#: Up to so many (item, term) pairs (some 30 MB) go to the tasks that look up exact scores; with more, candidates are joined
+#: with the lists by a shuffle.
+FACTORS = 1_000_000
 #: Bytes of a text that are taken apart at a time.
 SLICE_BYTES = 1 << 22
 
@@ -79,6 +83,41 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _looked_up(candidates: DataFrame, factors: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
+    """(row, id, n, terms, items) to the exact scores `(item, id, row, score)` of the document for each of these items."""
+    table = factors.select("term", "item", "f").orderBy("term").toArrow()
+    of_item, number = np.unique(table.column("item").to_numpy(), return_inverse=True)
+    terms, begins = np.unique(np.array(table.column("term").to_pylist(), dtype=object), return_index=True)
+    ends = np.append(begins, len(table))[1:]
+    slices = {t: (int(a), int(b)) for t, a, b in zip(terms, begins, ends, strict=True)}
+    sent = candidates.sparkSession.sparkContext.broadcast((slices, of_item, number, table.column("f").to_numpy()))
+
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        slices, of_item, number, f = sent.value
+        held = batch.column(3)
+        owner = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
+        pairs = held.flatten()
+        found = np.array([slices.get(t, (0, 0)) for t in pairs.field("term").to_pylist()], np.int64).reshape(-1, 2)
+        tf, n = pairs.field("tf").to_numpy(), batch.column(2).to_numpy()[owner]
+        impact = (1_000_000_000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))
+        many = found[:, 1] - found[:, 0]
+        at = np.arange(many.sum()) + np.repeat(found[:, 0] - np.concatenate(([0], np.cumsum(many)[:-1])), many) if len(many) else np.zeros(0, np.int64)
+        key = np.repeat(owner, many) * len(of_item) + number[at]
+        order = np.argsort(key, kind="stable")
+        key, share = key[order], (np.repeat(impact, many) * f[at])[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        keys, sums = key[first], np.add.reduceat(share, first) if len(first) else share
+        asked = batch.column(4)
+        row = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy())
+        item = asked.flatten().to_numpy()
+        wanted = row * len(of_item) + np.searchsorted(of_item, item)
+        place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        score = np.where(keys[place] == wanted, sums[place], 0) if len(keys) else np.zeros(len(wanted), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(item), batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), pa.array(score)], ["item", "id", "row", "score"])
+
+    return map_batches(candidates, fn, "item long, id long, row long, score long")
+
+
 def _whole(a: Column, b: Column) -> Column:
     """Whole part of a quotient of numbers that are not negative."""
     return F.call_function("div", a, b)
@@ -169,15 +208,16 @@ def best_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
     sums = write_table(sums.join(of_item, "item").select("item", "row", "sum", "m", "bound", (F.col("sum") * F.col("m") + left).alias("upper")))
     again = _kth(exact(_highest(sums, "sum", k).select("item", "row")), k, "again")
     reaches = F.col("upper") >= F.greatest("bound", F.coalesce("again", F.lit(0))) * F.col("m")
-    alive = write_table(sums.join(again, "item", "left").filter(reaches).select("item", "row", "sum"))
+    alive = write_table(sums.join(again, "item", "left").filter(reaches).select("item", "row"))
     drop_table(sums)
 
     # round 3
-    lists = floors.select("item", F.col("term").alias("of"), "f", "m", "bound")
-    rest = postings.join(lists, (F.col("term") == F.col("of")) & (share * F.col("m") < F.col("bound"))).select(F.col("item").alias("of"), F.col("row").alias("at"), share.alias("share"))
-    looked = alive.join(rest, (F.col("item") == F.col("of")) & (F.col("row") == F.col("at")), "left").groupBy("item", "row", "sum").agg(F.sum("share").alias("more"))
-    scored = looked.select("item", "row", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score")).filter("score > 0")
-    scored = _tied(scored, k).join(found.select("row", "id"), "row")
+    if few and factors.limit(FACTORS + 1).count() <= FACTORS:
+        per_document = alive.groupBy(F.col("row").alias("of")).agg(F.collect_list("item").alias("items"))
+        scored = _looked_up(found.join(per_document, F.col("row") == F.col("of")).select("row", "id", "n", "terms", "items"), factors, n_docs, n_terms)
+    else:
+        scored = exact(alive)
+    scored = _tied(scored.filter("score > 0"), k)
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     best = write_table(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
     names = asked.select(F.col("row").alias("item"), F.col("id").alias(item_col))
