@@ -36,6 +36,8 @@ VOCABULARY = 200_000
 #: Up to so many (item, term) pairs (some 30 MB) go to the tasks that look up exact scores; with more, candidates are joined
 #: with the lists by a shuffle.
 FACTORS = 1_000_000
+#: Levels of impacts, which are below a million.
+LEVELS = 40
 #: Bytes of a text that are taken apart at a time.
 SLICE_BYTES = 1 << 22
 
@@ -177,6 +179,9 @@ def best_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
     postings = write_table(lists.repartitionByRange(parts, *by_impact).sortWithinPartitions(*by_impact))
     factors = wants.join(near, "term").select("item", "term", (F.col("qtf") * F.col("w")).alias("f"))
     factors = write_table(factors.withColumn("m", F.count("*").over(Window.partitionBy("item"))))
+    n_factors = factors.limit(FACTORS + 1).count()
+    sent = F.broadcast if n_factors <= FACTORS else (lambda df: df)  # a row per item: at most as many as factors
+    sent_levels = F.broadcast if n_factors * LEVELS <= FACTORS else (lambda df: df)
 
     def exact(candidates: DataFrame) -> DataFrame:
         """Scores `(item, id, row, score)` of `candidates(item, row)`."""
@@ -197,22 +202,22 @@ def best_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", it
     drop_table(heads)
 
     # round 2
-    last = _level(F.lit(1_000_000))
-    levels = floors.select("item", F.col("term").alias("of"), "f", "m", "bound", F.explode(F.sequence(_level(F.col("least")), last)).alias("level"))
+    last = F.lit(LEVELS - 1)
+    levels = floors.filter(_level(F.col("least")) < LEVELS).select("item", F.col("term").alias("of"), "f", "m", "bound", F.explode(F.sequence(_level(F.col("least")), last)).alias("level"))
     share = F.col("f") * F.col("impact")
-    reached = postings.join(levels, (F.col("term") == F.col("of")) & (_level(F.col("impact")) == F.col("level")) & (share * F.col("m") >= F.col("bound")))
+    reached = postings.join(sent_levels(levels), (F.col("term") == F.col("of")) & (_level(F.col("impact")) == F.col("level")) & (share * F.col("m") >= F.col("bound")))
     met = reached.select("item", "row", share.alias("share")).repartition("item", "row")  # entries of a document hardly meet before
     sums = met.groupBy("item", "row").agg(F.sum("share").alias("sum"), F.count("*").alias("seen"))
     of_item = floors.groupBy("item", "m", "bound").agg(F.sum("most").alias("all"))
-    left = F.col("all") - F.col("seen") * F.col("bound")  # a list with entries that pass has the bound as its `most`
-    sums = write_table(sums.join(of_item, "item").select("item", "row", "sum", "m", "bound", (F.col("sum") * F.col("m") + left).alias("upper")))
+    sums = write_table(sums)
     again = _kth(exact(_highest(sums, "sum", k).select("item", "row")), k, "again")
-    reaches = F.col("upper") >= F.greatest("bound", F.coalesce("again", F.lit(0))) * F.col("m")
-    alive = write_table(sums.join(again, "item", "left").filter(reaches).select("item", "row"))
+    left = F.col("all") - F.col("seen") * F.col("bound")  # a list with entries that pass has the bound as its `most`
+    reaches = F.col("sum") * F.col("m") + left >= F.greatest("bound", F.coalesce("again", F.lit(0))) * F.col("m")
+    alive = write_table(sums.join(sent(of_item.join(again, "item", "left")), "item").filter(reaches).select("item", "row"))
     drop_table(sums)
 
     # round 3
-    if few and factors.limit(FACTORS + 1).count() <= FACTORS:
+    if n_factors <= FACTORS:
         per_document = alive.groupBy(F.col("row").alias("of")).agg(F.collect_list("item").alias("items"))
         scored = _looked_up(found.join(per_document, F.col("row") == F.col("of")).select("row", "id", "n", "terms", "items"), factors, n_docs, n_terms)
     else:

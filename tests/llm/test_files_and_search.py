@@ -227,6 +227,8 @@ def _ranked(docs, items, k):
 def test_search(spark, odd, vocabulary, monkeypatch):
     monkeypatch.setattr(lexical_search, "VOCABULARY", vocabulary)
     monkeypatch.setattr(lexical_search, "SLICE_BYTES", 1000)
+    if vocabulary == 5:  # and candidates are joined with the lists
+        monkeypatch.setattr(lexical_search, "FACTORS", 3)
     r = random.Random(5)
     words = [f"w{int(r.paretovariate(0.7))}" for _ in range(6000)]
     docs = [(k, " ".join(r.choice(words) for _ in range(r.randrange(60)))) for k in range(400)]
