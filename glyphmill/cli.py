@@ -239,29 +239,55 @@ def main(argv: list[str] | None = None) -> None:
     if args.rules_file and "rules" in options:
         options["rules"] = Path(args.rules_file).read_text(encoding="utf-8")
     spark = SparkSession.builder.getOrCreate()
+    show = _Shown(args, answers=key not in TABLES)
     if key in TABLES:
-        out = run(spark, options)
-    else:
+        show(run(spark, options))
+    elif key in LINES:
         if args.file:
             lines = files.read_whole(spark, args.file) if args.whole else files.read_lines(spark, args.file)
+        elif args.text is not None:
+            lines = spark.createDataFrame([(args.text,)], "text string")
         else:
-            given = [args.text] if args.text is not None else [x.rstrip("\n") for x in sys.stdin if x.rstrip("\n")]
-            lines = spark.createDataFrame([(x,) for x in given], "text string")
-        out = run(lines, options) if key in LINES else lines.select(run(F.col("text"), options).alias("result"))
-    columns = args.columns.split(",") if args.columns else None
-    if columns and (unknown := set(columns) - set(out.columns)):
-        raise SystemExit(f"unknown columns: {', '.join(sorted(unknown))}; one of {', '.join(out.columns)}")
-    answers = key not in TABLES and dict(out.dtypes).get("result") == "boolean"
-    shown = files.as_json(out.select(*columns) if columns else out) if args.json else files.as_tsv(out, columns)
-    if args.header and not args.json and not args.output:
-        print(files.tsv_header(out, columns))
-    if args.output:
-        files.write_lines(shown, args.output)
-        yes = answers and not out.filter("result").isEmpty()
+            lines = spark.read.parquet(files.spool(spark, sys.stdin)).select("text")
+        show(run(lines, options))
     else:
-        yes = False
-        for row in shown.toLocalIterator():
-            print(row.line)
-            yes = yes or row.line in ("yes", '{"result":true}')
-    if answers and not yes:
+        answer = lambda lines: lines.select(run(F.col("text"), options).alias("result"))
+        if args.file:
+            show(answer(files.read_whole(spark, args.file) if args.whole else files.read_lines(spark, args.file)))
+        elif args.text is not None:
+            show(answer(spark.createDataFrame([(args.text,)], "text string")))
+        elif args.whole:
+            show(answer(spark.createDataFrame([(sys.stdin.read(),)], "text string")))
+        elif args.output:
+            show(answer(spark.read.parquet(files.spool(spark, sys.stdin)).orderBy("n")))
+        else:  # lines are answered as they come
+            for held in files.in_batches(sys.stdin):
+                show(answer(spark.createDataFrame([(x,) for x in held], "text string")))
+    if show.answers and not show.yes:
         raise SystemExit(1)
+
+
+class _Shown:
+    """Tables on standard output, or in a folder, and whether any of their answers was yes."""
+
+    def __init__(self, args: argparse.Namespace, answers: bool) -> None:
+        self.args, self.may_answer = args, answers
+        self.yes = self.answers = self.headed = False
+
+    def __call__(self, out: DataFrame) -> None:
+        args = self.args
+        columns = args.columns.split(",") if args.columns else None
+        if columns and (unknown := set(columns) - set(out.columns)):
+            raise SystemExit(f"unknown columns: {', '.join(sorted(unknown))}; one of {', '.join(out.columns)}")
+        self.answers = self.may_answer and dict(out.dtypes).get("result") == "boolean"
+        shown = files.as_json(out.select(*columns) if columns else out) if args.json else files.as_tsv(out, columns)
+        if args.output:
+            files.write_lines(shown, args.output)
+            self.yes = self.answers and not out.filter("result").isEmpty()
+            return
+        if args.header and not args.json and not self.headed:
+            print(files.tsv_header(out, columns))
+        self.headed = True
+        for row in shown.toLocalIterator():
+            print(row.line, flush=True)
+            self.yes = self.yes or row.line in ("yes", '{"result":true}')
