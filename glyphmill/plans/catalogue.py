@@ -13,9 +13,11 @@ from glyphmill.functions import locales as loc
 from glyphmill.functions import matching as m
 from glyphmill.functions import messages
 from glyphmill.functions import text as t
-from glyphmill.operators import joins, ranges, tables
+from glyphmill.operators import joins, ranges, tables, windows
 from glyphmill.sources import catalogues as cat
 from glyphmill.sources import files
+from glyphmill.sources.scratch import new_path
+from glyphmill.streaming import index, windowed_counts, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -828,3 +830,56 @@ def message_compiled(events):
         one {user {u} and # other} other {user {u} and # others}} did {kind}, the {n, selectordinal, one {#st} two {#nd} few {#rd} other {#th}}}}"""
     args = {"kind": F.col("event_type"), "u": F.col("user_id"), "n": F.col("user_id") % 4}
     return events.select("event_id", messages.compile_message(pattern, args).alias("message"))
+
+
+# --- long texts, sections and streams -------------------------------------------------------------------------------
+
+
+@_query("documents", "SELECT doc_id, length_grapheme(text) AS n, length_grapheme(text) - 1 AS last, length(text) AS n_chars FROM documents WHERE text <> ''")
+def grapheme_windows(docs):
+    """Graphemes of whole texts, from windows of 4,096 bytes: how many, the place of the last, and the characters in them."""
+    found = windows.long_tokens(docs.select("doc_id", "text"), "text", "grapheme", window=4096)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("position").cast("long").alias("last"), F.sum(F.length("token")).alias("n_chars"))
+
+
+@_query("documents")
+def word_windows(docs):
+    """Words of whole texts with their places, from windows of 4,096 bytes."""
+    return windows.long_tokens(docs.select("doc_id", "text"), "text", window=4096)
+
+
+@_query(
+    "part",
+    """
+    SELECT row_number() OVER (ORDER BY p_type, p_name) AS place, CASE WHEN row_number() OVER (PARTITION BY p_type ORDER BY p_name) = 1 THEN p_type || ':' || chr(10) ELSE '' END || '  ' || p_name AS line
+    FROM part
+    """,
+)
+def part_sections(part):
+    """Names of parts under their types: a few sections hold all rows."""
+    return files.section_lines(part, "p_type", "p_name", indent="  ")
+
+
+@_query(sql="SELECT upper(left(p_name, 1)) AS bucket, count(*) AS records, array_to_string(list_sort(list(p_name))[1:3], '|') AS names FROM part GROUP BY 1")
+def index_growth(spark, sf):
+    """The alphabetic index that a stream of part names grows."""
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf}/part.parquet").schema).option("pathGlobFilter", "part.parquet").parquet(sf)
+    path = new_path(spark)
+    index.grow_index(stream, path, new_path(spark), "p_name").awaitTermination()
+    return index.names_of(index.read_index(spark, path)).withColumn("names", F.array_join("names", "|"))
+
+
+@_query(
+    sql="""
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL
+    """
+)
+def event_windows(spark, sf):
+    """Events by hour and type from a stream: the hours that the watermark has closed."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = new_path(spark)
+    write_stream(windowed_counts(stream, "ts", "event_type"), path, new_path(spark), kind="parquet").awaitTermination()
+    closed = spark.read.schema("window struct<start: timestamp, end: timestamp>, event_type string, n long").parquet(path)
+    return closed.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
