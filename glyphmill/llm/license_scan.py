@@ -16,10 +16,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import ASCII_UPPER
+from glyphmill.llm.common import ASCII_UPPER, drop_table, write_table
+from glyphmill.llm.license_tables import KIND, blocks_by_join
 from glyphmill.llm.quality_rules import let
 
 #: A word, and a word of a text whose A-Z are not lowered yet.
@@ -51,8 +52,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
 )
-#: The template table goes into the plan, so it is bounded.
-MAX_TEMPLATES = 5_000
+#: Up to so many templates, of up to so many words, go into the plan; more, or longer ones, stay a table (`license_tables`).
+PLAN_TEMPLATES, PLAN_WORDS = 1_000, 100
 THRESHOLD = (9, 10)
 
 
@@ -78,21 +79,28 @@ def _strings(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def template_rows(templates: DataFrame | Sequence[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """(label, words) of a table `(label, text)` or of pairs; rows without words are left out."""
-    if isinstance(templates, DataFrame):
-        templates = [(r.label, r.text) for r in templates.select("label", "text").limit(MAX_TEMPLATES + 1).collect()]
+def _words_of(text: Column) -> Column:
+    return F.regexp_extract_all(_lowered(text), F.lit(f"({WORD}+)"), F.lit(1))
+
+
+def template_table(spark: SparkSession, templates: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
+    """`(tid, label, words)` of a table `(label, text)` or of pairs, written; rows without a label or words are left out."""
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(list(templates), "label string, text string")
+    words = templates.select(F.col("label").cast("string").alias("label"), _words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    return write_table(words.filter("label is not null and size(words) > 0").select(F.monotonically_increasing_id().alias("tid"), "label", "words"))
+
+
+def template_rows(templates: Sequence[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """(label, words) of pairs; those without a label or words are left out."""
     rows = [(label, re.findall(f"{WORD}+", (text or "").translate(_LOWER))) for label, text in templates]
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     return [(label, words) for label, words in rows if words and label is not None]
 
 
 def ordered_templates(
-    docs: DataFrame, text_col: str = "text", templates: DataFrame | Sequence[tuple[str, str]] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD
+    docs: DataFrame, text_col: str, rows: list[tuple[str, list[str]]], threshold: tuple[int, int] = THRESHOLD
 ) -> tuple[list[Template], list[str]]:
-    """Templates, and all their words, in the order of document frequencies over all of `docs` (ties by word)."""
-    rows = template_rows(templates)
+    """Templates of (label, words), and all their words, in the order of document frequencies over all of `docs` (ties by word)."""
     known = sorted({w for _, words in rows for w in words})
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     held = F.array_intersect(_strings(known), F.split(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
@@ -143,14 +151,56 @@ def scan_licenses(
     `score` is 1 where a base phrase stands, else the best containment.  Null and empty texts have no words and empty
     labels; repeated rows are scanned each; a null id stays null; extra columns are ignored; an empty table gives an
     empty result.  `templates` are pairs or a table (label, text): repeated ones match alike, null labels and texts without
-    words are left out, and without any only the base phrases count.
+    words are left out, and without any only the base phrases count.  More than PLAN_TEMPLATES templates, or
+    longer ones than PLAN_WORDS words, stay a table that words are joined with, in time linear in the words; all is the same
+    then but `blocks`, which has, of blocks on lines after one another that meet a template, the first with the most of it.
     """
-    found, order = ordered_templates(docs, text_col, templates, threshold)
+    if not isinstance(templates, DataFrame) and len(templates) <= PLAN_TEMPLATES:
+        rows = template_rows(templates)
+        fit = all(len(words) <= PLAN_WORDS for _, words in rows)
+    else:
+        fit, rows = False, []
+    if not fit:
+        table = template_table(docs.sparkSession, templates)
+        sizes = table.agg(F.count("*").alias("n"), F.max(F.size("words")).alias("most")).first()
+        fit = sizes.n <= PLAN_TEMPLATES and (sizes.most or 0) <= PLAN_WORDS
+        if not fit:
+            return _scan_by_join(docs, id_col, text_col, table, sizes.most, threshold)
+        rows = [(r.label, r.words) for r in table.collect()]
+        drop_table(table)
+    found, order = ordered_templates(docs, text_col, rows, threshold)
     rare = sorted({w for t in found for w in t.prefix}) or ["\0"]
     following = max((t.length for t in found), default=0)  # words after a line that may belong to a statement begun on it
     holds_prefix = f"(?i)(?<!{RAW_WORD})(?:{'|'.join(map(re.escape, rare))})(?!{RAW_WORD})"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
+    in_order = lambda line: F.array_intersect(_strings(order), _words_of(line))
+    of_line = lambda line: let(in_order(line), lambda b: _matches(line, b, found))
+    window = f"(?<![^\n])(?=([^\n]*+(?:{NO_WORD}*+{RAW_WORD}++){{0,{following}}}+[^\n]*+))[^\n]"
+    candidates = F.filter(F.regexp_extract_all(text, F.lit(window), F.lit(1)), lambda x: F.regexp_like(x, F.lit(holds_prefix)))
+    blocks = F.flatten(F.transform(candidates, of_line)).cast(KIND) if found else F.array().cast(KIND)
+    out = docs.select(
+        F.col(id_col).alias(id_col),
+        *_base(text),
+        F.when(F.regexp_like(text, F.lit(holds_prefix)), blocks).otherwise(F.array().cast(KIND)).alias("blocks"),
+    )
+    return _report(out, id_col)
+
+
+def _scan_by_join(docs: DataFrame, id_col: str, text_col: str, templates: DataFrame, longest: int, threshold: tuple[int, int]) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    texts = write_table(docs.select(F.col(id_col).alias("glyphmill_id"), text).withColumn("rid", F.monotonically_increasing_id()))
+    blocks = blocks_by_join(texts, templates, threshold, longest, _words_of)
+    drop_table(templates)
+    out = texts.join(blocks, "rid", "left").select(F.col("glyphmill_id").alias(id_col), *_base(F.col("text")), F.coalesce("blocks", F.array().cast(KIND)).alias("blocks"))
+    report = _report(out, id_col)
+    report._glyphmill_under = (texts, blocks)
+    return report
+
+
+def _base(text: Column) -> list[Column]:
+    """`n_words`, and `b` with the places and labels of the base phrases."""
+
     def base(words: Column) -> Column:
         found = [_places(words, p) for p, _ in PHRASES]
         every = F.concat(*found)
@@ -158,18 +208,11 @@ def scan_licenses(
         return F.struct(F.size(every).cast("long").alias("n"), F.array_min(every).cast("long").alias("first"), F.array_max(every).cast("long").alias("last"), labels.alias("labels"))
 
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("labels"))
-    in_order = lambda line: F.array_intersect(_strings(order), F.regexp_extract_all(_lowered(line), F.lit(f"({WORD}+)"), F.lit(1)))
-    of_line = lambda line: let(in_order(line), lambda b: _matches(line, b, found))
-    window = f"(?<![^\n])(?=([^\n]*+(?:{NO_WORD}*+{RAW_WORD}++){{0,{following}}}+[^\n]*+))[^\n]"
-    candidates = F.filter(F.regexp_extract_all(text, F.lit(window), F.lit(1)), lambda x: F.regexp_like(x, F.lit(holds_prefix)))
-    kind = "array<struct<line: string, label: string, containment: double>>"
-    blocks = F.flatten(F.transform(candidates, of_line)).cast(kind) if found else F.array().cast(kind)
-    out = docs.select(
-        F.col(id_col).alias(id_col),
-        F.regexp_count(text, F.lit(f"{RAW_WORD}+")).cast("long").alias("n_words"),
-        F.when(F.regexp_like(text, F.lit("(?i)license")), let(F.regexp_extract_all(_lowered(text), F.lit(f"({WORD}+)"), F.lit(1)), base)).otherwise(none).alias("b"),
-        F.when(F.regexp_like(text, F.lit(holds_prefix)), blocks).otherwise(F.array().cast(kind)).alias("blocks"),
-    )
+    places = F.when(F.regexp_like(text, F.lit("(?i)license")), let(_words_of(text), base)).otherwise(none)
+    return [F.regexp_count(text, F.lit(f"{RAW_WORD}+")).cast("long").alias("n_words"), places.alias("b")]
+
+
+def _report(out: DataFrame, id_col: str) -> DataFrame:
     labels = F.sort_array(F.array_union("b.labels", F.transform("blocks", lambda m: m["label"])))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda m: m["containment"])), F.lit(0.0))
     return out.select(
