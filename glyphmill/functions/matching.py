@@ -154,7 +154,8 @@ def search_first(text: Column, pattern: Column | str, locale: str = "en_US", str
 
 
 def search_count(text: Column, pattern: Column | str, locale: str = "en_US", strength: str | None = None) -> Column:
-    return F.size(search_all(text, pattern, locale, strength))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.size(jvm.array("search", locale, _strength(strength), pattern, text))
 
 
 def search_contains(text: Column, pattern: Column | str, locale: str = "en_US", strength: str | None = None) -> Column:
