@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import random
+import socket
+import threading
 import time
 from collections import defaultdict
 from pathlib import Path
@@ -84,3 +86,27 @@ def test_command_reads_stdin(spark, capsys, monkeypatch):
     monkeypatch.setattr("sys.stdin", io.StringIO("a\n"))
     with pytest.raises(SystemExit):
         cli.main(["bidi", "check"])
+
+
+def test_lines_of_a_socket(spark):
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        while True:  # Spark connects to look at the source before it reads it
+            try:
+                taken, _ = server.accept()
+                taken.sendall("one\n\nдва\n".encode())
+            except OSError:
+                return
+
+    threading.Thread(target=serve, daemon=True).start()
+    query = files.socket_lines(spark, *server.getsockname()).writeStream.format("memory").queryName("socket_lines_seen").start()
+    try:
+        until = time.monotonic() + 30
+        while spark.table("socket_lines_seen").count() < 2 and time.monotonic() < until:
+            time.sleep(0.2)
+        rows = spark.table("socket_lines_seen").collect()
+        assert sorted(r.text for r in rows) == ["one", "два"] and all(r.timestamp for r in rows)
+    finally:
+        query.stop()
+        server.close()
