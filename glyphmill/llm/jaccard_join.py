@@ -18,11 +18,14 @@ A document is the set of its distinct `size`-word shingles; two documents link w
    of a head, sets are verified against the head, then against pivots, and linked sets are contracted, as long as that
    goes on joining components; only pairs across components remain to be verified, and the bit maps refute most of them
    inside the join.  The components are exact: every candidate pair is refuted, verified, or inside one component.
+5. A group of many sets is split into blocks by length and hash, and each pair of blocks that may hold links is a key of
+   its own, so that no group is one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ FREQUENT_TOKENS = 1_000_000
 #: more than a PROGRESS-th of the components of its groups; then all remaining pairs are verified.
 PIVOTS = 16
 PROGRESS = 16
+#: Sets of one bucket or group and level of length that meet in one key; more are dealt over blocks, which meet pairwise.
+BLOCK_SETS = 2_048
 #: Words of 64 bits in the parity bit map of a set.
 MAP_WORDS = 4
 #: Up to so many wanted documents (20 MB) are looked up by a broadcast of their ids; beyond, by a shuffled join.
@@ -318,7 +323,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("the threshold must be between 0.6 and 1")
     docs, rows, classes = _classes(docs, id_col, text_col, size, num, den)
     at = _buckets(docs, classes, size, num, den)
-    pairs = write_table(_pairs(at, at, F.col("x.rid") < F.col("y.rid"), num, den))
+    pairs = _self_pairs(at, "rid", num, den)
     links = _Verifier(docs, classes, size, num, den).links(pairs)
     drop_table(pairs, at)
     both = links.union(links.select("b", "a"))
@@ -335,15 +340,71 @@ def _apart(left: str, right: str) -> Column:
     return sum((F.bit_count(F.col(left.format(m)).bitwiseXOR(F.col(right.format(m)))) for m in MAP_COLUMNS), F.lit(0))
 
 
-def _pairs(x: DataFrame, y: DataFrame, which: Column, num: int, den: int) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, which: Column, num: int, den: int, on: tuple[str, ...] = ("sig",)) -> DataFrame:
     """Distinct pairs `(a, b)`, a < b, of sets of bucket rows x and y that share a bucket and may link."""
     bounds = _may_link(F.col("x.n"), F.col("x.ub"), F.col("y.n"), F.col("y.ub"), num, den)
     if MAP_COLUMNS[0] in x.columns:
         bounds &= _apart("x.{}", "y.{}") * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
-    found = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & which & bounds)
+    for c in on:
+        bounds &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    found = x.alias("x").join(y.alias("y"), which & bounds)
     return found.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
 
 
+def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Numbers of blocks `(sig, level, here, below, above)` of the levels of length of buckets of more than BLOCK_SETS sets.
+
+    Linked sets are on the same level or on neighbouring ones, whose numbers of blocks are `below` and `above`.
+    """
+    sizes = write_table(rows.groupBy("sig", _level(num, den).alias("level")).agg(F.count("*").alias("c")))
+    large = sizes.groupBy("sig").agg(F.sum("c").alias("m")).filter(F.col("m") > BLOCK_SETS).select("sig")
+    here = sizes.join(large, "sig", "left_semi").select("sig", "level", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("here"))
+    out = here
+    for step, name in ((1, "below"), (-1, "above")):
+        beside = here.select("sig", (F.col("level") + step).alias("level"), F.col("here").alias(name))
+        out = out.join(beside, ["sig", "level"], "left")
+    out = write_table(out.fillna(0))
+    drop_table(sizes)
+    return out
+
+
+def _level(num: int, den: int) -> Column:
+    """Level of length of a set: lengths that may link differ by one level at most (the levels are a little wider)."""
+    return F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) + 1e-9))
+
+
+def _self_pairs(rows: DataFrame, name: str, num: int, den: int) -> DataFrame:
+    """`_pairs` of bucket rows among each other that differ in the column `name`.
+
+    Buckets of more than BLOCK_SETS sets are split by level of length and, within it, by a hash of the set.  Each pair of
+    blocks of one level or of neighbouring levels is a key of its own, so a bucket of m sets is the work of up to
+    (m / BLOCK_SETS)^2 / 2 keys, none of which joins more than BLOCK_SETS sets with as many (but for the hash's spread).
+    """
+    blocks = _blocks(rows, num, den)
+    small = blocks.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    rows = rows.withColumn("level", _level(num, den)).join(F.broadcast(blocks) if small else blocks, ["sig", "level"], "left")
+    mine = F.pmod(F.xxhash64("rid"), F.col("here")).cast("int")
+
+    def key(level: Column, up: bool, i: Column, j: Column) -> Column:
+        return F.struct(level.alias("level"), F.lit(up).alias("up"), i.alias("i"), j.alias("j"))
+
+    def meets(first: Column, count: Column, of: Callable[[Column], Column]) -> Column:
+        none = F.array().cast("array<struct<level: bigint, up: boolean, i: int, j: int>>")
+        return F.when(count > first, F.transform(F.sequence(first, F.greatest(count - 1, first)), of)).otherwise(none)
+
+    level, zero = F.col("level"), F.lit(0)
+    whole = F.array(key(F.lit(-1).cast("long"), False, zero, zero))
+    left = F.concat(meets(mine, F.col("here"), lambda j: key(level, False, mine, j)), meets(zero, F.col("above"), lambda j: key(level, True, mine, j)))
+    right = F.concat(meets(zero, mine + 1, lambda i: key(level, False, i, mine)), meets(zero, F.col("below"), lambda i: key(level - 1, True, i, mine)))
+    kept = [c for c in rows.columns if c not in ("level", "here", "below", "above")]
+    x, y = (rows.select(*kept, F.explode(F.when(F.col("here").isNull(), whole).otherwise(side)).alias("block")) for side in (left, right))
+    same = ~F.col("x.block.up") & (F.col("x.block.i") == F.col("x.block.j"))
+    which = F.when(same, F.col(f"x.{name}") < F.col(f"y.{name}")).otherwise(F.col(f"x.{name}") != F.col(f"y.{name}"))
+    out = write_table(_pairs(x, y, which, num, den, ("sig", "block")))
+    drop_table(blocks)
+    return out
+
+
 def _buckets(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Signatures `(sig, rid, n, ub)` of the classes."""
     spark = docs.sparkSession
@@ -357,6 +418,7 @@ def _buckets(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int)
         whole = map_batches(_texts_of(docs, short).select("rid", "k1", "k2", "text"), _whole_sets(size), "rid long, tokens array<long>")
         more = whole.dropDuplicates(["rid"]).select(F.explode("tokens").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
         both = write_table(counted.union(more).groupBy("sig").agg(F.sum("c").alias("c")))
+        often.unpersist()
         often = _frequent(spark, both)
         drop_table(short, both)
     first = write_table(map_batches(rows, _signed(num, den, often), schema))
@@ -396,7 +458,7 @@ def _class_components(docs: DataFrame, classes: DataFrame, size: int, num: int,
     buckets = _buckets(docs, classes, size, num, den)
     groups = _groups(buckets, classes)
     drop_table(buckets)
-    across = F.col("x.comp") < F.col("y.comp")
+    across = F.col("x.comp") != F.col("y.comp")
     links = labels = None
     before, turn = float("inf"), 0
     while True:
@@ -407,14 +469,13 @@ def _class_components(docs: DataFrame, classes: DataFrame, size: int, num: int,
         left = live.select("comp").distinct().count()
         last = left * PROGRESS >= before * (PROGRESS - 1)
         if last:
-            pairs = _pairs(live, live, across, num, den)
+            pairs = _self_pairs(live, "comp", num, den)
         elif turn == 0:
-            pairs = _pairs(live, live.filter("rid = sig"), F.col("x.comp") != F.col("y.comp"), num, den)
+            pairs = write_table(_pairs(live, live.filter("rid = sig"), across, num, den))
         else:
             order = Window.partitionBy("sig").orderBy(F.xxhash64("rid", F.lit(turn)), "rid")
             pivots = live.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS).drop("k")
-            pairs = _pairs(live, pivots, F.col("x.comp") != F.col("y.comp"), num, den)
-        pairs = write_table(pairs)
+            pairs = write_table(_pairs(live, pivots, across, num, den))
         drop_table(live)
         new = verifier.links(pairs)
         drop_table(pairs)

@@ -122,6 +122,45 @@ def test_prefix_signatures_lose_no_link():
         assert any(s in bounds and min(u, bounds[s]) >= need for s, u in zip(sa, ua, strict=True)) or (len(a) == 1 and same == 1)
 
 
+def test_jaccard_large_groups_are_split(spark, monkeypatch):
+    """Pairs of buckets that are split into blocks, against brute force, also at the edges of the levels of length."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    rng = random.Random(9)
+    rows = [(sig, rid, n, n, rng.randrange(60)) for sig, m in ((1, 300), (2, 17), (3, 16), (4, 1)) for rid, n in ((sig * 1000 + k, rng.choice([1, 9, 10, 11, 81, 90, 100, 101])) for k in range(m))]
+    table = spark.createDataFrame(rows, "sig long, rid long, n long, ub long, comp long")
+    for name, at in (("comp", 4), ("rid", 1)):
+        wanted = {
+            (min(x[1], y[1]), max(x[1], y[1]))
+            for x in rows for y in rows
+            if x[0] == y[0] and x[at] < y[at] and min(x[2], y[2]) * 100 >= max(x[2], y[2]) * 90 and min(x[3], y[3]) * 190 >= (x[2] + y[2]) * 90
+        }
+        got = [tuple(r) for r in jaccard_join._self_pairs(table, name, 90, 100).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+    blocks = {(r.sig, r.here) for r in jaccard_join._blocks(table, 90, 100).collect()}
+    assert {sig for sig, _ in blocks} == {1, 2} and max(here for _, here in blocks) > 2
+
+
+def test_jaccard_one_head_of_many_distant_sets(spark, monkeypatch):
+    """Sets that share a few rare tokens and link with none but their near copy: all their pairs are left to the last join."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 32)
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(4)]
+    rows = []
+    for k in range(400):
+        own = shared + [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, "x"]))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), size=3, num=60).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(shingles(t, 3)), i - i % 2) for i, t in rows)
+
+
+def test_jaccard_pivots_are_limited_before_the_shuffle(spark):
+    """No task sees the whole of a group to choose its pivots."""
+    table = spark.createDataFrame([(1, 2)], "sig long, rid long")
+    order = jaccard_join.Window.partitionBy("sig").orderBy(F.xxhash64("rid", F.lit(1)), "rid")
+    plan = table.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= jaccard_join.PIVOTS)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_jaccard_odd_rows(odd, none):
     got = sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=str)
     assert got == brute_components(ODD, 3, 90, 100)
