@@ -10,7 +10,7 @@ do, the disclosure of t is the pointwise mutual information of t and k over the
 entity reveals its kind at least as surely, so one rule covers both, with no floor on the number of entities.  Terms at
 or above the disclosure threshold are generalised to their mark wherever they stand, in every text.  Terms are runs of
 letters and digits without regard to the case of A-Z; counts cover all documents, and words outside of matches.
-Counts and terms are tables: words that pass a bit map of fixed size are joined with the terms.
+Counts and terms are tables: words that pass a bit map, whose size follows the number of terms, are joined with them.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity, within its line, that count as its context.
 CONTEXT_WORDS = 5
 DISCLOSURE = 0.85
-#: Size of the bit map by which texts are searched for words that may be disclosing terms (4 MB, whatever the corpus).
-BITS = 1 << 25
+#: Size of the bit map by which texts are searched for words that may be disclosing terms: BITS_A_TERM a term, so that few
+#: other words pass, within 4 and 64 MB.  Beyond some 30 million terms more words pass to the join, and no term is lost.
+BITS_A_TERM = 16
+MIN_BITS, MAX_BITS = 1 << 25, 1 << 29
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -156,6 +158,11 @@ def _count_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(term.view(np.int64)), pa.array(n)], ["kind", "term", "n"])
 
 
+def map_bits(terms: int) -> int:
+    """Bits of the map of so many terms, a power of two."""
+    return min(max(MIN_BITS, 1 << (BITS_A_TERM * terms - 1).bit_length()), MAX_BITS) if terms else MIN_BITS
+
+
 @dataclass(frozen=True)
 class Disclosure:
     """The disclosing terms, as a table `(kind, term)` of hashes."""
@@ -171,11 +178,15 @@ class Disclosure:
 
     def bits(self) -> np.ndarray:
         """Bit map of the terms' low bits: a word without its bit is no disclosing term."""
-        return bit_map(self.table, "term", BITS)
+        return bit_map(self.table, "term", map_bits(self.table.count()))
 
 
 def learn_disclosure(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE) -> Disclosure:
-    """Disclosing terms of each kind, from co-occurrence counts over all rows of `docs`."""
+    """Disclosing terms of each kind, from co-occurrence counts over all rows of `docs`.
+
+    Null and empty texts count for nothing; repeated rows count each; other columns are not read; an empty table, or one
+    without entities, gives no terms.
+    """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     seen = write_table(map_batches(texts, _count_rows, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
     totals = {r.kind: r.n for r in seen.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
@@ -190,11 +201,11 @@ def learn_disclosure(docs: DataFrame, text_col: str = "text", threshold: float =
 
 
 def _with_terms(docs: DataFrame, disclosure: Disclosure, text_col: str) -> DataFrame:
-    """`docs` with a last column: hashes of the disclosing terms that stand in the text."""
-    name = "glyphmill_terms"
+    """`docs` with a last column, of a new name: hashes of the disclosing terms that stand in the text."""
+    name, key = (_new_name(docs, n) for n in ("glyphmill_terms", "glyphmill_key"))
     bits = disclosure.bits()
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))])
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent, mask = docs.sparkSession.sparkContext.broadcast(bits), np.uint64(64 * len(bits) - 1)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -203,7 +214,7 @@ def _with_terms(docs: DataFrame, disclosure: Disclosure, text_col: str) -> DataF
         rest = pa.array([blanked(t, base_spans(t)) for t in texts], pa.string())
         for start, stop in kernels.runs(rest):
             hashes, firsts = kernels.word_hashes(rest[start:stop], bare=True)
-            low = hashes & np.uint64(BITS - 1)
+            low = hashes & mask
             hits = np.flatnonzero(sent.value[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
             values, offsets = kernels.distinct_sorted(hashes[hits], np.searchsorted(hits, firsts))
             terms = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
@@ -214,11 +225,28 @@ def _with_terms(docs: DataFrame, disclosure: Disclosure, text_col: str) -> DataF
     # written, as it is read three times, and so that no task holds two Python workers side by side
     marked = write_table(map_batches(docs, fn, schema))
     # rows that share a key share their terms, all of which are disclosing, so keys need not be unique
-    some = marked.filter(F.size(name) > 0).withColumn("glyphmill_key", F.xxhash64(text_col))
-    words = some.select("glyphmill_key", F.explode(name).alias("term"))
-    sure = words.join(disclosure.table.select("term").distinct(), "term").groupBy("glyphmill_key").agg(F.collect_set("term").alias(name))
-    some = some.drop(name).join(sure, "glyphmill_key", "left").select(*docs.columns, F.coalesce(name, F.array().cast("array<long>")).alias(name))
-    return marked.filter(F.size(name) == 0).union(some)
+    some = marked.filter(F.size(name) > 0).withColumn(key, F.xxhash64(text_col))
+    # equal texts have equal words, so a text of many copies is one key's work once
+    words = some.dropDuplicates([key, name]).select(key, F.explode(name).alias("term"))
+    sure = words.join(disclosure.table.select("term").distinct(), "term").groupBy(key).agg(F.collect_set("term").alias(name))
+    some = some.drop(name).join(sure, key, "left").select(*docs.columns, F.coalesce(name, F.array().cast("array<long>")).alias(name))
+    out = marked.filter(F.size(name) == 0).union(some)
+    out._glyphmill_under = (marked,)
+    return out
+
+
+def _new_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of `docs` has it, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _over(out: DataFrame, rows: DataFrame, own: Disclosure | None) -> DataFrame:
+    """`out` with the tables that it reads, for `drop_table` once it has been written."""
+    out._glyphmill_under = (*getattr(rows, "_glyphmill_under", ()), *([] if own is None else [own.table]))
+    return out
 
 
 def _spans_of(texts: pa.Array, terms: pa.Array) -> list[list[Span]]:
@@ -232,7 +260,7 @@ def find_personal_data(docs: DataFrame, disclosure: Disclosure | None = None, id
     Null and empty texts have no spans; repeated rows each come back; a null id stays null; extra columns are ignored;
     an empty table gives an empty result.
     """
-    disclosure = disclosure or learn_disclosure(docs, text_col)
+    own = None if disclosure else learn_disclosure(docs, text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = _spans_of(batch.column(1), batch.column(2))
@@ -243,8 +271,9 @@ def find_personal_data(docs: DataFrame, disclosure: Disclosure | None = None, id
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), spans)], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = map_batches(_with_terms(rows, disclosure, "text"), fn, "id long, spans array<struct<kind: string, start: int, end: int>>")
-    return out.withColumnRenamed("id", id_col)
+    rows = _with_terms(rows, disclosure or own, "text")
+    out = map_batches(rows, fn, "id long, spans array<struct<kind: string, start: int, end: int>>")
+    return _over(out.withColumnRenamed("id", id_col), rows, own)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -268,7 +297,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", disclosure: Disclosure | N
     repeated rows each come back, all changed alike; null ids and other columns are kept as they are, whatever their
     names; an empty table gives an empty result.
     """
-    disclosure = disclosure or learn_disclosure(docs, text_col)
+    own = None if disclosure else learn_disclosure(docs, text_col)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -277,4 +306,5 @@ def sanitise(docs: DataFrame, text_col: str = "text", disclosure: Disclosure | N
         columns = [*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 : -1]]
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return map_batches(_with_terms(docs, disclosure, text_col), fn, docs.schema)
+    rows = _with_terms(docs, disclosure or own, text_col)
+    return _over(map_batches(rows, fn, docs.schema), rows, own)

@@ -455,6 +455,27 @@ def test_disclosing_terms(spark, odd, none):
     assert pii.sanitise(odd).filter("text is null").count() == 1
 
 
+def test_bit_map_of_terms_and_its_tables(spark, monkeypatch):
+    """A map whose size follows the terms, or that is too small for them, changes no result; written tables can be dropped."""
+    assert pii.map_bits(0) == pii.map_bits(1000) == pii.MIN_BITS
+    assert [pii.map_bits(n) for n in (2**21, 2**21 + 1, 2**40)] == [2**25, 2**26, pii.MAX_BITS]
+    rows = [(k, f"some common words here {k}\nmore common words") for k in range(100)] + [(500 + k % 3, f"chairman p{k}@example.com common words", "x") for k in range(12)]
+    table = spark.createDataFrame([(*r, None)[:3] for r in rows] * 2, "doc_id long, text string, GLYPHMILL_terms string")
+    table = table.withColumn("glyphmill_key", F.lit(1))
+    wanted = sorted(map(tuple, pii.sanitise(table).collect()), key=str)
+    assert any("[TERM] [EMAIL]" in r[1] for r in wanted)
+    monkeypatch.setattr(pii, "MIN_BITS", 64)
+    monkeypatch.setattr(pii, "MAX_BITS", 64)
+    out = pii.sanitise(table)
+    assert out.columns == table.columns and sorted(map(tuple, out.collect()), key=str) == wanted
+    under = [t._glyphmill_path for t in out._glyphmill_under]
+    assert len(under) == 2 and all(spark.read.parquet(p).count() for p in under)
+    jaccard_join.drop_table(out)
+    for p in under:
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(p)
+
+
 def brute_spans(texts):
     """All spans of all texts by counting in dictionaries."""
     from collections import Counter
