@@ -46,7 +46,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and disclosing terms generalised; null texts stay null, `n_chars` is counted anew."""
     clean = sanitise(docs.select(*COLUMNS))
-    return clean.withColumn("n_chars", F.length("text").cast("long"))
+    out = clean.withColumn("n_chars", F.length("text").cast("long"))
+    out._glyphmill_under = clean._glyphmill_under
+    return out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            made = write_table(made)
-            drop_table(docs)
+            written = write_table(made)
+            drop_table(made, docs)  # the tables that the stage wrote, and its input
+            made = written
         docs = made
     return docs
