@@ -25,7 +25,7 @@ _FUNCTIONS = (("glyphmill_text", "TextFn", StringType()), ("glyphmill_list", "Li
 def _build_jar() -> Path:
     digest = hashlib.sha256(b"".join(p.read_bytes() for p in _SOURCES)).hexdigest()[:16]
     jar = Path(tempfile.gettempdir()) / f"glyphmill-{digest}.jar"
-    if jar.exists():
+    if jar.is_file() and jar.stat().st_uid == os.getuid():  # not one that another user has put there
         return jar
     compiler = shutil.which("javac") or os.path.join(os.environ.get("JAVA_HOME", ""), "bin", "javac")
     if not os.path.exists(compiler):
