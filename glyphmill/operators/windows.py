@@ -70,6 +70,9 @@ def long_tokens(df: DataFrame, column: str, kind: str = "word", locale: str = "e
     stand in an array; a task holds a few copies of the longest text and the tokens of a part.  Only texts of several parts
     are broken twice, to number their tokens.  With `spread`, parts are dealt over so many partitions, so a text that is
     most of the table is broken by many tasks.  Null and empty texts have no tokens.
+
+    All columns stay, so a result that is written with its text holds each text once a token, the square of its length:
+    select the columns that name the row instead, and the text is not carried beside its tokens.
     """
     others = [F.col(f"`{c}`") for c in df.columns if c not in ("position", "token")]
     count = lambda part: F.size(_tokens(part, kind, locale))

@@ -844,8 +844,8 @@ def grapheme_windows(docs):
 
 @_query("documents")
 def word_windows(docs):
-    """Words of whole texts with their places, from windows of 4,096 bytes."""
-    return windows.long_tokens(docs.select("doc_id", "text"), "text", window=4096)
+    """Words of whole texts with their places, from windows of 4,096 bytes; the text of a word is that of its `doc_id`."""
+    return windows.long_tokens(docs.select("doc_id", "text"), "text", window=4096).select("doc_id", "position", "token")
 
 
 @_query(

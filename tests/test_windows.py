@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import tables, windows
+from glyphmill.plans.catalogue import QUERIES
 
 KINDS = ["word", "sentence", "line", "grapheme"]
 ODD = [
@@ -53,3 +54,12 @@ def test_long_text(spark):
     assert parts.n > 150 and parts.most <= 2 * windows.WINDOW
     found = windows.long_tokens(df, "t").agg(F.count("*").alias("n"), F.countDistinct("position").alias("places"), F.max("position").alias("last")).first()
     assert found.n == found.places == found["last"] + 1 == 330000 * 10
+
+
+def test_query_of_words_leaves_the_texts_behind(spark):
+    """Each word once with its place: a text beside each of its words would be the square of its length."""
+    sf = "/root/testdata/sf0.001"
+    got, docs = QUERIES["word_windows"](spark, sf), spark.read.parquet(f"{sf}/documents.parquet")
+    assert got.columns == ["doc_id", "position", "token"]
+    want = tables.tokens(docs.select("doc_id", "text"), "text").select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
