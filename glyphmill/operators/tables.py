@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,37 @@ def unique_first(df: DataFrame, column: str, ordinal: str, locale: str = "en_US"
     One aggregation by sort key, in the tasks that read the rows and then by key, so a text that many rows share is reduced
     before it is sent.  Rows that tie in their ordinal are told apart by their text and then by all their columns that can be
     ordered; null ordinals come last; null texts are equal to each other.  Order the result by `ordinal` for first-seen order.
+
+    That aggregation sorts the rows of each task, as its buffer is a whole row.  A table of nothing but a text and its ordinal
+    is first reduced to its distinct texts, and only those get a sort key and are sorted.  With an ordinal of fixed width (a
+    number, a date, or two numbers as `ordinal_of` packs them) that step hashes, so what a task holds, spills and sends
+    grows with its distinct texts, not with its rows.
     """
     of, by = F.col(f"`{column}`"), F.col(f"`{ordinal}`")
-    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    first = F.min_by(row, F.struct(by.isNull(), by, of, *rest)).alias("glyphmill_row")
-    return df.groupBy(matching.sort_key(of, locale, strength).alias("glyphmill_key")).agg(first).select("glyphmill_row.*")
+    if sorted(df.columns) == sorted([column, ordinal]) and df.schema[column].dataType.simpleString() == "string":
+        df = df.groupBy(of.alias(column)).agg(F.min(by).alias(ordinal)).select(*[F.col(f"`{c}`") for c in df.columns])
+    ordered = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    order = F.struct(by.isNull().alias("glyphmill_null"), *[F.col(f"`{c}`") for c in dict.fromkeys([ordinal, column, *ordered])])
+    # the order holds the row, unless some of its columns have none
+    first = F.min(order) if len(ordered) == len(df.columns) else F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order)
+    found = df.groupBy(matching.sort_key(of, locale, strength).alias("glyphmill_key")).agg(first.alias("glyphmill_row"))
+    return found.select(*[F.col(f"glyphmill_row.`{c}`") for c in df.columns])
+
+
+#: An ordinal of two numbers is the first times this, and the second; a null first number counts as this much.
+_SECOND, _NULL_FIRST = Decimal(10**10), Decimal(10**19)
+
+
+def ordinal_of(first: Column, second: Column) -> Column:
+    """A long and an int from 0 as one decimal that sorts as they do, null longs last: of fixed width, unlike a struct."""
+    return F.coalesce(first.cast("decimal(20,0)"), F.lit(_NULL_FIRST)) * F.lit(_SECOND) + second
+
+
+def ordinal_parts(ordinal: Column) -> tuple[Column, Column]:
+    """The long and the int that `ordinal_of` has packed."""
+    second = F.pmod(ordinal, F.lit(_SECOND))
+    first = ((ordinal - second) / F.lit(_SECOND)).cast("decimal(20,0)")
+    return F.when(first < F.lit(_NULL_FIRST), first).cast("long"), second.cast("int")
 
 
 def ranked(df: DataFrame, key: Column, *ties: str, name: str = "rank", dense: bool = False) -> DataFrame:

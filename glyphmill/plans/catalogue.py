@@ -811,8 +811,9 @@ def character_profile(docs):
 )
 def collation_first_seen(docs):
     """Each word, accents and case aside, where it stands first."""
-    words = _words(docs).select("doc_id", "pos", "word", F.struct("doc_id", "pos").alias("at"))
-    return tables.unique_first(words, "word", "at", strength="primary").drop("at")
+    words = _words(docs).select("word", tables.ordinal_of(F.col("doc_id"), F.col("pos")).alias("at"))
+    doc_id, pos = tables.ordinal_parts(F.col("at"))
+    return tables.unique_first(words, "word", "at", strength="primary").select(doc_id.alias("doc_id"), pos.alias("pos"), "word")
 
 
 @_query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text
 from glyphmill.operators import joins, ranges, tables
+from glyphmill.plans import catalogue
 
 
 def near(a, b):
@@ -146,3 +147,27 @@ def test_first_seen(spark):
         got = tables.unique_first(df, "word", "at", strength=strength)
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(best.values(), key=repr)
     assert tables.unique_first(df.filter("false"), "word", "at").count() == 0
+
+
+def test_first_seen_of_texts_alone(spark):
+    """A text and a packed ordinal are reduced by hashing, before any row is sorted; ordinals keep their order and their parts."""
+    r = random.Random(7)
+    numbers = [None, -(2**63), -5, -1, 0, 1, 7, 2**63 - 1]
+    rows = [(r.choice(numbers), r.choice([0, 1, 2, 2**31 - 1]), r.choice(["côte", "Cote", "x", "X", "", None, "ß", "ss"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "id long, pos int, word string")
+    best = {}
+    for row in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2] is not None, x[2] or "")):
+        best.setdefault(row[2] and fold(row[2]), row)
+    packed = df.select("word", tables.ordinal_of(F.col("id"), F.col("pos")).alias("at"))
+    first = tables.unique_first(packed, "word", "at", strength="primary")
+    got = first.select(*tables.ordinal_parts(F.col("at")), "word")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(best.values(), key=repr)
+    found = [tuple(x) for x in packed.select(*tables.ordinal_parts(F.col("at"))).distinct().collect()]
+    assert sorted(found, key=repr) == sorted({x[:2] for x in rows}, key=repr)
+
+
+def test_query_of_first_seen_hashes_before_it_sorts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = catalogue.collation_first_seen(docs)._jdf.queryExecution().executedPlan().toString()
+    deepest = [x for x in plan.split("\n") if "Aggregate(" in x][-1]
+    assert "HashAggregate(" in deepest  # of the words as they are read: a SortAggregate would sort and spill them all
