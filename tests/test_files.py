@@ -10,9 +10,12 @@ import time
 from collections import defaultdict
 from pathlib import Path
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill import cli
+from glyphmill.plans import catalogue
 from glyphmill.sources import files
 
 
@@ -43,6 +46,18 @@ def test_sections_equal_brute_force(spark, tmp_path):
     assert _read(tmp_path / "none") == []
 
 
+def test_sections_of_repeated_parts(spark):
+    """Sixty copies of the parts: the lines of the query's SQL where the key of the part closes the ties that it leaves open."""
+    path = "/root/testdata/sf0.001/part.parquet"
+    part = spark.read.parquet(path).crossJoin(spark.range(60)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 1_000_000).drop("id")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT p.* REPLACE (p_partkey + k * 1000000 AS p_partkey) FROM '{path}' p, range(60) r(k)")
+    closed = catalogue.ORACLES["part_sections"].replace("p_name)", "p_name, p_partkey)")
+    assert closed.count("p_name, p_partkey)") == 2
+    got = sorted(map(tuple, catalogue.part_sections(part).select("place", "line").collect()))
+    assert got == sorted(con.sql(closed).fetchall())
+
+
 def test_batches_of_lines():
     assert list(files.in_batches(["a\n", "\n", "b", "c\n"], most=2, seconds=5)) == [["a", "b"], ["c"]]
     assert list(files.in_batches([])) == []
